@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from quarrystone.llm.near_dedup import op5_near_dedup
 from quarrystone.llm.packing import op7_packing
 from quarrystone.llm.sentencepiece_bpe import op8_sentencepiece
 from quarrystone.llm.substring_dedup import op6_substring_dedup
 from quarrystone.llm.suffix_dedup import op2_suffix_dedup
 from quarrystone.llm.toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op6_substring_dedup, op7_packing, op8_sentencepiece, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op5_near_dedup, op6_substring_dedup, op7_packing, op8_sentencepiece, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
