@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import exact_topk, url_templates
+from quarrystone.llm import exact_topk, license_scan, url_templates
 from quarrystone.llm.exact_topk import op4_exact_topk
+from quarrystone.llm.license_scan import op9_license_scan
 from quarrystone.llm.near_dedup import op5_near_dedup
 from quarrystone.llm.packing import op7_packing
 from quarrystone.llm.sentencepiece_bpe import op8_sentencepiece
@@ -15,6 +16,6 @@ from quarrystone.llm.vp_tree import op1_vp_tree
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_vp_tree, op2_suffix_dedup, op3_url_templates, op4_exact_topk, op5_near_dedup, op6_substring_dedup, op7_packing, op8_sentencepiece, op10_toxicity)
+    for f in (op1_vp_tree, op2_suffix_dedup, op3_url_templates, op4_exact_topk, op5_near_dedup, op6_substring_dedup, op7_packing, op8_sentencepiece, op9_license_scan, op10_toxicity)
 }
-ORACLE_SQL: dict[str, str] = {"op3_url_templates": url_templates.oracle(), "op4_exact_topk": exact_topk.OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_templates": url_templates.oracle(), "op4_exact_topk": exact_topk.OP4_SQL, "op9_license_scan": license_scan.oracle()}
