@@ -143,7 +143,12 @@ def blocks_of(docs: DataFrame, carried: list[str]) -> DataFrame:
             yield block(rows)
 
     made = narrow.mapInArrow(run, "block long, ids binary, sizes binary, data binary, extra binary, extra_size long")
-    return saved(made.repartition(2 * shuffle_partitions(spark), "block"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan forgets how its rows are dealt
+    try:
+        return saved(made.repartition(2 * shuffle_partitions(spark), "block"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 class Block:
