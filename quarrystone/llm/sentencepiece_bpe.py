@@ -12,6 +12,7 @@ model lacks become byte pieces; repeated rows give equal results, each its own;
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -24,13 +25,13 @@ from quarrystone.llm.common import id_and_text, table, text_batches
 SPACE = "▁"
 #: Pieces hold the space mark only in front, so a text can be cut before each run of marks.
 SEGMENT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+NEVER = float("inf")
 
 
 class Codec:
     """Encoder and decoder of a model with identity normalisation, a dummy prefix and byte fallback."""
 
-    def __init__(self, path: str, remembered: int = 150_000, longest: int = 64):
+    def __init__(self, path: str, remembered: int = 400_000, longest: int = 64):
         import ahocorasick
         import sentencepiece
 
@@ -40,20 +41,19 @@ class Codec:
         self.hidden = {i for i in range(len(self.pieces)) if model.is_control(i)}
         self.byte_of = {i: int(p[3:5], 16) for i, p in enumerate(self.pieces) if model.is_byte(i)}
         self.id_of_byte = {b: i for i, b in self.byte_of.items()}
-        self.rank = {
-            p: (-model.get_score(i), i)
-            for i, p in enumerate(self.pieces)
-            if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i) or model.is_unused(i))
-        }
-        if any(SPACE in p.lstrip(SPACE) for p in self.rank):
+        usable = [i for i in range(len(self.pieces)) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i) or model.is_unused(i))]
+        self.id_of = {self.pieces[i]: i for i in usable}
+        #: A piece's place in the order of merges, by falling score.
+        self.order = {self.pieces[i]: -model.get_score(i) for i in usable}
+        if any(SPACE in p.lstrip(SPACE) for p in self.id_of):
             raise ValueError("a piece holds the space mark behind a letter; texts cannot be cut at spaces")
         self.compatible_pairs: dict[tuple[str, str], bool] = {}
         self.remembered, self.longest = remembered, longest
         #: Segments seen of late and before; the older half goes when the newer one is full.
         self.memory: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
-        self.decimal = {p: str(i) for p, (_, i) in self.rank.items()}
-        whole = [p for p in self.rank if self.merged(p) == [p]]
+        self.decimal = {p: str(i) for p, i in self.id_of.items()}
+        whole = [p for p in self.id_of if self.merged(p) == [p]]
         self.automaton = ahocorasick.Automaton()
         for p in whole:
             self.automaton.add_word(p, len(p))
@@ -61,13 +61,16 @@ class Codec:
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by the definition: join the best-ranked adjacent pair, leftmost first, to the end."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = min(((self.rank[a + b][0], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.rank), default=None)
-            if best is None:
-                break
-            i = best[1]
+        parts, rank = list(text), self.order.get
+        ranks = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < NEVER:
+            i = ranks.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] + parts[i + 1], NEVER)
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], NEVER)
         return parts
 
     def compatible(self, a: str, b: str) -> bool:
@@ -121,9 +124,9 @@ class Codec:
     def ids(self, segment: str) -> list[int]:
         out: list[int] = []
         for piece in self.tokens(segment):
-            known = self.rank.get(piece)
-            if known:
-                out.append(known[1])
+            known = self.id_of.get(piece)
+            if known is not None:
+                out.append(known)
             elif self.id_of_byte:
                 out += [self.id_of_byte[b] for b in piece.encode("utf-8", "surrogatepass")]
             else:
@@ -131,14 +134,14 @@ class Codec:
         return out
 
     def segment(self, segment: str) -> tuple[int, str, str]:
-        """Of a segment: the number of its ids, their decimals, and the text they decode to."""
+        """Of a segment: the number of its ids, their decimals, and the text they decode to (with space marks)."""
         known = self.memory.get(segment)
         if known is None:
             known = self.older.get(segment)
             if known is None:
                 pieces = self.tokens(segment)
                 try:
-                    known = len(pieces), " ".join([self.decimal[p] for p in pieces]), "".join(pieces).replace(SPACE, " ")
+                    known = len(pieces), " ".join([self.decimal[p] for p in pieces]), segment  # the pieces spell the segment
                 except KeyError:  # byte pieces
                     ids = self.ids(segment)
                     known = len(ids), " ".join(map(str, ids)), self.spelled(ids)
@@ -182,7 +185,7 @@ class Codec:
         known = [recent(s) or segment(s) for s in self.cut(text)]
         counts, decimals, spelled = zip(*known) if known else ((), (), ())
         ids = hashlib.sha256(" ".join([*decimals, str(self.end)]).encode())
-        decoded = hashlib.sha256("".join(spelled).removeprefix(" ").encode("utf-8", "surrogatepass"))
+        decoded = hashlib.sha256("".join(spelled).replace(SPACE, " ").removeprefix(" ").encode("utf-8", "surrogatepass"))
         return 1 + sum(counts), ids.hexdigest(), decoded.hexdigest()
 
 
@@ -192,6 +195,7 @@ _codecs: dict[str, Codec] = {}
 def codec(path: str) -> Codec:
     """One codec for each model in a Python process."""
     if path not in _codecs:
+        gc.disable()  # the memory holds no cycles, and walking it again and again costs a sixth of the time
         _codecs[path] = Codec(path)
     return _codecs[path]
 
