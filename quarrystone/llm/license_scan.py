@@ -64,10 +64,18 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "[^a-z0-9]+"), "")
 
 
-def hashed_shingles(words: str, size: int) -> Column:
-    """A hash for each run of ``size`` words of the array column; of the whole, if there are fewer."""
-    h = F.transform(words, lambda w: F.xxhash64(w))
-    return F.transform(F.slice(h, 1, F.greatest(F.lit(1), F.size(h) - size + 1)), lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, size))))
+def hashed_shingles(hashes: str, size: int) -> Column:
+    """A hash for each run of ``size`` words, from the column of the words' hashes; of the whole, if there are fewer.
+
+    The argument is a column's name, so that a lambda reads what was computed once instead of computing it for each element.
+    """
+    return F.transform(F.slice(hashes, 1, F.greatest(F.lit(1), F.size(hashes) - size + 1)), lambda x, i: F.xxhash64(x, *(F.get(hashes, i + k) for k in range(1, size))))
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that later filters cannot pull back in: as an alias it would be computed anew wherever it is read, and within a
+    lambda for each element."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def minima(names: str, bands: int) -> Column:
@@ -82,20 +90,20 @@ def minima(names: str, bands: int) -> Column:
 def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, size: int = SHINGLE, contained: float = CONTAINED) -> DataFrame:
     """doc_id, license, containment (highest of a window), first_word (of the first window that matches), windows (that match)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text").cast("string")).alias("words"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(words_of(F.col("text").cast("string")))).alias("words"))
     parts = classes(templates, size)
     rows = [(k, n, s) for k, (_, shingles) in enumerate(parts) for n, s in shingles.items()]  # as many as there are templates
     known = spark.createDataFrame(rows, "class int, license string, shingles array<string>")
 
     def name(s: Column) -> Column:  # as hashed_shingles names it
         w = F.split(s, " ")
-        h = F.transform(w, lambda x: F.xxhash64(x))
-        return F.xxhash64(*(F.get(h, F.lit(k)) for k in range(size)))
+        return F.xxhash64(*(F.xxhash64(F.get(w, F.lit(k))) for k in range(size)))
 
     named = known.withColumn("names", F.transform("shingles", name))
     literal = {r["license"]: r["names"] for r in named.select("license", "names").collect()}  # of the templates alone
     every = F.array(*(F.lit(x) for x in sorted({x for names in literal.values() for x in names})))
-    texts = texts.withColumn("names", hashed_shingles("words", size)).where(F.arrays_overlap("names", every))
+    texts = once(texts, "hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    texts = once(texts, "names", hashed_shingles("hashes", size)).drop("hashes").where(F.arrays_overlap("names", every))
     found = None
     for k, (longest, shingles) in enumerate(parts):
         bands = bands_for(longest, shingles, size)
