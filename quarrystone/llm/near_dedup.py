@@ -9,7 +9,7 @@ agree in a bin with the probability of the sets' similarity, concentrated as for
 Sketches are cut into ``BANDS`` bands of ``ROWS``; sets that agree in a band are candidates. At similarity 0.8 a pair is missed
 with probability (1 - 0.8**6)**40 = 5e-6. Equal sets are one node from the start. Every node is first compared with the smallest
 nodes of its buckets that it shares most bands with; these links are verified and joined to components. Then all candidates
-that are still in different components are verified, so that no link which could join two components is left out, while a large group of
+that are still in different components, and can be similar by the prefix filter on their rarest shingles, are verified, so that no link which could join two components is left out, while a large group of
 copies of one text, linked already, never expands into pairs.
 
 Words are maximal runs of bytes other than space and 0x09 to 0x0D, A-Z lower-cased. Defined results: null and empty texts, or
@@ -34,6 +34,8 @@ from quarrystone.llm.substring_dedup import words
 SHINGLE, SIMILAR = 5, 80
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
+#: Slots in which shingles are counted for the order of rarity.
+SLOTS = 1 << 20
 U = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -147,6 +149,55 @@ def fits(n: str, m: str, similar: int) -> F.Column:
     return 100 * F.least(n, m) >= similar * F.greatest(n, m)
 
 
+def across(nodes: DataFrame, size: int, similar: int) -> DataFrame:
+    """Pairs (a, b) of nodes(doc_id, packed, size, component) in different components that can be similar, by their rarest shingles.
+
+    With all shingles in one order, two sets of similarity s share one among the first n - ceil(s n) + 1 of either: a copy with too many
+    shingles of its own to be linked with anything meets nobody there; and what stands before the first common one is not common. The order is by frequency, counted in ``SLOTS`` slots (so much is
+    collected and broadcast, whatever the input), rarest first. In each shingle's bucket the largest component meets the others' nodes only.
+    """
+    spark = nodes.sparkSession
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            for b in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                raw = [codec.decompress(p, decompressed_size=n, asbytes=True) if n else b"" for p, n in zip(b.column("packed").to_pylist(), b.column("size").to_pylist())]
+                yield b, *shingle_sets(pa.array(raw, pa.large_binary()), size)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, np.int64)
+        for _, names, _ in sets(batches):
+            seen += np.bincount((names & U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(seen[slot])], ["slot", "n"])
+
+    found = nodes.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(SLOTS, np.int64)
+    seen[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    often = spark.sparkContext.broadcast(seen)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, names, cuts in sets(batches):
+            n = np.diff(cuts)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((names, often.value[(names & U(SLOTS - 1)).astype(np.int64)], row))
+            place = np.arange(len(row)) - cuts[:-1][row]
+            keep = place < (n - -(-similar * n // 100) + 1)[row]
+            names, row, place = names[order][keep], row[keep], place[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), *(b.column(c).take(pa.array(row)) for c in ("doc_id", "component")), pa.array(n[row]), pa.array(place)], ["key", "node", "component", "n", "place"])
+
+    first = saved(nodes.mapInArrow(rare, "key long, node long, component long, n long, place long"))
+    by_component = first.groupBy("key", "component").count()
+    largest = by_component.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("m")).where("m > 1").drop("m")
+    met = first.join(largest, "key")
+    one, two = (met.select("key", "largest", *(F.col(c).alias(c + x) for c in ("node", "n", "component", "place"))) for x in "12")
+    # from the first shingle that both have on, at most so many can be common
+    reach = (100 + similar) * F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2")) >= similar * (F.col("n1") + F.col("n2"))
+    pairs = one.drop("largest").join(two.where("component2 <> largest").drop("largest"), "key").where((F.col("component1") != F.col("component2")) & fits("n1", "n2", similar) & reach)
+    return pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs."""
     marks = saved(sketched(docs, size))
@@ -167,11 +218,10 @@ def groups(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR) -> Data
     links = saved(verified(first, texts, size, similar))
     joined = components(links)
     # candidates in different components: only these can still join any
-    placed = shared.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    placed = shared.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    placed = saved(placed.join(mixed, "key", "left_semi"))
-    one, two = (placed.select("key", *(F.col(c).alias(c + x) for c in ("node", "n", "component"))) for x in "12")
-    rest = one.join(two, "key").where((F.col("node1") < F.col("node2")) & (F.col("component1") != F.col("component2")) & fits("n1", "n2", similar)).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+    open_ = placed.join(mixed, "key", "left_semi").select(F.col("node").alias("doc_id"), "component").distinct()
+    rest = across(saved(texts.join(open_, "doc_id")), size, similar)
     rest = rest.join(first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
     joined = components(links.unionByName(verified(rest, texts, size, similar)))
     named = classes.drop("bands").join(joined, "node", "left").select(*name, F.coalesce("component", "node").alias("component_id"))
