@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrystone.plans import linkage_queries, relational_queries, survival_queries  # noqa: F401  (modules register their queries as they are imported)
+from quarrystone.plans import export_queries, linkage_queries, relational_queries, survival_queries  # noqa: F401  (modules register their queries as they are imported)
 from quarrystone.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
