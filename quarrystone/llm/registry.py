@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import exact_topk, license_scan, url_templates
+from quarrystone.llm import exact_topk, license_scan, oracles, url_templates
 from quarrystone.llm.exact_topk import op4_exact_topk
 from quarrystone.llm.license_scan import op9_license_scan
 from quarrystone.llm.near_dedup import op5_near_dedup
@@ -18,4 +18,11 @@ QUERIES = {
     f.__name__: f
     for f in (op1_vp_tree, op2_suffix_dedup, op3_url_templates, op4_exact_topk, op5_near_dedup, op6_substring_dedup, op7_packing, op8_sentencepiece, op9_license_scan, op10_toxicity)
 }
-ORACLE_SQL: dict[str, str] = {"op3_url_templates": url_templates.oracle(), "op4_exact_topk": exact_topk.OP4_SQL, "op9_license_scan": license_scan.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_dedup": oracles.OP2,
+    "op3_url_templates": url_templates.oracle(),
+    "op4_exact_topk": exact_topk.OP4_SQL,
+    "op5_near_dedup": oracles.OP5,
+    "op6_substring_dedup": oracles.OP6,
+    "op9_license_scan": license_scan.oracle(),
+}
