@@ -27,8 +27,10 @@ from quarrystone.llm.common import id_and_text, table, text_batches
 
 #: Labelled documents to fit on, at most: the documented bound of the sample.
 SAMPLE = 20_000
-#: Slots of the hash; slots that carry weights; factors of a slot; passes over the sample.
-SLOTS, ACTIVE, FACTORS, PASSES = 1 << 20, 4096, 8, 12
+#: Steps to fit, at least: a small sample is passed over more often.
+STEPS = 300
+#: Slots of the hash; slots that carry weights, and the chi-square that they have at least; factors of a slot; passes over the sample.
+SLOTS, ACTIVE, CHI, FACTORS, PASSES = 1 << 20, 4096, 10.0, 8, 12
 TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -58,7 +60,7 @@ class Machine:
             chi = np.nan_to_num((seen1 - expected) ** 2 * n / (expected * (n - n1) * (1 - seen / n) + 1e-9))
         chi[seen < 3] = 0
         active = np.sort(np.argsort(-chi, kind="stable")[:ACTIVE])
-        active = active[chi[active] > 0]
+        active = active[chi[active] > CHI]
         of = np.full(SLOTS, -1)
         of[active] = np.arange(len(active))
         keep = of[flat] >= 0
@@ -66,8 +68,8 @@ class Machine:
         first = np.searchsorted(owner, np.arange(len(docs) + 1))
         rng = np.random.default_rng(seed)
         w, v = np.zeros(len(active)), rng.normal(0, 0.01, (len(active), FACTORS))
-        gw, gv, g0 = np.full(len(active), 1e-3), np.full(v.shape, 1e-3), 1e-3
-        for _ in range(PASSES):
+        gw, gv, g0 = np.full(len(active), 1e-6), np.full(v.shape, 1e-6), 1e-6
+        for _ in range(max(PASSES, STEPS // -(-n // 128))):
             order = rng.permutation(n)
             for at in range(0, n, 128):
                 part = order[at : at + 128]
@@ -79,14 +81,14 @@ class Machine:
                 z = w0 + np.bincount(doc, w[ids], len(part)) + 0.5 * ((sums**2).sum(1) - squares)
                 error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]
                 used, back = np.unique(ids, return_inverse=True)
-                dw = np.bincount(back, error[doc]) / len(part) + 1e-5 * w[used]
+                dw = np.bincount(back, error[doc]) / len(part) + 2e-5 * w[used]
                 dv = np.stack([np.bincount(back, error[doc] * (sums[doc, f] - vi[:, f])) for f in range(FACTORS)], 1) / len(part) + 1e-4 * v[used]
                 d0 = error.mean()
                 gw[used] += dw**2
                 gv[used] += dv**2
                 g0 += d0**2
-                w[used] -= 0.1 * dw / np.sqrt(gw[used])
-                v[used] -= 0.02 * dv / np.sqrt(gv[used])
+                w[used] -= 0.5 * dw / np.sqrt(gw[used])
+                v[used] -= 0.05 * dv / np.sqrt(gv[used])
                 w0 -= 0.05 * d0 / np.sqrt(g0)
         return cls(float(w0), active, w, v)
 
