@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import table
+from quarrystone.llm.common import saved, table
 
 SHINGLE, CONTAINED, MISS = 5, 0.8, 1e-6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -104,6 +104,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, size
     every = F.array(*(F.lit(x) for x in sorted({x for names in literal.values() for x in names})))
     texts = once(texts, "hashes", F.transform("words", lambda w: F.xxhash64(w)))
     texts = once(texts, "names", hashed_shingles("hashes", size)).drop("hashes").where(F.arrays_overlap("names", every))
+    texts = saved(texts)  # the few that hold a shingle of any template, for all classes
     found = None
     for k, (longest, shingles) in enumerate(parts):
         bands = bands_for(longest, shingles, size)
