@@ -46,26 +46,26 @@ class Machine:
         self.place = {int(s): i for i, s in enumerate(active)}
 
     @classmethod
-    def fit(cls, docs: list[list[int]], labels: list[int], seed: int = 7) -> Machine:
-        y = np.asarray(labels, np.float64)
+    def fit(cls, flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, seed: int = 7) -> Machine:
+        """flat: the slots of all documents, one document's behind the other's; sizes: how many each has."""
+        y = labels.astype(np.float64)
         w0 = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 2)))
         if not len(y) or y.min() == y.max():
             return cls(w0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
-        sizes = np.asarray([len(d) for d in docs])
-        flat, owner = np.asarray([s for d in docs for s in d], np.int64), np.repeat(np.arange(len(docs)), sizes)
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         n1, n = y.sum(), len(y)
-        seen, seen1 = np.bincount(flat, minlength=SLOTS), np.bincount(flat, y[owner], minlength=SLOTS)
+        seen, seen1 = np.bincount(flat, minlength=SLOTS), np.bincount(flat[(y > 0)[owner]], minlength=SLOTS)
         expected = seen * n1 / n
         with np.errstate(divide="ignore", invalid="ignore"):
             chi = np.nan_to_num((seen1 - expected) ** 2 * n / (expected * (n - n1) * (1 - seen / n) + 1e-9))
         chi[seen < 3] = 0
         active = np.sort(np.argsort(-chi, kind="stable")[:ACTIVE])
         active = active[chi[active] > CHI]
-        of = np.full(SLOTS, -1)
+        of = np.full(SLOTS, -1, np.int32)
         of[active] = np.arange(len(active))
         keep = of[flat] >= 0
         flat, owner = of[flat[keep]], owner[keep]
-        first = np.searchsorted(owner, np.arange(len(docs) + 1))
+        first = np.searchsorted(owner, np.arange(len(sizes) + 1))
         rng = np.random.default_rng(seed)
         w, v = np.zeros(len(active)), rng.normal(0, 0.01, (len(active), FACTORS))
         gw, gv, g0 = np.full(len(active), 1e-6), np.full(v.shape, 1e-6), 1e-6
@@ -114,8 +114,12 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([sorted(slots(t or "")) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))], ["doc_id", "toxic", "slots"])
 
     rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, toxic int, slots array<int>").toArrow()
-    rows = rows.take(pa.array(np.argsort(rows.column("doc_id").to_numpy(), kind="stable")))
-    return Machine.fit(rows.column("slots").to_pylist(), rows.column("toxic").to_pylist())
+    rows = rows.take(pa.array(np.argsort(rows.column("doc_id").to_numpy(), kind="stable"))).combine_chunks()
+    if not rows.num_rows:
+        return Machine.fit(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))
+    lists = rows.column("slots").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    return Machine.fit(lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), rows.column("toxic").to_numpy())
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
