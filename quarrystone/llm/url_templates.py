@@ -25,7 +25,7 @@ from quarrystone.llm.common import table
 
 #: verdict, host, path
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-DEPTH, VARIED, ROWS, WEIGHT, Z = 3, 8, 4, 4, 1.96
+DEPTH, VARIED, ROWS, WEIGHT, Z, SALTS = 3, 8, 4, 4, 1.96, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,13 +70,16 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) ->
     raw = [f"s{i + 1}" for i in range(DEPTH)]
     urls = urls.withColumns({s: F.coalesce(F.get(parts, F.lit(i)), F.lit("")) for i, s in enumerate(raw)})
     paths = urls.groupBy("host", *raw).agg(F.count("*").alias("n"), F.count("given").alias("labelled"), F.count_if(F.col("given") == "block").alias("blocked"))
+    # a host's paths meet its branches in SALTS places, so a host with a third of all paths is no single task's
+    paths = paths.withColumn("salt", F.pmod(F.xxhash64(*raw), F.lit(SALTS)).cast("int"))
+    salted = lambda frame: frame.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     made: list[str] = []
     for s in raw:
         above = ["host", *made]
         values = paths.groupBy(*above, s).agg(F.sum("n").alias("n"))
         varied = values.groupBy(*above).agg(((F.count("*") > VARIED) & (F.count("*") * ROWS > F.sum("n"))).alias("varied"))
         t = "t" + s[1:]
-        paths = paths.join(varied, above).withColumn(t, F.when(F.col("varied") & (F.col(s) != ""), F.lit("*")).otherwise(F.col(s))).drop("varied")
+        paths = paths.join(salted(varied), [*above, "salt"]).withColumn(t, F.when(F.col("varied") & (F.col(s) != ""), F.lit("*")).otherwise(F.col(s))).drop("varied")
         made.append(t)
     total = counted(paths.withColumn("all", F.lit(1)), "all")
     purity = total.select(F.when(F.col("labelled") > 0, F.col("blocked") / F.col("labelled")).otherwise(F.lit(0.0)).alias("p0"))
@@ -87,7 +90,7 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) ->
         to = f"p{depth + 1}"
         last = smoothed(counted(paths, "host", *made[:depth]), last, ["host", *made[: depth - 1]], of, to)
         of = to
-    judged = paths.select("host", *raw, *made).join(last.select("host", *made, of), ["host", *made]).select("host", *raw, (F.col(of) > 0.5).alias("rejected"))
+    judged = paths.select("host", "salt", *raw, *made).join(salted(last.select("host", *made, of)), ["host", "salt", *made]).select("host", *raw, (F.col(of) > 0.5).alias("rejected"))
     out = urls.join(judged, ["host", *raw], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("given", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
 
