@@ -422,3 +422,17 @@ def q38(s, d):
 @query("Q39_union_distinct", "select c_nationkey as k from customer union select s_nationkey from supplier union select n_nationkey from nation")
 def q39(s, d):
     return linkage.union_all([table(s, d, t).select(C(c).alias("k")) for t, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey"), ("nation", "n_nationkey"))]).distinct()
+
+
+@query("Q81_windowed_counts", "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n from events group by all")
+def q81(s, d):
+    """The streaming extension's aggregate, on the table."""
+    from quarrystone.streaming.ingest import windowed_counts
+
+    return windowed_counts(table(s, d, "events"), "ts", "event_type").withColumn("start", C("start").cast("timestamp_ntz"))
+
+
+@query("Q82_rollup_and_sets", "select c_mktsegment, c_nationkey, count(*) as n from customer where c_nationkey in (select c_nationkey from customer intersect select s_nationkey from supplier) group by rollup (c_mktsegment, c_nationkey)")
+def q82(s, d):
+    both = table(s, d, "customer").select("c_nationkey").intersect(table(s, d, "supplier").select(C("s_nationkey").alias("c_nationkey")))
+    return table(s, d, "customer").join(both, "c_nationkey", "left_semi").rollup("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n"))
