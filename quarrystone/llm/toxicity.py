@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quarrystone.llm.common import id_and_text, table, text_batches
 
 #: Labelled documents to fit on, at most: the documented bound of the sample.
-SAMPLE = 20_000
+SAMPLE = 8_000
 #: Steps to fit, at least: a small sample is passed over more often.
 STEPS = 300
 #: Slots of the hash; slots that carry weights, and the chi-square that they have at least; factors of a slot; passes over the sample.
@@ -119,7 +119,10 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
         return Machine.fit(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))
     lists = rows.column("slots").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    return Machine.fit(lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), rows.column("toxic").to_numpy())
+    machine = Machine.fit(lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), rows.column("toxic").to_numpy())
+    del rows, lists
+    pa.default_memory_pool().release_unused()
+    return machine
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
