@@ -63,8 +63,8 @@ def q51(s, d):
 def q52(s, d):
     k, words = C("p_partkey") % 4, F.split("p_name", " ")
     q = F.when(k == 0, F.upper("p_name")).when(k == 1, F.concat("p_name", F.lit(" (UK) Ltd"))).when(k == 2, F.concat("p_name", F.lit("s"))).otherwise(F.concat_ws(" ", words[1], words[0]))
-    queries = table(s, d, "part").where("p_partkey < 200").select(q.alias("query")).distinct()
-    register = table(s, d, "part").where("p_partkey < 2000").select("p_partkey", "p_name")
+    queries = table(s, d, "part").select(q.alias("query")).distinct()
+    register = table(s, d, "part").select("p_partkey", "p_name")
     return linkage.name_tiers(queries, register, "query", "p_name", [C("p_partkey")]).select("query", "p_partkey", "p_name", "tier", "candidates")
 
 

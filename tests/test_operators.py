@@ -162,3 +162,37 @@ def test_ingest_resumes(spark, tmp_path):
         (tmp_path / f"in/{i}.json").write_text('{"k": %d}\n{"k": 7}\n' % i)
         ingest.new_files(spark, str(tmp_path / "in"), "k int", str(tmp_path / "out"), str(tmp_path / "cp"), ["k"])
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 7]
+
+
+def brute_tiers(names, register, bare=lambda n: n):
+    """The first tier with hits of each name by comparing it with every row; smallest id, and number of hits."""
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    out = {}
+    for n in names:
+        b, tokens = bare(n), sorted(n.split(" "))
+        tests = [lambda r: r == n, lambda r: r == b, lambda r: edits(n, r) <= (2 if len(n) > 12 else 1), lambda r: sorted(r.split(" ")) == tokens]
+        hits = next(((t, h) for t, f in enumerate(tests, 1) if (h := [i for i, r in register if f(r)])), None)
+        if hits:
+            out[n] = (min(hits[1]), hits[0], len(hits[1]))
+    return out
+
+
+def test_name_tiers_query_takes_whole_tables(spark, tmp_path):
+    from quarrystone.plans.registry import QUERIES
+
+    ids = [0, 199, 200, 201, 202, 203, 1999, 2000, 2400, 5001, 5002]
+    names = [f"{chr(97 + i) * 6} {chr(122 - i) * 6}" for i in range(len(ids))]
+    spark.createDataFrame(list(zip(ids, names)), "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.query: (r.p_partkey, r.tier, r.candidates) for r in QUERIES["Q52_name_tiers"](spark, str(tmp_path)).collect()}
+    made = lambda i, n: (n.upper(), f"{n} (UK) Ltd", n + "s", " ".join(n.split()[::-1]))[i % 4]
+    plain = {made(i, n): made(i, n).upper().removesuffix(" (UK) LTD") for i, n in zip(ids, names)}
+    want = brute_tiers(plain.values(), list(zip(ids, map(str.upper, names))))
+    assert {q: (i, 1 if t == 2 else t, n) for q, (i, t, n) in got.items()} == {q: want[n] for q, n in plain.items()}
