@@ -50,9 +50,12 @@ def exact_topk(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int =
                         for at in range(0, len(ids), TILE):
                             tile, tile_ids = np.floor(scale * x[at : at + TILE]), ids[at : at + TILE]
                             cost = -product(q, tile)
+                            mine = np.minimum(np.searchsorted(q_ids, tile_ids), len(q_ids) - 1)  # query ids are distinct and sorted
+                            own = np.flatnonzero(q_ids[mine] == tile_ids)
+                            cost[mine[own], own] = np.inf if cost.dtype.kind == "f" else np.iinfo(cost.dtype).max
                             reach = top.limit
                             if np.isinf(reach).any() and cost.shape[1] > k:
-                                reach = np.minimum(reach, np.partition(cost, k, axis=1)[:, k])  # k + 1 of the tile: one may be the query
+                                reach = np.minimum(reach, np.partition(cost, k - 1, axis=1)[:, k - 1])
                             row, column = np.nonzero(cost <= reach[:, None])
                             other = q_ids[row] != tile_ids[column]
                             row, column = row[other], column[other]

@@ -252,6 +252,18 @@ def test_exact_topk_with_ties(spark):
     assert by(tuple(r) for r in exact_topk.exact_topk(df.repartition(3)).collect()) == by(want)
 
 
+def test_exact_topk_with_repeated_rows_of_a_query(spark):
+    good = [[float(x) for x in v] for v in np.random.default_rng(4).normal(size=(200, 4)).round(2)]
+    rows = [(i, v, i) for i, v in enumerate(good)]
+    for scale in (256, 1 << 28):  # products in doubles, and in 64-bit integers
+        for times in (2, 4, 12):
+            more = rows + [(i, good[i], -1) for i in (50, 150) for _ in range(times)]
+            want = brute_search(more, 50, 5, lambda a, b: -int(np.floor(scale * a).astype(int) @ np.floor(scale * b).astype(int)), True)
+            df = spark.createDataFrame(more, "vec_id long, embedding array<double>, n long").coalesce(1)
+            got = [tuple(r)[:3] for r in exact_topk.exact_topk(df, scale=scale).collect()]
+            assert by(got) == by(w[:3] for w in want) and len(got) == 20
+
+
 def test_vp_tree_with_factor_one_is_exact(spark):
     rows, df = vectors_of(spark, np.random.default_rng(2))
     want = brute_search(rows, 100, 10, lambda a, b: float(np.sqrt(np.square(a - b).sum())), False)
