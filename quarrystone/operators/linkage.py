@@ -29,26 +29,65 @@ def any_key_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_
     return left.withColumn("__key", F.explode(keys)).drop(*left_keys).join(right, F.col("__key") == F.col(right_key)).drop("__key").distinct()
 
 
+def part_keys(n: Column, edits: int) -> Column:
+    """Keys of a register name for up to ``edits`` edits: its length and one of edits + 1 parts of it, cut by position."""
+    size, parts = F.length(n), edits + 1
+
+    def key(i: Column) -> Column:
+        at = F.floor(size * i / parts).cast("int")
+        text = F.substring(n, at + 1, F.floor(size * (i + 1) / parts).cast("int") - at)
+        return F.concat_ws(":", F.lit("3"), F.lit(edits), size, i, text)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(edits)), key)
+
+
+def probe_keys(n: Column, edits: int) -> Column:
+    """Keys of a query name that meet ``part_keys`` of every name within ``edits`` edits.
+
+    As many edits leave one of edits + 1 parts as it is, moved by ``edits`` places at most, and change the length by as many.
+    """
+    size, parts = F.length(n), edits + 1
+    moves = F.sequence(F.lit(-edits), F.lit(edits))
+
+    def of_part(length: Column, i: Column) -> Column:
+        first = F.floor(length * i / parts).cast("int")
+        width = F.floor(length * (i + 1) / parts).cast("int") - first
+        starts = F.filter(F.transform(moves, lambda m: first + m), lambda at: (at >= 0) & (at + width <= size))
+        return F.transform(starts, lambda at: F.concat_ws(":", F.lit("3"), F.lit(edits), length, i, F.substring(n, at + 1, width)))
+
+    lengths = F.filter(F.transform(moves, lambda m: size + m), lambda length: length >= 0)
+    of_length = lambda length: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(edits)), lambda i: of_part(length, i)))
+    return F.flatten(F.transform(lengths, of_length))
+
+
 def name_tiers(queries: DataFrame, register: DataFrame, query: str, name: str, tie: list[Column]) -> DataFrame:
     """The best match of each query name: T1 equal, T2 equal without brackets, T3 within one or two edits, T4 equal sorted tokens.
 
-    Candidates share a blocking key (the first token, or the sorted tokens), so no query meets the whole register; the first tier with
-    hits decides, then the tie order.
+    Candidates share a blocking key (the name, the name without brackets, the sorted tokens, or a part of the name at about its
+    place), so no query meets the whole register, and each pair that a tier fits shares one. Rows of one name meet as one. The first
+    tier with hits decides, then the tie order.
     """
     bare = lambda c: company_name(F.regexp_replace(c, r"\([^)]*\)", " "))
     q = queries.select(query, company_name(F.col(query)).alias("qn"), bare(F.col(query)).alias("qb")).distinct()
-    r = register.select("*", company_name(F.col(name)).alias("rn"), bare(F.col(name)).alias("rb"))
-    blocks = lambda n, b: F.array_distinct(F.array(F.get(F.split(n, " "), F.lit(0)), F.get(F.split(b, " "), F.lit(0)), F.concat(F.lit("="), sorted_tokens(n))))
-    met = q.withColumn("block", F.explode(blocks(F.col("qn"), F.col("qb")))).join(r.withColumn("block", F.explode(blocks(F.col("rn"), F.col("rb")))), "block")
+    r = register.distinct().select("*", company_name(F.col(name)).alias("rn"), bare(F.col(name)).alias("rb"))
+    names = r.groupBy("rn", "rb").agg(F.count("*").alias("__n"))
+    exact = lambda n, b: F.array(F.concat(F.lit("1="), n), F.concat(F.lit("2="), b), F.concat(F.lit("4="), sorted_tokens(n)))
+    qn, rn = F.col("qn"), F.col("rn")
+    near = F.when(F.length(qn) > 12, probe_keys(qn, 2)).otherwise(probe_keys(qn, 1))
+    asked = q.withColumn("block", F.explode(F.array_distinct(F.concat(exact(qn, F.col("qb")), near))))
+    offered = names.withColumn("block", F.explode(F.array_distinct(F.concat(exact(rn, F.col("rb")), part_keys(rn, 1), part_keys(rn, 2)))))
     limit = F.when(F.length("qn") > 12, 2).otherwise(1)
     tier = (
         F.when(F.col("qn") == F.col("rn"), 1).when(F.col("qb") == F.col("rb"), 2)
-        .when(F.levenshtein("qn", "rn") <= limit, 3).when(sorted_tokens(F.col("qn")) == sorted_tokens(F.col("rn")), 4)
+        .when(F.levenshtein("qn", "rn", 2).between(0, limit), 3).when(sorted_tokens(F.col("qn")) == sorted_tokens(F.col("rn")), 4)
     )
-    met = met.drop("block").distinct().withColumn("tier", tier).where("tier is not null")
-    w = Window.partitionBy(query).orderBy("tier", *tie)
-    count = F.count("*").over(Window.partitionBy(query, "tier"))
-    return met.withColumn("candidates", count).withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank", "qn", "qb", "rn", "rb")
+    met = asked.join(offered, "block").withColumn("tier", tier).where("tier is not null").select(query, "rn", "rb", "tier", "__n").distinct()
+    least = F.min("tier").over(Window.partitionBy(query))
+    met = met.withColumn("__least", least).where(F.col("tier") == F.col("__least")).withColumn("candidates", F.sum("__n").over(Window.partitionBy(query))).drop("__least", "__n")
+    of_name = F.row_number().over(Window.partitionBy("rn", "rb").orderBy(*tie))
+    first = r.withColumn("__rank", of_name).where("__rank = 1").drop("__rank")
+    best = F.row_number().over(Window.partitionBy(query).orderBy(*tie))
+    return met.join(first, ["rn", "rb"]).withColumn("__rank", best).where("__rank = 1").drop("__rank", "rn", "rb")
 
 
 def overlap_score(a: Column, b: Column, stop: list[str]) -> Column:

@@ -196,3 +196,26 @@ def test_name_tiers_query_takes_whole_tables(spark, tmp_path):
     plain = {made(i, n): made(i, n).upper().removesuffix(" (UK) LTD") for i, n in zip(ids, names)}
     want = brute_tiers(plain.values(), list(zip(ids, map(str.upper, names))))
     assert {q: (i, 1 if t == 2 else t, n) for q, (i, t, n) in got.items()} == {q: want[n] for q, n in plain.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_name_tiers_finds_typos_anywhere(spark, seed):
+    from random import Random
+
+    rng = Random(seed)
+    names = ["ACME", "ZENITH HOLDINGS", "NORTHWIND TRADERS", "A", "AB", "", "OLD ROD", "COLD ROD", "TWELVE CHARS", "THIRTEEN CHAR"]
+    names += [" ".join("".join(rng.choices("ABC", k=rng.randint(1, 6))) for _ in range(rng.randint(1, 3))) for _ in range(60)]
+
+    def typo(n):
+        for _ in range(rng.randint(0, 3)):
+            at, kind = rng.randint(0, len(n)), rng.randint(0, 2)
+            n = n[:at] + ("" if kind == 0 else rng.choice("ABCX")) + n[at + (kind < 2) :]
+        return " ".join(n.split())
+
+    asked = {"BCME", "XENITH HOLDINGS", "NORHTWIND TRADERS", "ORTHWIND TRADERS", "TRADERS NORTHWIND", *(typo(n) for n in names for _ in range(3))}
+    register = list(enumerate(names)) + [(100, "ACME"), (101, "ACME")]
+    q = spark.createDataFrame([(n,) for n in sorted(asked)], "query string")
+    r = spark.createDataFrame(register, "id long, name string")
+    got = {x.query: (x.id, x.tier, x.candidates) for x in linkage.name_tiers(q, r, "query", "name", [F.col("id")]).collect()}
+    assert got == brute_tiers(asked, register)
+    assert got["BCME"] == (0, 3, 3) and got["XENITH HOLDINGS"][:2] == (1, 3) and got["NORHTWIND TRADERS"][:2] == (2, 3)
