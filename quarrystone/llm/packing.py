@@ -174,9 +174,10 @@ def complements(counts: np.ndarray, gap: int) -> tuple[int, ...] | None:
 
     if found := pair(gap):
         return found
-    # which sums two lengths at hand make: the index of pair sums, looked up for the third
-    third = np.flatnonzero(have[1:gap]) + 1
-    for a in third[::-1][:256].tolist():
+    # which sums two lengths at hand make, counts apart: the index of pair sums, looked up for the third, all from the longest down
+    sums = np.fft.irfft(np.fft.rfft(have[: gap + 1], 2 * gap + 2) ** 2, 2 * gap + 2) > 0.5
+    third = np.arange(-(-gap // 3), gap)  # the longest of three is a third of the gap at least
+    for a in third[have[third] & sums[gap - third]][::-1].tolist():
         if found := pair(gap - a, a):
             return a, *found
     return None

@@ -246,6 +246,27 @@ def brute_search(rows, every, k, cost, zeros):
     return out
 
 
+def test_packing_finds_every_triple():
+    counts = np.zeros(4097, np.int64)
+    counts[400:4001:3] = 3
+    assert packing.complements(counts, 2046) == (1246, 400, 400)  # the 266 longer ones below the gap leave less than 800
+    counts[400] = 1
+    assert packing.complements(counts, 2046) == (1243, 403, 400)
+    rng = np.random.default_rng(6)
+    for size in (40, 900):
+        for _ in range(30):
+            counts = np.where(rng.random(size) < 5 / size, rng.integers(1, 4, size), 0) if size < 100 else np.where(rng.random(size) < 0.5, 1, 0) * (np.arange(size) % 3 == 1)
+            counts[0] = 0
+            lengths = np.flatnonzero(counts).tolist()
+            gap = int(rng.integers(size // 2, size))
+            enough = lambda *ls: all(counts[l] >= ls.count(l) for l in ls)
+            one, two = counts[gap] > 0, any(0 < gap - a < size and enough(a, gap - a) for a in lengths)
+            three = any(0 < gap - a - b < size and enough(a, b, gap - a - b) for a in lengths for b in lengths)
+            found = packing.complements(counts, gap)
+            assert (found is not None) == bool(one or two or three)
+            assert found is None or sum(found) == gap and enough(*found) and len(found) == (1 if one else 2 if two else 3)
+
+
 def test_exact_topk_with_ties(spark):
     rows, df = vectors_of(spark, np.random.default_rng(1))
     want = [(q, r, i, -int(s)) for q, r, i, s in brute_search(rows, 50, 5, lambda a, b: -int(np.floor(256 * a) @ np.floor(256 * b)), True)]
