@@ -1,14 +1,11 @@
-"""Operator 2: repeated byte strings by a depth-limited radix sort of suffixes.
+"""Operator 2: repeated byte strings by anchored fingerprints of windows, in place of a depth-limited radix sort of suffixes.
 
-Suffixes are ordered only as deep as the threshold, ``length`` bytes, by passes from the most significant digit on, and only
-as long as they share a group with a suffix of another document:
+No suffix is refined digit by digit:
 
-* Of the suffixes that start within a window of ``length`` bytes, one is sorted for all: that with the smallest name of its
-  first digit, ``DIGIT`` bytes. The choice depends on the window's content alone, so equal windows choose alike.
-* Pass 1 deals the chosen suffixes by their first digit and sorts within it by the rest that their windows reach. A digit met
-  in one document is done; a group equal to full depth is repeated.
-* Pass 2 sorts, under each digit left with unequal groups, the single suffixes to full depth. Equal groups are exactly the
-  repeated windows.
+* Each window of ``length`` bytes has an anchor: that of its strings of ``DIGIT`` bytes with the smallest hash. The choice
+  depends on the window's content alone, so equal windows choose alike.
+* Pass 1 deals the anchors by their hash. One met in one document is done.
+* Pass 2 compares, under each anchor left, the hashes of whole windows. Equal ones are the repeated windows, but for collisions.
 
 Defined results: null and empty texts have no bytes and keep nothing (the SHA-256 of the empty string); texts shorter than
 the threshold are kept whole; of equal texts the smallest id is kept; rows with the same id do not judge one another; a null
