@@ -122,7 +122,7 @@ def q46r(s, d):
 def q47(s, d):
     rows = life(s, d)
     a = survival.bootstrap_cif_difference(rows, "format", 1095).withColumn("method", F.lit("rows"))
-    b = survival.cluster_bootstrap(rows, "l_suppkey", 1095, replicates=100).withColumnRenamed("mean", "difference").withColumn("method", F.lit("clusters"))
+    b = survival.cluster_bootstrap(rows, "l_suppkey", 1095).withColumnRenamed("mean", "difference").withColumn("method", F.lit("clusters"))
     return a.unionByName(b)
 
 

@@ -219,3 +219,10 @@ def test_name_tiers_finds_typos_anywhere(spark, seed):
     got = {x.query: (x.id, x.tier, x.candidates) for x in linkage.name_tiers(q, r, "query", "name", [F.col("id")]).collect()}
     assert got == brute_tiers(asked, register)
     assert got["BCME"] == (0, 3, 3) and got["XENITH HOLDINGS"][:2] == (1, 3) and got["NORHTWIND TRADERS"][:2] == (2, 3)
+
+
+def test_cluster_bootstrap_query_draws_as_often_as_the_reference(spark):
+    from quarrystone.plans.registry import QUERIES
+
+    got = {r.method: r.replicates for r in QUERIES["Q47r_bootstrap_cif"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {"rows": 400, "clusters": 300}
