@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import chunks_of, id_and_text, mix64, saved, table, text_batches
+from quarrystone.llm.common import chunks_of, id_and_text, mix64, saved, table
 from quarrystone.llm.components import components
 from quarrystone.llm.repeats import Ranges
 from quarrystone.llm.substring_dedup import words
@@ -95,7 +95,6 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
 def sketched(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n (shingles), s1 and s2 (128 bits that name the set), bands."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
-    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks_of(batches, 2_000_000):

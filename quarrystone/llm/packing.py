@@ -14,7 +14,6 @@ it, the last one may be shorter; repeated rows are pieces of their own; other co
 
 from __future__ import annotations
 
-import gc
 import re
 import unicodedata
 import zlib
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import id_and_text, saved, table, text_batches
+from quarrystone.llm.common import id_and_text, saved, table, without_collector
 
 CAPACITY, END = 4096, 1
 BLANKS = re.compile(r"[ \t\n\r\x0b\x0c]+")
@@ -36,6 +35,10 @@ UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 MARKS = "!#$%&*+,-./:;=?@^~"
 
 
+#: Texts that show whether words can be encoded one by one, in lower case, apart from the marks behind them.
+PROBES = ["", " ", "Two  words.", "ÉTÉ e\u0301te\u0301 Straße İ", "don't stop, it's 12.5%!", "a\tb\nc\u00a0d\u3000e", "漢字 かな", "x_y-z (q) \"r\"", "\U0001f600 end..."]
+
+
 class WordTokenizer:
     """Ids of a tokenizer that never joins over white space, remembered by word."""
 
@@ -51,11 +54,13 @@ class WordTokenizer:
         mark = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(mark)]] = True
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.remembered = remembered
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        whole = [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(PROBES, add_special_tokens=False)]
+        if self.batch(PROBES) != whole:
+            raise ValueError("this tokenizer does not lower-case, normalise and part texts at spaces and marks as the memory of words needs it")
 
     def encoded(self, words: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -120,14 +125,12 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 def tokenizer(path: str) -> WordTokenizer:
     if path not in _tokenizers:
-        gc.disable()  # the memory holds no cycles
         _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Pieces of the documents, with the block they were made in and their rank among its pieces of their length."""
-    text_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("block", pa.int32()), ("rank", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +139,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
         for whole in batches:
             for batch in (whole.slice(i, 32) for i in range(0, whole.num_rows, 32)):
                 out = []
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), words.batch([t or "" for t in batch.column("text").to_pylist()])):
+                with without_collector():  # the words' memory holds no cycles
+                    encoded = words.batch([t or "" for t in batch.column("text").to_pylist()])
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded):
                     ids += tail
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]

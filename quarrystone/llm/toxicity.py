@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import id_and_text, table, text_batches
+from quarrystone.llm.common import chunks_of, id_and_text, table
 
 #: Labelled documents to fit on, at most: the documented bound of the sample.
 SAMPLE = 8_000
@@ -107,10 +107,9 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """The machine fitted on at most ``sample`` labelled documents that are not held out; the same for the same rows."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it may be broadcast
-    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in chunks_of(batches, 2_000_000):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([sorted(slots(t or "")) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))], ["doc_id", "toxic", "slots"])
 
     rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, toxic int, slots array<int>").toArrow()
@@ -128,10 +127,9 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     machine = fitted(docs, labels, sample)
-    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in chunks_of(batches, 2_000_000):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([machine.score(slots(t or "")) for t in b.column("text").to_pylist()], pa.float64())], ["doc_id", "score"])
 
     out = id_and_text(docs).mapInArrow(run, "doc_id long, score double")
@@ -141,11 +139,10 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that the machine does not reject, with all their columns as they are."""
     machine = fitted(docs, labels, sample)
-    text_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in chunks_of(batches, 2_000_000, at):
             yield b.filter(pa.array([machine.score(slots(t or "")) < 0.5 for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

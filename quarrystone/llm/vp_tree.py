@@ -3,8 +3,8 @@
 A node of a tree holds a vantage point, and the range of its distances to the points of either half. By the triangle
 inequality a half cannot hold a point nearer than the gap between that range and the query's distance to the vantage
 point; it is skipped if ``factor`` times this gap exceeds the distance of the query's k-th best so far. Factor one is exact
-search; larger factors skip halves that would seldom hold a near point. Every row is indexed; queries go down a tree
-together, as a block.
+search (a gap counts less what rounding may have added to it); larger factors skip halves that would seldom hold a near point. Every row is
+indexed; a shard's tree is grown once for a job, and queries go down it together, as blocks.
 
 Scores are Euclidean distances of the original vectors in double precision. Defined results: vectors null, empty, of zeros alone, or
 holding null or non-finite components take no part, nor do null ids; vectors meet only those with as many components; a row is no
@@ -19,17 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarrystone.llm.common import table
-from quarrystone.llm.vectors import Best, matrices, merged, query_blocks, usable
+from quarrystone.llm.vectors import TOGETHER, Best, Queries, matrices, searched_by_block
 
-#: Nearest neighbours of a query; the pruning factor (on the test tables, whose points are spread evenly over a sphere of 64
-#: dimensions, recall is 1.00 with 4, 0.97 with 6 and 0.86 with 8); points of a shard and of a leaf.
-EVERY, K, FACTOR, SHARD, LEAF = 100, 10, 4.0, 16_384, 128
-SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("part", pa.int32())])
+#: Nearest neighbours of a query; the pruning factor (README has recall and share pruned by factor); points of a shard and of a leaf.
+EVERY, K, FACTOR, SHARD, LEAF = 100, 10, 6.0, 16_384, 64
+#: A gap is taken for smaller by this share of the distances it comes from: more than their rounding, up to millions of components.
+ROUNDING = 1e-9
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -65,7 +63,7 @@ def grown(x: np.ndarray, points: np.ndarray, rng: np.random.Generator) -> Node:
 
 
 def gaps(d: np.ndarray, span: tuple[float, float]) -> np.ndarray:
-    return np.maximum(0, np.maximum(span[0] - d, d - span[1]))
+    return np.maximum(0, np.maximum(span[0] - d, d - span[1]) - ROUNDING * (d + span[1]))
 
 
 def searched(root: Node, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, best: Best, factor: float) -> None:
@@ -111,37 +109,34 @@ def searched(root: Node, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: n
 
 def nearest(vectors: DataFrame, every: int = EVERY, k: int = K, factor: float = FACTOR) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of every query; factor one finds the nearest of all."""
-    spark, whole = vectors.sparkSession, None
-    for block in query_blocks(vectors, every, zeros=False):
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-            tops = {q.shape[1]: (q_ids, q, Best(len(q_ids), k)) for q_ids, q in sent.value}
-
-            def flush(d: int) -> None:
-                parts = held.pop(d)
-                ids, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                q_ids, q, best = tops[d]
-                searched(grown(x, np.arange(len(x)), np.random.default_rng(len(x))), x, ids, q, q_ids, best, factor)
-
-            for batch in batches:
-                for ids, x in matrices(batch, zeros=False):
-                    d = x.shape[1]
-                    if d in tops:
-                        held.setdefault(d, []).append((ids, x))
-                        if sum(len(p[0]) for p in held[d]) >= SHARD:
-                            flush(d)
-            for d in list(held):
-                flush(d)
-            part = TaskContext.get().partitionId()
-            for q_ids, _, best in tops.values():
-                n = len(best.query)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[best.query]), pa.array(best.id), pa.array(best.cost), pa.array(np.full(n, part, np.int32))], schema=SCHEMA)
-
-        found = usable(vectors).mapInArrow(run, "query_id long, vec_id long, score double, part int")
-        whole = found if whole is None else whole.unionByName(found)
-    return merged(whole, k, F.col("score"))
+
+    def search(batches: Iterator[pa.RecordBatch], queries: Queries) -> Iterator[tuple[np.ndarray, Best]]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        tops: dict[int, list[tuple[np.ndarray, np.ndarray, Best]]] = {}
+        for q_ids, q in queries:
+            tops[q.shape[1]] = [(q_ids[at : at + TOGETHER], q[at : at + TOGETHER], Best(len(q_ids[at : at + TOGETHER]), k)) for at in range(0, len(q_ids), TOGETHER)]
+
+        def flush(d: int) -> None:
+            parts = held.pop(d)
+            ids, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            tree = grown(x, np.arange(len(x)), np.random.default_rng(len(x)))
+            for q_ids, q, best in tops[d]:
+                searched(tree, x, ids, q, q_ids, best, factor)
+
+        for batch in batches:
+            for ids, x in matrices(batch, zeros=False):
+                d = x.shape[1]
+                if d in tops:
+                    held.setdefault(d, []).append((ids, x))
+                    if sum(len(p[0]) for p in held[d]) >= SHARD:
+                        flush(d)
+        for d in list(held):
+            flush(d)
+        for of in tops.values():
+            for q_ids, _, best in of:
+                yield q_ids, best
+
+    return searched_by_block(vectors, every, k, False, search, "double", 1)
 
 
 def op1_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -291,22 +291,79 @@ def test_vp_tree_with_factor_one_is_exact(spark):
     assert by(tuple(r) for r in vp_tree.nearest(df.repartition(2), factor=1.0).collect()) == by(want)
 
 
-def test_vp_tree_recall():
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(4000, 64))
-    q = x[:40]
-    found = vp_tree.Best(40, 10)
-    vp_tree.searched(vp_tree.grown(x, np.arange(4000), rng), x, np.arange(4000), q, np.arange(40), found, vp_tree.FACTOR)
-    true = np.sort(np.where(np.arange(40)[:, None] == np.arange(4000), np.inf, vp_tree.distances(q, x)), 1)[:, 9]
-    assert (found.cost <= true[found.query]).mean() >= 0.9
+def test_vp_tree_recall(spark):
+    """The query itself, on the whole table, against brute force: recall and the share of distances that the tree spares."""
+    import pyarrow.parquet
+
+    folder = "/root/testdata/sf0.1"
+    t = pyarrow.parquet.read_table(f"{folder}/embeddings.parquet")
+    x, ids = np.asarray(t.column("embedding").to_pylist(), float), t.column("vec_id").to_numpy()
+    asks = np.flatnonzero(ids % 100 == 0)
+    d = vp_tree.distances(x[asks], x)
+    d[np.arange(len(asks)), asks] = np.inf
+    limit = dict(zip(ids[asks].tolist(), np.sort(d, 1)[:, 9].tolist()))
+    got = vp_tree.op1_vp_tree(spark, folder).collect()
+    assert len(got) == 10 * len(asks)
+    assert sum(r.score <= limit[r.query_id] for r in got) / len(got) >= 0.9
+    seen, plain = [0], vp_tree.distances
+
+    def counting(a, b):
+        seen[0] += len(a) * len(b)
+        return plain(a, b)
+
+    tree, best = vp_tree.grown(x, np.arange(len(x)), np.random.default_rng(1)), vp_tree.Best(len(asks), 10)
+    vp_tree.distances = counting
+    try:
+        vp_tree.searched(tree, x, ids, x[asks], ids[asks], best, vp_tree.FACTOR)
+    finally:
+        vp_tree.distances = plain
+    assert seen[0] < 0.97 * len(asks) * len(x)
+
+
+def test_vp_tree_factor_one_survives_rounding():
+    rng = np.random.default_rng(8)
+    for run in range(10):
+        x = rng.normal(size=(2000, 1)).round(3)
+        ids, best = np.arange(2000), vp_tree.Best(50, 10)
+        vp_tree.searched(vp_tree.grown(x, ids, rng), x, ids, x[:50], ids[:50], best, 1.0)
+        d = vp_tree.distances(x[:50], x)
+        d[ids[:50], ids[:50]] = np.inf
+        want = [(q, c, i) for q in range(50) for c, i in sorted(zip(d[q].tolist(), range(2000)))[:10]]
+        assert list(zip(best.query.tolist(), best.cost.tolist(), best.id.tolist())) == want
 
 
 def test_query_blocks_cover_all(spark):
     from quarrystone.llm.vectors import query_blocks
 
     _, df = vectors_of(spark, np.random.default_rng(4))
-    ids = [i for block in query_blocks(df, 10, True, size=7) for q, _ in block for i in q.tolist()]
-    assert sorted(ids) == [*range(0, 300, 10)]
+    blocks = list(query_blocks(df, 10, True, sent=200))
+    assert len(blocks) > 5
+    assert sorted(i for block in blocks for q, _ in block for i in q.tolist()) == [*range(0, 300, 10)]
+
+
+def test_searches_in_several_blocks_and_merge_levels(spark, monkeypatch):
+    from quarrystone.llm import vectors
+
+    rows, df = vectors_of(spark, np.random.default_rng(9))
+    monkeypatch.setattr(vectors, "FAN", 2)
+    monkeypatch.setattr(vectors.query_blocks, "__defaults__", (100,))
+    want = brute_search(rows, 50, 5, lambda a, b: -int(np.floor(256 * a) @ np.floor(256 * b)), True)
+    assert by(tuple(r) for r in exact_topk.exact_topk(df.repartition(9)).collect()) == by((q, r, i, -int(s)) for q, r, i, s in want)
+
+
+def test_exact_topk_of_large_components(spark):
+    """Scores beyond 2**53 are exact, and those beyond 64 bits are the largest long."""
+    def score(a, b):
+        dot = sum((int(x) * 256 if abs(x) >= 2**53 else int(np.floor(x * 256))) * (int(y) * 256 if abs(y) >= 2**53 else int(np.floor(y * 256))) for x, y in zip(a, b))
+        return max(-exact_topk.MOST, min(exact_topk.MOST, dot))
+
+    rng = np.random.default_rng(5)
+    vectors = [[1000001.0] * 64, [1000003.0] * 63 + [1000003.00390625], [1000003.0] * 64, [1000003.0] * 63 + [1000003.0078125]]
+    vectors += [(rng.normal(size=64) * 10.0 ** rng.integers(0, 8)).tolist() for _ in range(60)] + [[1e300] * 64, [-1e300] * 64, [3e9] * 64]
+    rows = list(enumerate(vectors))
+    got = [tuple(r) for r in exact_topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1).collect()]
+    want = [(q, n + 1, i, -s) for q, v in rows for n, (s, i) in enumerate(sorted((-score(v, w), i) for i, w in rows if i != q)[:5])]
+    assert by(got) == by(want)
 
 
 def test_url_verdicts(spark):
