@@ -1,31 +1,40 @@
 """Operator 3: URL filtering by a tree of path templates, in DataFrame operations only.
 
 Given rules decide first: a rule fits its host and all subdomains if the path starts with the rule's path; the longest rule wins. Urls
-that rules decide are the labelled ones. For the rest a tree of templates is learnt:
+that rules decide are the labelled ones. For the rest a tree of templates is learnt, host by host, a level for each segment of the path:
 
-* Paths are cut into segments, the first ``DEPTH`` of them. Level by level, the children of a branch that are too many for
-  their rows (more than ``VARIED`` distinct ones, and more than one for ``ROWS`` rows) are a variable segment, and become ``*``.
-* A branch's purity is its share of blocked labelled urls, smoothed by ``WEIGHT`` urls of its parent's purity; the parent of a host's
-  branch is the same branch over all hosts, that of all is the whole table.
-* A branch whose labelled share lies within ``Z`` standard errors of its parent's is merged into the parent: it takes the parent's purity.
-* A template is rejected if its purity is above one half.
+* *Wildcards.* Where the children of a branch are too many for its rows (more than ``VARIED`` distinct ones, and more than one for ``ROWS``
+  rows), the segment is variable: children become ``*``, but for those that hold one in ``VARIED`` of the branch's rows, or are empty.
+* *Merging.* Siblings are put in order of their share of blocked labelled urls, in steps of ``1 / STEPS``. Neighbours whose shares do not
+  differ by ``Z`` standard errors (two proportions, pooled) are one branch from there on: below it they share their children.
+* *Purity.* A branch's purity is that of its parent if its share lies within ``Z`` standard errors of it, else its share, smoothed by
+  ``WEIGHT`` urls of the parent's purity. The parent of a host's first branches is the same template over all hosts, that of these is the
+  whole table; merged branches have the mean of their parents, by labelled urls.
+* A path is rejected if the purity of its last branch is above one half.
 
-Counts are aggregated by path before any join, so a host with a third of all rows weighs no more than its distinct paths.
+The tree goes down to the deepest segment. A branch ends early if it has no labelled url, or one path alone: nothing below it could differ.
+A round of Spark makes a level and writes it, so plans stay as small as one level. Rows are counted by path before any join; joins of paths with
+their branch are dealt in ``SALTS`` places, so a host with a third of all rows is no single task's.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule, and the verdict of the template with no segments;
-repeated rows are judged alike; ids may be null; without labelled urls all that no rule blocks is allowed; other columns are not read.
+repeated rows are judged alike; ids may be null; slashes before the first segment count as one; without labelled urls all that no rule blocks is
+allowed; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import table
+from quarrystone.llm.common import released, stored, table
 
 #: verdict, host, path
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-DEPTH, VARIED, ROWS, WEIGHT, Z, SALTS = 3, 8, 4, 4, 1.96, 16
+VARIED, ROWS, WEIGHT, Z, STEPS, SALTS = 8, 4, 4, 1.96, 64, 16
+#: Levels that the SQL goes down; it equals the operator on tables with no more segments.
+SQL_LEVELS = 4
+#: Purities are rounded to so many digits, so that the order of a sum decides nothing.
+DIGITS = 9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,17 +56,61 @@ def ruled(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tupl
     return name, verdict
 
 
-def counted(frame: DataFrame, *by: str) -> DataFrame:
-    return frame.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-
-
-def smoothed(node: DataFrame, parent: DataFrame, by: list[str], of: str, to: str) -> DataFrame:
-    """Node counts with purity ``to``, from the parents' purity ``of``: merged into it where alike, else smoothed by it."""
-    p, share = F.col(of), F.col("blocked") / F.greatest("labelled", F.lit(1))
-    alike = F.abs(share - p) <= Z * F.sqrt(p * (1 - p) / F.greatest("labelled", F.lit(1)))
-    own = F.when((F.col("labelled") == 0) | alike, p).otherwise((F.col("blocked") + WEIGHT * p) / (F.col("labelled") + WEIGHT))
-    joined = node.join(parent.select(*by, of), by) if by else node.crossJoin(F.broadcast(parent.select(of)))  # parent: one row
-    return joined.withColumn(to, own)
+def purity(of: str = "prior") -> Column:
+    """A branch's purity, from its labelled and blocked urls and its parent's purity."""
+    p, labelled = F.col(of), F.greatest("labelled", F.lit(1))
+    share = F.col("blocked") / labelled
+    alike = F.abs(share - p) <= Z * F.sqrt(p * (1 - p) / labelled)
+    return F.when((F.col("labelled") == 0) | alike, p).otherwise(F.round((F.col("blocked") + WEIGHT * p) / (F.col("labelled") + WEIGHT), DIGITS))
+
+
+def counted(frame: DataFrame, *by: str | Column) -> DataFrame:
+    return frame.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked", "paths")))
+
+
+def met(many: DataFrame, few: DataFrame, on: list[str], by: str) -> DataFrame:
+    """Left join in SALTS places for each key, the place of a row being decided by its column ``by``."""
+    left = many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    right = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [*on, "salt"], "left").drop("salt")
+
+
+def level(rows: DataFrame, depth: int, root: float) -> DataFrame:
+    """The rows (paths of open branches: host, path, segments, n, labelled, blocked, paths, node, prior) one level further down.
+
+    node is the branch below, null if it ends here; prior is its purity.
+    """
+    rows = rows.withColumn("segment", F.coalesce(F.get("segments", F.lit(depth)), F.lit("")))
+    children = stored(rows.groupBy("node", "segment").agg(F.sum("n").alias("n")))
+    varied = children.groupBy("node").agg(F.count("*").alias("children"), F.sum("n").alias("whole")).where((F.col("children") > VARIED) & (F.col("children") * ROWS > F.col("whole")))
+    # of a variable segment's children, VARIED at most can hold one in VARIED of the rows
+    fixed = met(children, varied, ["node"], "segment").where("whole is not null").groupBy("node").agg(F.collect_set(F.when((F.col("n") * VARIED >= F.col("whole")) | (F.col("segment") == ""), F.col("segment"))).alias("fixed"))
+    template = F.when(F.col("fixed").isNotNull() & ~F.array_contains("fixed", F.col("segment")), F.lit("*")).otherwise(F.col("segment"))
+    rows = stored(met(rows, fixed, ["node"], "path").withColumn("template", template).drop("fixed"))
+    templates = rows.groupBy("node", "template").agg(F.max("prior").alias("prior"), *(F.sum(c).alias(c) for c in ("n", "labelled", "blocked", "paths")))
+    if depth == 0:
+        over = counted(templates, "template").withColumn("prior", F.lit(root)).select("template", purity().alias("prior"))
+        templates = met(templates.drop("prior"), over, ["template"], "node")
+    step = F.floor(STEPS * F.col("blocked") / F.col("labelled"))
+    templates = stored(templates.withColumn("step", F.when(F.col("labelled") > 0, step)))
+    # at most STEPS + 1 rows of a branch are put in order
+    steps = templates.where("labelled > 0").groupBy("node", "step").agg(F.sum(F.col("labelled") * F.col("prior")).alias("weighed"), *(F.sum(c).alias(c) for c in ("labelled", "blocked", "paths")))
+    order = Window.partitionBy("node").orderBy("step")
+    before, b = F.lag("labelled").over(order), F.lag("blocked").over(order)
+    pooled = (F.col("blocked") + b) / (F.col("labelled") + before)
+    apart = F.abs(F.col("blocked") / F.col("labelled") - b / before) > Z * F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / before))
+    steps = steps.withColumn("apart", F.coalesce(apart.cast("int"), F.lit(0))).withColumn("branch", F.sum("apart").over(order))
+    whole = Window.partitionBy("node", "branch")
+    prior = F.round(F.sum("weighed").over(whole) / F.sum("labelled").over(whole), DIGITS)
+    merged = steps.select("node", "step", "branch", prior.alias("prior"), *(F.sum(c).over(whole).alias(c) for c in ("labelled", "blocked")), F.sum("paths").over(whole).alias("below"))
+    merged = merged.select("node", "step", "branch", "below", purity().alias("purity"))
+    judged = met(templates, merged, ["node", "step"], "template").select("node", "template", "branch", "below", F.coalesce("purity", "prior").alias("purity"))
+    out = met(rows, judged, ["node", "template"], "path")
+    # a branch ends with those of its paths that end; the others go on together
+    node = F.when((F.col("below") > 1) & (F.size("segments") > depth + 1), F.concat("node", F.lit("/"), F.col("branch")))
+    out = stored(out.select("host", "path", "segments", "n", "labelled", "blocked", "paths", node.alias("node"), F.col("purity").alias("prior")))
+    released(children, rows, templates)
+    return out
 
 
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -66,33 +119,22 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) ->
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     name, verdict = ruled(F.col("host"), F.col("path"), rules)
     urls = urls.withColumns({"rule": name, "given": verdict})
-    parts = F.split(F.ltrim(F.col("path"), F.lit("/")), "/")
-    raw = [f"s{i + 1}" for i in range(DEPTH)]
-    urls = urls.withColumns({s: F.coalesce(F.get(parts, F.lit(i)), F.lit("")) for i, s in enumerate(raw)})
-    paths = urls.groupBy("host", *raw).agg(F.count("*").alias("n"), F.count("given").alias("labelled"), F.count_if(F.col("given") == "block").alias("blocked"))
-    # a host's paths meet its branches in SALTS places, so a host with a third of all paths is no single task's
-    paths = paths.withColumn("salt", F.pmod(F.xxhash64(*raw), F.lit(SALTS)).cast("int"))
-    salted = lambda frame: frame.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    made: list[str] = []
-    for s in raw:
-        above = ["host", *made]
-        values = paths.groupBy(*above, s).agg(F.sum("n").alias("n"))
-        varied = values.groupBy(*above).agg(((F.count("*") > VARIED) & (F.count("*") * ROWS > F.sum("n"))).alias("varied"))
-        t = "t" + s[1:]
-        paths = paths.join(salted(varied), [*above, "salt"]).withColumn(t, F.when(F.col("varied") & (F.col(s) != ""), F.lit("*")).otherwise(F.col(s))).drop("varied")
-        made.append(t)
-    total = counted(paths.withColumn("all", F.lit(1)), "all")
-    purity = total.select(F.when(F.col("labelled") > 0, F.col("blocked") / F.col("labelled")).otherwise(F.lit(0.0)).alias("p0"))
-    over_all = smoothed(counted(paths, "t1"), purity, [], "p0", "p1")
-    by_host = smoothed(counted(paths, "host", "t1"), over_all, ["t1"], "p1", "p2")
-    last, of = by_host, "p2"
-    for depth in range(2, DEPTH + 1):
-        to = f"p{depth + 1}"
-        last = smoothed(counted(paths, "host", *made[:depth]), last, ["host", *made[: depth - 1]], of, to)
-        of = to
-    judged = paths.select("host", "salt", *raw, *made).join(salted(last.select("host", *made, of)), ["host", "salt", *made]).select("host", *raw, (F.col(of) > 0.5).alias("rejected"))
-    out = urls.join(judged, ["host", *raw], "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("given", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
+    counts = urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("given").alias("labelled"), F.count_if(F.col("given") == "block").alias("blocked"))
+    rows = stored(counts.select("host", "path", F.split(F.ltrim("path", F.lit("/")), "/").alias("segments"), "n", "labelled", "blocked", F.lit(1).cast("long").alias("paths"), F.col("host").alias("node"), F.lit(0.0).alias("prior")))
+    labelled, blocked = rows.agg(F.sum("labelled"), F.sum("blocked")).first()
+    root, depth, ended = round(blocked / labelled, DIGITS) if labelled else 0.0, 0, []
+    while True:
+        below = level(rows, depth, root)
+        ended.append(below.where("node is null and labelled = 0").select("host", "path", (F.col("prior") > 0.5).alias("rejected")))
+        rows, depth = below.where("node is not null"), depth + 1
+        if rows.isEmpty():
+            break
+    judged = ended[0]
+    for more in ended[1:]:
+        judged = judged.unionByName(more)
+    # rejected paths alone are needed; a path's rows are dealt by page
+    rejected = judged.where("rejected")
+    return met(urls, rejected, ["host", "path"], "page_id").select("page_id", "host", "path", "rule", F.coalesce("given", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
 
 
 def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,40 +142,38 @@ def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB SQL."""
+    """The same in DuckDB SQL, SQL_LEVELS segments down."""
     name, verdict = "", ""
     for kind, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])):
         fits = f"((host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}'))"
         name += f" when {fits} then '{h + p}'"
         verdict += f" when {fits} then '{kind}'"
+    own = f"case when labelled = 0 or abs(blocked / greatest(labelled, 1) - prior) <= {Z} * sqrt(prior * (1 - prior) / greatest(labelled, 1)) then prior else round((blocked + {WEIGHT} * prior) / (labelled + {WEIGHT}), {DIGITS}) end"
+    sums = "sum(n) as n, sum(labelled) as labelled, sum(blocked) as blocked, sum(paths) as paths"
     q = f"""
 with a as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
 b as (select *, coalesce(regexp_extract(rest, '^[^/?#]*'), '') as h from a),
 c as (select page_id, translate(h, '{UPPER}', '{LOWER}') as host, coalesce(regexp_extract(substr(rest, length(h) + 1), '^[^?#]*'), '') as path from b),
-d as (select *, case{name} end as rule, case{verdict} end as given, string_split(ltrim(path, '/'), '/') as parts from c),
-u as (select *, {', '.join(f"coalesce(parts[{i}], '') as s{i}" for i in range(1, DEPTH + 1))} from d),
-w0 as (select host, {', '.join(f's{i}' for i in range(1, DEPTH + 1))}, count(*) as n, count(given) as labelled, count(*) filter (given = 'block') as blocked from u group by all)"""
-    above = "host"
-    for i in range(1, DEPTH + 1):
-        q += f""",
-v{i} as (select {above}, count(*) > {VARIED} and count(*) * {ROWS} > sum(n) as varied from (select {above}, s{i}, sum(n) as n from w{i - 1} group by all) group by all),
-w{i} as (select w.*, case when varied and s{i} <> '' then '*' else s{i} end as t{i} from w{i - 1} w join v{i} using ({above}))"""
-        above += f", t{i}"
-
-    def own(p: str, to: str) -> str:
-        return f"case when labelled = 0 or abs(blocked / greatest(labelled, 1) - {p}) <= {Z} * sqrt({p} * (1 - {p}) / greatest(labelled, 1)) then {p} else (blocked + {WEIGHT} * {p}) / (labelled + {WEIGHT}) end as {to}"
-
-    counts = "sum(n) as n, sum(labelled) as labelled, sum(blocked) as blocked"
-    q += f""",
-p0 as (select case when sum(labelled) > 0 then sum(blocked) / sum(labelled) else 0.0::double end as p0 from w{DEPTH}),
-p1 as (select t1, {own('p0', 'p1')} from (select t1, {counts} from w{DEPTH} group by all) cross join p0),
-p2 as (select host, t1, {own('p1', 'p2')} from (select host, t1, {counts} from w{DEPTH} group by all) join p1 using (t1))"""
-    keys = "host, t1"
-    for i in range(2, DEPTH + 1):
+u as (select *, case{name} end as rule, case{verdict} end as given from c),
+r0 as (select host, path, string_split(ltrim(path, '/'), '/') as segments, count(*) as n, count(given) as labelled, count(*) filter (given = 'block') as blocked, 1 as paths, host as node, 0.0::double as prior from u group by all),
+root as (select case when sum(labelled) > 0 then round(sum(blocked) / sum(labelled), {DIGITS}) else 0.0::double end as root from r0)"""
+    for d in range(SQL_LEVELS):
+        prior = f"(select template, {own} as prior from (select template, {sums}, max(root) as prior from t{d} cross join root group by template))" if d == 0 else f"(select distinct node, prior from r{d} where node is not null)"
         q += f""",
-p{i + 1} as (select {keys}, t{i}, {own(f'p{i}', f'p{i + 1}')} from (select {keys}, t{i}, {counts} from w{DEPTH} group by all) join p{i} using ({keys}))"""
-        keys += f", t{i}"
-    raw = ", ".join(f"s{i}" for i in range(1, DEPTH + 1))
-    return q + f"""
-select page_id, host, path, rule, coalesce(given, case when p{DEPTH + 1} > 0.5 then 'block' else 'allow' end) as verdict
-from u left join (select host, {raw}, p{DEPTH + 1} from w{DEPTH} join p{DEPTH + 1} using ({keys})) using (host, {raw})"""
+s{d} as (select *, coalesce(segments[{d + 1}], '') as segment from r{d} where node is not null),
+c{d} as (select node, segment, {sums} from s{d} group by all),
+v{d} as (select node, sum(n) as whole from c{d} group by node having count(*) > {VARIED} and count(*) * {ROWS} > sum(n)),
+m{d} as (select c{d}.*, case when whole is not null and segment <> '' and n * {VARIED} < whole then '*' else segment end as template from c{d} left join v{d} using (node)),
+t{d} as (select node, template, {sums} from m{d} group by all),
+p{d} as (select t{d}.*, prior from t{d} join {prior} using ({'template' if d == 0 else 'node'})),
+g{d} as (select node, floor({STEPS} * blocked / labelled) as step, sum(labelled * prior) as weighed, sum(labelled) as labelled, sum(blocked) as blocked, sum(paths) as paths from p{d} where labelled > 0 group by all),
+h{d} as (select *, lag(labelled) over w as l, lag(blocked) over w as b from g{d} window w as (partition by node order by step)),
+i{d} as (select *, sum(coalesce(cast(abs(blocked / labelled - b / l) > {Z} * sqrt((blocked + b) / (labelled + l) * (1 - (blocked + b) / (labelled + l)) * (1 / labelled + 1 / l)) as integer), 0)) over (partition by node order by step rows unbounded preceding) as branch from h{d}),
+j{d} as (select node, branch, {own} as purity, below from (select node, branch, round(sum(weighed) / sum(labelled), {DIGITS}) as prior, sum(labelled) as labelled, sum(blocked) as blocked, sum(paths) as below from i{d} group by all)),
+k{d} as (select p{d}.node, template, i{d}.branch, below, coalesce(purity, prior) as purity from p{d} left join i{d} on p{d}.node = i{d}.node and p{d}.labelled > 0 and floor({STEPS} * p{d}.blocked / p{d}.labelled) = step left join j{d} on i{d}.node = j{d}.node and i{d}.branch = j{d}.branch),
+r{d + 1} as (select s.host, s.path, s.segments, s.n, s.labelled, s.blocked, s.paths, case when k.below > 1 and len(segments) > {d + 1} then s.node || '/' || cast(k.branch as varchar) end as node, k.purity as prior
+  from s{d} s join m{d} m on s.node = m.node and s.segment = m.segment join k{d} k on s.node = k.node and m.template = k.template)"""
+    ends = " union all ".join(f"select host, path, prior from r{d + 1} where labelled = 0" + (" and node is null" if d + 1 < SQL_LEVELS else "") for d in range(SQL_LEVELS))
+    return q + f""",
+e as ({ends})
+select page_id, host, path, rule, coalesce(given, case when prior > 0.5 then 'block' else 'allow' end) as verdict from u left join e using (host, path)"""

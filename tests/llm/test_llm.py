@@ -377,6 +377,110 @@ def test_url_verdicts(spark):
     assert len({got[i].verdict for i in range(9, len(urls))}) == 1
 
 
+def brute_urls(urls, rules):
+    """Verdicts by a recursion over lists of paths, from the docstring's rules alone."""
+    U = url_templates
+
+    def parts(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        return host.translate(str.maketrans(U.UPPER, U.LOWER)), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+    def given(host, path):
+        fits = [(len(h + p), kind) for kind, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    def pure(labelled, blocked, prior):
+        if not labelled or abs(blocked / labelled - prior) <= U.Z * (prior * (1 - prior) / labelled) ** 0.5:
+            return prior
+        return round((blocked + U.WEIGHT * prior) / (labelled + U.WEIGHT), U.DIGITS)
+
+    count: dict = {}
+    for url in urls:
+        count[parts(url)] = count.get(parts(url), 0) + 1
+    label = {k: given(*k) for k in count}
+    total = lambda some: (sum(count[k] for k in some if label[k]), sum(count[k] for k in some if label[k] == "block"))
+    segments = {k: k[1].lstrip("/").split("/") for k in count}
+    result: dict = {}
+    l, b = total(count)
+    root = round(b / l, U.DIGITS) if l else 0.0
+
+    def templates(some, depth):
+        by_segment: dict = {}
+        for k in some:
+            by_segment.setdefault(segments[k][depth] if depth < len(segments[k]) else "", []).append(k)
+        rows = {s: sum(count[k] for k in ks) for s, ks in by_segment.items()}
+        whole, out = sum(rows.values()), {}
+        varied = len(rows) > U.VARIED and len(rows) * U.ROWS > whole
+        for s, ks in by_segment.items():
+            out.setdefault("*" if varied and s and rows[s] * U.VARIED < whole else s, []).extend(ks)
+        return out
+
+    def down(some, depth, priors):
+        found = templates(some, depth)
+        steps: dict = {}
+        for t, ks in found.items():
+            l, b = total(ks)
+            if l:
+                steps.setdefault(U.STEPS * b // l, []).append(t)
+            else:
+                result.update((k, priors(t)) for k in ks)
+        branches: list = []
+        for step in sorted(steps):
+            ks = [k for t in steps[step] for k in found[t]]
+            l, b = total(ks)
+            if branches:
+                m, c = branches[-1][1]
+                p = (b + c) / (l + m)
+                if abs(b / l - c / m) <= U.Z * (p * (1 - p) * (1 / l + 1 / m)) ** 0.5:
+                    branches[-1][0].extend(steps[step])
+                    branches[-1][1] = l, b
+                    continue
+            branches.append([list(steps[step]), (l, b)])
+        for ts, _ in branches:
+            ks = [k for t in ts for k in found[t]]
+            l, b = total(ks)
+            prior = round(sum(total(found[t])[0] * priors(t) for t in ts) / l, U.DIGITS)
+            p = pure(l, b, prior)
+            more = [k for k in ks if len(ks) > 1 and len(segments[k]) > depth + 1]
+            result.update((k, p) for k in ks if k not in more)
+            if more:
+                down(more, depth + 1, lambda t, p=p: p)
+
+    hosts: dict = {}
+    for k in count:
+        hosts.setdefault(k[0], []).append(k)
+    over: dict = {}
+    for ks in hosts.values():
+        for t, some in templates(ks, 0).items():
+            over.setdefault(t, []).extend(some)
+    first = {t: pure(*total(ks), root) for t, ks in over.items()}
+    for ks in hosts.values():
+        down(ks, 0, first.get)
+    return [label[parts(u)] or ("block" if result[parts(u)] > 0.5 else "allow") for u in urls]
+
+
+def test_url_tree_against_brute_force(spark):
+    """Paths of up to ten segments, with variable ones, frequent fixed ones among them, and rules deep down."""
+    rng = random.Random(11)
+    rules = [*url_templates.RULES, ("block", "deep.net", "/a/b/c/d/"), ("allow", "deep.net", "/a/b/c/x/"), ("block", "net", "/q/"), ("allow", "big.com", "/u/keep/"), ("block", "big.com", "/u/drop/")]
+    urls = []
+    for _ in range(2500):
+        host = rng.choice(["deep.net", "big.com", "a.example.org", "b.net", "c.com", f"h{rng.randrange(40)}.net"])
+        path = [rng.choice(["a", "a", "q", "de", "fr", "en", "u"])]
+        while len(path) < 10 and rng.random() < 0.8:
+            path.append(rng.choice(["b", "c", "d", "x", "keep", "drop", str(rng.randrange(500))]))
+        if rng.random() < 0.3:
+            path = ["a", "b", "c", rng.choice("dxyz"), *(rng.choice("efg") for _ in range(rng.randrange(6))), str(rng.randrange(3000))]
+        urls.append(f"https://{host}/{'/'.join(path)}{rng.choice(['', '/', '?x', '#y'])}")
+    urls += [None, "", "x", "http://", "http://b.net", "http://b.net//q//"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_templates.url_verdicts(df, rules).collect()}
+    want = brute_urls(urls, rules)
+    assert [got[i] for i in range(len(urls))] == want
+    assert {w for u, w in zip(urls, want) if u and "deep.net/a/b/c/y" in u}  # decided below the third segment
+
+
 def brute_licenses(rows):
     out = set()
     texts: dict = {}
