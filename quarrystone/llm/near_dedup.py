@@ -6,58 +6,103 @@ when every bin is filled, and the last ``BINS`` rounds fill one given bin each,
 agree in a bin with the probability of the sets' similarity, concentrated as for independent bins, at the cost of the set plus
 ``BINS log BINS`` instead of their product.
 
-Sketches are cut into ``BANDS`` bands of ``ROWS``; sets that agree in a band are candidates. At similarity 0.8 a pair is missed
-with probability (1 - 0.8**6)**40 = 5e-6. Equal sets are one node from the start. Every node is first compared with the smallest
-nodes of its buckets that it shares most bands with; these links are verified and joined to components. Then all candidates
-that are still in different components, and can be similar by the prefix filter on their rarest shingles, are verified, so that no link which could join two components is left out, while a large group of
-copies of one text, linked already, never expands into pairs.
+Sketches are cut into ``BANDS`` bands of ``ROWS``; sets that agree in a band are candidates. Texts of the same words are one node from the start
+(the SHA-256 of the words joined by a space). Every node is first compared with the smallest nodes of its buckets that it shares most bands
+with; these links are verified and joined to components. Bands alone would miss a pair at similarity 0.8 with probability (1 - 0.8**6)**20 = 0.002, so
+they do not have the last word: an exact prefix filter over the rarest shingles of *all* nodes finds every other pair in different
+components that can be similar, and these are verified too. So no link is lost that could join two components, while a large group of copies of
+one text, linked already, never expands into pairs.
+
+Hashes propose, words decide: links are confirmed on sets whose shingles are compared word by word, and a set's size counts shingles that
+differ as words.
 
 Words are maximal runs of bytes other than space and 0x09 to 0x0D, A-Z lower-cased. Defined results: null and empty texts, or
 texts of blanks, have no shingles and link with nothing; a text with fewer words than a shingle is one shingle; rows that share
-an id are one node; rows with a null id take no part and are kept; other columns pass through untouched.
+an id are one document, linked as any of its texts is; rows with a null id take no part and are kept; other columns pass through untouched.
 """
 
 from __future__ import annotations
 
+import hashlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import chunks_of, id_and_text, mix64, saved, table
+from quarrystone.llm.common import chunks_of, id_and_text, mix64, released, saved, stored, table
 from quarrystone.llm.components import components
-from quarrystone.llm.repeats import Ranges
-from quarrystone.llm.substring_dedup import words
 
 SHINGLE, SIMILAR = 5, 80
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 20, 6
 BINS = BANDS * ROWS
-#: Slots in which shingles are counted for the order of rarity.
+#: Slots in which shingles are counted for the order of rarity: so much is broadcast, whatever the input. The order decides costs alone.
 SLOTS = 1 << 20
+#: Words that a worker remembers.
+REMEMBERED = 300_000
 U = np.uint64
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-
-
-def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the distinct shingles of all texts, by text and name, and where each text's begin."""
-    texts = texts.cast(pa.large_binary()).fill_null(b"")
-    starts = np.concatenate([[0], np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))])
-    data = LOWER[np.frombuffer(b"".join(texts.to_pylist()), np.uint8)]
-    _, _, names, units = words(data, starts)
-    doc = np.repeat(np.arange(len(units) - 1), np.diff(units))
-    at = np.arange(len(names))
-    last = units[1:][doc]
-    first = units[:-1][doc]
+
+
+class Numbers(dict):
+    """Numbers of words, as they are met, and a name of 64 bits for each, which is the same in every worker."""
+
+    def __init__(self) -> None:
+        self.names = array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.names)
+        self.names.append(int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"))
+        return n
+
+
+_numbers = Numbers()
+
+
+def words_of(texts: pa.Array) -> list[list[bytes]]:
+    """bytes.split and bytes.lower know the six blanks and A-Z alone."""
+    return [(t or b"").lower().split() for t in texts.cast(pa.large_binary()).to_pylist()]
+
+
+def shingle_sets(words: list[list[bytes]], size: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the distinct shingles of all texts, by text and name, and where each text's begin.
+
+    A name is a hash, the same everywhere; or, exact, a number that two shingles of these texts share only if their words are the same.
+    """
+    global _numbers
+    if len(_numbers) > REMEMBERED:
+        _numbers = Numbers()
+    units = np.cumsum([0, *map(len, words)])
+    ids = np.fromiter(map(_numbers.__getitem__, chain.from_iterable(words)), np.int64, int(units[-1]))
+    doc = np.repeat(np.arange(len(words)), np.diff(units))
+    at = np.arange(len(ids))
+    last, first = units[1:][doc], units[:-1][doc]
     use = (at + size <= last) | (at == first)
-    at, doc, last = at[use], doc[use], last[use]
-    name = Ranges(names).name(at, np.minimum(at + size, last))
-    order = np.lexsort((name, doc))
-    doc, name = doc[order], name[order]
+    at, doc, end = at[use], doc[use], np.minimum(at[use] + size, last[use])
+    if exact:
+        name = np.zeros(len(at), np.int64)
+        for k in range(size):  # a shingle's number, from that of its first words and the next one (0: none)
+            word = np.where(at + k < end, ids[np.minimum(at + k, len(ids) - 1)] + 1, 0)
+            name = np.unique(name << 32 | word, return_inverse=True)[1]
+        order = np.lexsort((name, doc))
+    else:
+        of = np.frombuffer(_numbers.names.tobytes(), U)
+        name = (end - at).astype(U)
+        for k in range(size):
+            name = np.where(at + k < end, mix64(name * U(0x9FB21C651E98DF25) + of[ids[np.minimum(at + k, len(ids) - 1)]]), name)
+        order = np.lexsort((name, doc))
+    doc, name, at = doc[order], name[order], at[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (name[1:] != name[:-1])
+    if not exact and not new.all():
+        twice = np.flatnonzero(~new)
+        # equal names have to be equal words; if a hash ever collides, the sizes come from the exact names
+        if any((ids[np.minimum(at[twice] + k, len(ids) - 1)] != ids[np.minimum(at[twice - 1] + k, len(ids) - 1)])[at[twice] + k < units[1:][doc[twice]]].any() for k in range(size)):
+            _, cuts = shingle_sets(words, size, exact=True)
+            filled = [np.resize(np.unique(name[doc == i]), c) if c else name[:0] for i, c in enumerate(np.diff(cuts).tolist())]
+            return np.concatenate([name[:0], *filled]), cuts
     doc, name = doc[new], name[new]
     return name, np.searchsorted(doc, np.arange(len(units)))
 
@@ -92,35 +137,60 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketched(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (shingles), s1 and s2 (128 bits that name the set), bands."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+def counted(docs: DataFrame, size: int) -> np.ndarray:
+    """How many shingles of all documents fall into each slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, np.int64)
         for b in chunks_of(batches, 2_000_000):
-            names, cuts = shingle_sets(b.column("text"), size)
+            seen += np.bincount((shingle_sets(words_of(b.column("text")), size)[0] & U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(seen[slot])], ["slot", "n"])
+
+    found = id_and_text(docs).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(SLOTS, np.int64)
+    seen[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return seen
+
+
+def lists_of(names: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(names.view(np.int64)))
+
+
+def sketched(docs: DataFrame, size: int, similar: int, bands: int) -> DataFrame:
+    """doc_id, n (shingles), same (names the text's words), bands, and rare: the first shingles in the order of rarity, as many as the prefix filter needs."""
+    often = docs.sparkSession.sparkContext.broadcast(counted(docs, size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks_of(batches, 2_000_000):
+            words = words_of(b.column("text"))
+            names, cuts = shingle_sets(words, size)
             n = np.diff(cuts)
-            sums = [np.concatenate([[U(0)], np.cumsum(mix64(names ^ U(salt)))]) for salt in (0x1234567, 0x7654321)]
-            keys = band_keys(sketches(names, cuts))
-            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * BANDS)]), pa.int32()), pa.array(keys[n > 0].ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), *(pa.array((s[cuts[1:]] - s[cuts[:-1]]).view(np.int64)) for s in sums), bands], schema=schema)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((names, often.value[(names & U(SLOTS - 1)).astype(np.int64)], row))
+            needed = np.where(n > 0, n - -(-similar * n // 100) + 1, 0)
+            rare = names[order][np.arange(len(row)) - cuts[:-1][row] < needed[row]]
+            keys = band_keys(sketches(names, cuts, bands * ROWS), bands)
+            same = [hashlib.sha256(b" ".join(w)).digest() for w in words]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(same, pa.binary()), lists_of(keys[n > 0].ravel(), (n > 0) * bands), lists_of(rare, needed)], ["doc_id", "n", "same", "bands", "rare"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bands array<long>")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, n long, same binary, bands array<long>, rare array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similar: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= similar * union."""
+    """The pairs (a, b) of nodes whose full sets have 100 * intersection >= similar * union, the words themselves being compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
         for batch in batches:
-            for b in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            for b in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
                 a_ids, b_ids = b.column("a").to_numpy(), b.column("b").to_numpy()
                 packed: dict[int, tuple[bytes, int]] = {}
                 for ids, t, n in ((a_ids, "ta", "na"), (b_ids, "tb", "nb")):
                     packed.update(zip(ids.tolist(), zip(b.column(t).to_pylist(), b.column(n).to_pylist())))
                 place = {x: i for i, x in enumerate(packed)}
-                names, cuts = shingle_sets(pa.array([codec.decompress(p, decompressed_size=n, asbytes=True) if n else b"" for p, n in packed.values()], pa.large_binary()), size)
+                words = [codec.decompress(p, decompressed_size=n, asbytes=True).split() for p, n in packed.values()]
+                names, cuts = shingle_sets(words, size, exact=True)
                 keep = []
                 for x, y in zip(a_ids.tolist(), b_ids.tolist()):
                     p, q = (names[cuts[place[i]] : cuts[place[i] + 1]] for i in (x, y))
@@ -128,19 +198,28 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similar: int) -> Dat
                     keep.append(100 * common >= similar * (len(p) + len(q) - common) > 0)
                 yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("ta"), F.col("size").alias("na"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("tb"), F.col("size").alias("nb"))
+    one = texts.select(F.col("node").alias("a"), F.col("packed").alias("ta"), F.col("size").alias("na"))
+    two = texts.select(F.col("node").alias("b"), F.col("packed").alias("tb"), F.col("size").alias("nb"))
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "na", "tb", "nb").mapInArrow(run, "a long, b long").distinct()
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
+def packed_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, packed and size: the words of the nodes(node, doc_id, same), joined by a space, from the rows that have them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", compression_level=1)
-        for b in batches:
-            raw = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([codec.compress(r, asbytes=True) for r in raw], pa.binary()), pa.array(map(len, raw), pa.int64())], ["doc_id", "packed", "size"])
+        for b in chunks_of(batches, 2_000_000):
+            keep, packed, sizes = [], [], []
+            for words, same in zip(words_of(b.column("text")), b.column("same").to_pylist()):
+                raw = b" ".join(words)
+                keep.append(hashlib.sha256(raw).digest() == same)  # an id may have several texts
+                if keep[-1]:
+                    packed.append(codec.compress(raw, asbytes=True))
+                    sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([b.column("node").filter(pa.array(keep, pa.bool_())), pa.array(packed, pa.binary()), pa.array(sizes, pa.int64())], ["node", "packed", "size"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, packed binary, size long")
+    found = id_and_text(docs).join(nodes, "doc_id").select("node", "same", "text")
+    return found.mapInArrow(run, "node long, packed binary, size long").dropDuplicates(["node"])
 
 
 def fits(n: str, m: str, similar: int) -> F.Column:
@@ -148,45 +227,16 @@ def fits(n: str, m: str, similar: int) -> F.Column:
     return 100 * F.least(n, m) >= similar * F.greatest(n, m)
 
 
-def across(nodes: DataFrame, size: int, similar: int) -> DataFrame:
-    """Pairs (a, b) of nodes(doc_id, packed, size, component) in different components that can be similar, by their rarest shingles.
+def across(nodes: DataFrame, similar: int) -> DataFrame:
+    """Pairs (a, b) of nodes(node, n, rare, component) in different components that can be similar, by their rarest shingles.
 
-    With all shingles in one order, two sets of similarity s share one among the first n - ceil(s n) + 1 of either: a copy with too many
-    shingles of its own to be linked with anything meets nobody there; and what stands before the first common one is not common. The order is by frequency, counted in ``SLOTS`` slots (so much is
-    collected and broadcast, whatever the input), rarest first. In each shingle's bucket the largest component meets the others' nodes only.
+    With all shingles in one order, two sets of similarity s share one among the first n - ceil(s n) + 1 of either, and what stands before
+    the first common one is not common. Shingles of one node are dropped before anything is joined; in each other shingle's bucket the
+    largest component meets the others' nodes only.
     """
-    spark = nodes.sparkSession
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-        codec = pa.Codec("zstd")
-        for batch in batches:
-            for b in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                raw = [codec.decompress(p, decompressed_size=n, asbytes=True) if n else b"" for p, n in zip(b.column("packed").to_pylist(), b.column("size").to_pylist())]
-                yield b, *shingle_sets(pa.array(raw, pa.large_binary()), size)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SLOTS, np.int64)
-        for _, names, _ in sets(batches):
-            seen += np.bincount((names & U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-        slot = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(seen[slot])], ["slot", "n"])
-
-    found = nodes.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    seen = np.zeros(SLOTS, np.int64)
-    seen[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    often = spark.sparkContext.broadcast(seen)
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, names, cuts in sets(batches):
-            n = np.diff(cuts)
-            row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((names, often.value[(names & U(SLOTS - 1)).astype(np.int64)], row))
-            place = np.arange(len(row)) - cuts[:-1][row]
-            keep = place < (n - -(-similar * n // 100) + 1)[row]
-            names, row, place = names[order][keep], row[keep], place[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), *(b.column(c).take(pa.array(row)) for c in ("doc_id", "component")), pa.array(n[row]), pa.array(place)], ["key", "node", "component", "n", "place"])
-
-    first = saved(nodes.mapInArrow(rare, "key long, node long, component long, n long, place long"))
+    first = nodes.select(F.posexplode("rare").alias("place", "key"), "node", "component", F.col("n").cast("int").alias("n"))
+    side = Window.partitionBy("key").orderBy("node")
+    first = saved(first.select("*", F.lag("node").over(side).alias("x"), F.lead("node").over(side).alias("y")).where("x is not null or y is not null").drop("x", "y"))
     by_component = first.groupBy("key", "component").count()
     largest = by_component.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("m")).where("m > 1").drop("m")
     met = first.join(largest, "key")
@@ -197,16 +247,18 @@ def across(nodes: DataFrame, size: int, similar: int) -> DataFrame:
     return pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
-def groups(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs."""
-    marks = saved(sketched(docs, size))
-    name = ["n", "s1", "s2"]
-    classes = marks.where("doc_id is not null and n > 0").groupBy(*name).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
-    banded = classes.select("node", "n", F.explode("bands").alias("key"))
+def groups(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR, bands: int = BANDS) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of docs. bands: what they miss, the prefix filter finds."""
+    marks = saved(sketched(docs, size, similar, bands))
+    classes = marks.where("doc_id is not null and n > 0").groupBy("same").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "bands", "rare")))
+    classes = saved(classes.withColumn("node", F.monotonically_increasing_id()))
+    # texts of one id are one document
+    named = marks.where("doc_id is not null and n > 0").select("doc_id", "same").distinct()
+    several = named.groupBy("doc_id").count().where("count > 1").join(named, "doc_id").join(classes.select("same", "node"), "same").select("doc_id", "node")
+    own = saved(several.join(several.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b"))
+    banded = classes.select("node", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("node", "n")).alias("lead")).where("m > 1")
-    shared = saved(banded.join(buckets, "key").select("key", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")))
-    nodes = shared.select(F.col("node").alias("doc_id")).distinct()
-    texts = saved(packed_texts(id_and_text(docs).join(nodes, "doc_id", "left_semi")))
+    shared = banded.join(buckets, "key").select("node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"))
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("bands"), "lead"))
     first = saved(
         shared.where((F.col("node") != F.col("lead")) & fits("n", "lead_n", similar))
@@ -214,18 +266,26 @@ def groups(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR) -> Data
         .withColumn("best", best).where("best <= 2")
         .select(F.col("lead").alias("a"), F.col("node").alias("b"))
     )
-    links = saved(verified(first, texts, size, similar))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        texts = saved(packed_texts(docs, classes.select("node", "doc_id", "same").join(nodes, "node")))
+        found = stored(verified(pairs, texts, size, similar))
+        released(texts)
+        return found
+
+    links = confirmed(first).unionByName(own)
     joined = components(links)
-    # candidates in different components: only these can still join any
-    placed = shared.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_ = placed.join(mixed, "key", "left_semi").select(F.col("node").alias("doc_id"), "component").distinct()
-    rest = across(saved(texts.join(open_, "doc_id")), size, similar)
-    rest = rest.join(first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    joined = components(links.unionByName(verified(rest, texts, size, similar)))
-    named = classes.drop("bands").join(joined, "node", "left").select(*name, F.coalesce("component", "node").alias("component_id"))
-    out = marks.drop("bands").join(named, name, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    placed = classes.select("node", "n", "rare").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    met = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = stored(across(placed, similar).join(met, ["a", "b"], "left_anti"))
+    joined = components(links.unionByName(confirmed(rest)))
+    of = classes.select("same", "node", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # a row of each text's name; documents without shingles stand alone
+    named = of.join(least, "component").select("same", "component_id")
+    out = marks.select("doc_id", "n", "same").join(named, "same", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

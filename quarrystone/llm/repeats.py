@@ -4,17 +4,17 @@ A *window* is ``length`` consecutive units (bytes or words) of one document. The
 starts in a document with a smaller id, exactly, without sending a row for each window:
 
 * A kernel names, for every window, an *anchor* inside it by a rule that sees the window's content only, so equal windows
-  have equal anchors in the same place. Neighbouring windows mostly share their anchor; such a run of windows is a *seed*,
-  with two names: ``key``, of the content around the anchor, and ``whole``, of all that its windows cover.
-* Pass 1 deals the (key, whole, smallest id) entries of each block of documents by key. A seed whose ``whole`` has a smaller
-  id elsewhere is repeated in full. A key of one id is done: it repeats nowhere. What stays open is the owner of a
-  ``whole`` whose key has others, seen in other documents.
-* Pass 2 does the same for the single windows of the open seeds alone.
-* Answers return to the blocks as bits, in the order of the entries sent.
+  have equal anchors. Neighbouring windows mostly share their anchor; such a run of windows is a *seed*, with a ``key``,
+  a hash of the content around the anchor.
+* Pass 1 is a filter: each block of documents deals the keys of its seeds. A key of one document is done, as its windows
+  repeat nowhere. Keys are hashes; where two collide, more stays open, nothing is lost.
+* Pass 2 deals the open seeds by key with their real content. A bucket sorts the windows (the suffixes of the seeds, down to
+  ``length`` units) by most-significant-digit passes over that content: each pass splits the groups by the next digit and drops
+  groups of one document; the groups left after the last digit are exactly the repeated windows.
+* Answers return to the blocks as bits, in the order of what was sent.
 
 Blocks hold some megabytes of text each and merge their own copies before anything is dealt, so a passage that every
-document shares sends one entry a block, and no group of copies ever meets in one task. Names have 48 bits for the key,
-48 for the rest and those of the bucket; windows are equal where both are.
+document shares sends one entry a block, and no group of copies ever meets in one task.
 """
 
 from __future__ import annotations
@@ -69,7 +69,6 @@ class Seeds:
     first: np.ndarray
     last: np.ndarray
     key: np.ndarray
-    whole: np.ndarray
 
 
 @dataclass
@@ -77,12 +76,19 @@ class Parsed:
     """What a kernel makes of a block: unit ``units[d]`` to ``units[d + 1]`` are document d's."""
 
     units: np.ndarray
-    ranges: Ranges
     seeds: Seeds
+    content: Callable[[np.ndarray, np.ndarray], list[bytes]]  # of the units from each start to each end
     keep: Callable[[np.ndarray], list[bytes]]  # from a mark for each unit removed, what is left of each document
 
 
-Kernel = Callable[[np.ndarray, np.ndarray], Parsed]
+@dataclass
+class Kernel:
+    """parse: a block's bytes and where its documents begin. digits: from contents, a number for each place in all of them, of ``wide`` units
+    from there on, and how many units each content has; equal digits are equal units."""
+
+    parse: Callable[[np.ndarray, np.ndarray], Parsed]
+    digits: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+    wide: int
 
 
 def runs(valid: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,10 +107,10 @@ def valid_starts(units: np.ndarray, length: int) -> np.ndarray:
 
 
 def blocks_of(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """Blocks of documents sorted by id: block, ids, sizes, data, extra (the carried columns). Written once, by block."""
+    """Blocks of documents sorted by id: block, ids, nulls, sizes, data, extra (the carried columns). Written once, by block."""
     spark = docs.sparkSession
     names = [f"c{i}" for i in range(len(carried))]
-    narrow = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in zip(carried, names)))
+    narrow = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("doc_id").cast("long").isNull().alias("no_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in zip(carried, names)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, count, part = pa.Codec("zstd", compression_level=1), 0, TaskContext.get().partitionId()
@@ -121,17 +127,18 @@ def blocks_of(docs: DataFrame, carried: list[str]) -> DataFrame:
                 w.write_table(table.select(names))
             count += 1
             return pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in ((part << 32 | count, pa.int64()), (table.column("doc_id").to_numpy().tobytes(), pa.binary()), (sizes.tobytes(), pa.binary()), (codec.compress(data, asbytes=True), pa.binary()), (codec.compress(sink.getvalue(), asbytes=True), pa.binary()), (sink.getvalue().size, pa.int64()))],
-                ["block", "ids", "sizes", "data", "extra", "extra_size"],
+                [pa.array([x], t) for x, t in ((part << 32 | count, pa.int64()), (table.column("doc_id").to_numpy().tobytes(), pa.binary()), (np.packbits(table.column("no_id").to_numpy()).tobytes(), pa.binary()), (sizes.tobytes(), pa.binary()), (codec.compress(data, asbytes=True), pa.binary()), (codec.compress(sink.getvalue(), asbytes=True), pa.binary()), (sink.getvalue().size, pa.int64()))],
+                ["block", "ids", "nulls", "sizes", "data", "extra", "extra_size"],
             )
 
         rows, size = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lengths = pa.compute.binary_length(batch.column("text")).fill_null(0).to_pylist()
+            lengths = pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            beside = 16 + max(0, batch.nbytes - int(lengths.sum())) // batch.num_rows  # of a row's other columns
             at = 0
-            for i, n in enumerate(lengths):
+            for i, n in enumerate((lengths + beside).tolist()):
                 if size and size + n > BLOCK:
                     rows.append(batch.slice(at, i - at))
                     yield block(rows)
@@ -141,7 +148,7 @@ def blocks_of(docs: DataFrame, carried: list[str]) -> DataFrame:
         if any(r.num_rows for r in rows):
             yield block(rows)
 
-    made = narrow.mapInArrow(run, "block long, ids binary, sizes binary, data binary, extra binary, extra_size long")
+    made = narrow.mapInArrow(run, "block long, ids binary, nulls binary, sizes binary, data binary, extra binary, extra_size long")
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan forgets how its rows are dealt
     try:
@@ -151,47 +158,47 @@ def blocks_of(docs: DataFrame, carried: list[str]) -> DataFrame:
 
 
 class Block:
-    """A row of blocks_of, parsed, and its entries of both passes."""
-
-    def __init__(self, ids: bytes, sizes: bytes, data: bytes, kernel: Kernel, length: int):
-        self.ids, self.length = np.frombuffer(ids, np.int64), length
-        self.starts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64))])
-        raw = pa.Codec("zstd").decompress(data, decompressed_size=int(self.starts[-1])) if self.starts[-1] else b""
-        self.parsed = kernel(np.frombuffer(raw, np.uint8), self.starts)
+    """A row of blocks_of, parsed, and what it sends in both passes."""
+
+    def __init__(self, row: dict, kernel: Kernel, length: int):
+        self.ids, self.length = np.frombuffer(row["ids"], np.int64), length
+        self.nulls = np.unpackbits(np.frombuffer(row["nulls"], np.uint8), count=len(self.ids)).astype(bool)
+        self.starts = np.concatenate([[0], np.cumsum(np.frombuffer(row["sizes"], np.int64))])
+        raw = pa.Codec("zstd").decompress(row["data"], decompressed_size=int(self.starts[-1])) if self.starts[-1] else b""
+        self.parsed = kernel.parse(np.frombuffer(raw, np.uint8), self.starts)
         s = self.parsed.seeds
-        self.owner, self.entry = self.unique(s.key, s.whole)
-        self.sent = s.key[self.owner], s.whole[self.owner], self.ids[s.doc[self.owner]]
-        self.later = self.ids[s.doc] > self.sent[2][self.entry]  # than the entry's document in this block
-
-    @staticmethod
-    def unique(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each entry is met first, and the entry of each; entries in the order in which they are met."""
-        _, where, inverse = np.unique(mix64(key ^ (value * U(BASE))), return_index=True, return_inverse=True)
-        order = np.argsort(where)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        return where[order], place[inverse]
-
-    def windows(self, opened: np.ndarray) -> None:
-        """Entries of the single windows of the seeds whose entries are open, from the entries' own documents."""
+        # upper 48 bits, as they are sent
+        self.keys, self.of = np.unique(s.key >> U(16), return_inverse=True)
+        self.keys <<= U(16)
+        doc = self.ids[s.doc]
+        low, high = np.full(len(self.keys), NO_ID), np.full(len(self.keys), -NO_ID - 1)
+        np.minimum.at(low, self.of, doc)
+        np.maximum.at(high, self.of, doc)
+        self.several = low < high
+
+    def open(self, shared: np.ndarray) -> None:
+        """The entries of the seeds whose key others have too, in other blocks (shared) or here: one for each content, of its smallest id."""
         s = self.parsed.seeds
-        at = np.flatnonzero(opened[self.entry] & ~self.later)
-        n = s.last[at] - s.first[at] + 1
-        seed = np.repeat(at, n)
-        self.start = s.first[seed] + np.arange(len(seed)) - np.repeat(np.cumsum(n) - n, n)
-        key, value, doc = s.key[seed], self.parsed.ranges.name(self.start, self.start + self.length), self.ids[s.doc[seed]]
-        owner, self.window_entry = self.unique(key, value)
-        self.window_sent = key[owner], value[owner], doc[owner]
-        self.window_later = doc > self.window_sent[2][self.window_entry]
-
-    def removed(self, repeated: np.ndarray, window_repeated: np.ndarray) -> np.ndarray:
-        """A mark for each unit that a repeated window covers."""
+        self.seed = np.flatnonzero((shared | self.several)[self.of])
+        found = self.parsed.content(s.first[self.seed], s.last[self.seed] + self.length)
+        place: dict[bytes, int] = {}
+        self.entry = np.fromiter((place.setdefault(c, len(place)) for c in found), np.int64, len(found))
+        owner = np.full(len(place), len(found))
+        np.minimum.at(owner, self.entry, np.arange(len(found)))  # seeds are in the order of ids
+        self.contents, owner = list(place), self.seed[owner]
+        self.key, self.windows, self.doc = s.key[owner], s.last[owner] - s.first[owner] + 1, self.ids[s.doc[owner]]
+
+    def removed(self, repeated: np.ndarray) -> np.ndarray:
+        """A mark for each unit that a repeated window covers. repeated: of all windows of the entries."""
         s = self.parsed.seeds
-        full = self.later | repeated[self.entry]
-        single = self.start[self.window_later | window_repeated[self.window_entry]]
         n = int(self.parsed.units[-1])
-        edge = np.bincount(s.first[full], minlength=n + 1) - np.bincount(s.last[full] + self.length, minlength=n + 1)
-        edge += np.bincount(single, minlength=n + 1) - np.bincount(single + self.length, minlength=n + 1)
+        first, size = s.first[self.seed], self.windows[self.entry]
+        later = self.ids[s.doc[self.seed]] > self.doc[self.entry]
+        begins = np.cumsum(self.windows) - self.windows
+        starts = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        gone = np.repeat(later, size) | repeated[np.repeat(begins[self.entry], size) + starts]
+        starts = (np.repeat(first, size) + starts)[gone]
+        edge = np.bincount(starts, minlength=n + 1) - np.bincount(starts + self.length, minlength=n + 1)
         return np.cumsum(edge[:-1]) > 0
 
 
@@ -207,78 +214,129 @@ def unsix(raw: bytes) -> np.ndarray:
 
 
 def places(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The entries of each bucket in their order, and where each bucket's begin."""
-    bucket = (mix64(key ^ U(0xA5A5)) % U(buckets)).astype(np.int64)
+    """The entries of each bucket in their order, and where each bucket's begin. Keys count by their upper 48 bits."""
+    bucket = (mix64((key >> U(16)) ^ U(0xA5A5)) % U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def deal(block: int, sent: tuple[np.ndarray, np.ndarray, np.ndarray], buckets: int, out: list[tuple]) -> None:
-    key, value, doc = sent
-    order, cuts = places(key, buckets)
-    for b in np.flatnonzero(np.diff(cuts)).tolist():
-        at = order[cuts[b] : cuts[b + 1]]
-        ids = doc[at]
-        steps = np.diff(ids, prepend=ids[:1])
-        small = not len(steps) or steps.max() < 2**16
-        out.append((b, block, six(key[at]), six(value[at]), int(ids[0]), steps.astype(np.uint16 if small else np.int64).tobytes(), small))
-
-
-DEALT = "bucket int, block long, keys binary, vals binary, id long, steps binary, small boolean"
-DEALT_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary()), ("id", pa.int64()), ("steps", pa.binary()), ("small", pa.bool_())])
-ANSWER = "block long, pass int, bucket int, repeated binary, opened binary"
-ANSWER_ARROW = pa.schema([("block", pa.int64()), ("pass", pa.int32()), ("bucket", pa.int32()), ("repeated", pa.binary()), ("opened", pa.binary())])
+KEYS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary())])
+ENTRIES = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary()), ("windows", pa.binary()), ("sizes", pa.binary()), ("contents", pa.binary())])
+ANSWERS = pa.schema([("block", pa.int64()), ("pass", pa.int32()), ("bucket", pa.int32()), ("yes", pa.binary())])
+KEYS_SQL, ANSWERS_SQL = "bucket int, block long, keys binary", "block long, pass int, bucket int, yes binary"
+ENTRIES_SQL = "bucket int, block long, keys binary, ids binary, windows binary, sizes binary, contents binary"
 
 
 def rows_to(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
-def judged(table: pa.Table, number: int) -> pa.Table:
-    """Of the entries of a bucket: whether a smaller id has the same, and (pass 1) whether others with the key stay open."""
+def deal_keys(block: int, keys: np.ndarray, buckets: int) -> list[tuple]:
+    order, cuts = places(keys, buckets)
+    return [(b, block, six(keys[order[cuts[b] : cuts[b + 1]]])) for b in np.flatnonzero(np.diff(cuts)).tolist()]
+
+
+def deal_entries(block: int, made: Block, buckets: int) -> list[tuple]:
+    order, cuts = places(made.key, buckets)
+    codec, out = pa.Codec("zstd", compression_level=1), []
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        at = order[cuts[b] : cuts[b + 1]]
+        contents = [made.contents[i] for i in at.tolist()]
+        sizes = np.asarray([len(c) for c in contents], np.uint32)
+        out.append((b, block, six(made.key[at]), made.doc[at].tobytes(), made.windows[at].astype(np.uint32).tobytes(), sizes.tobytes(), codec.compress(b"".join(contents), asbytes=True)))
+    return out
+
+
+def shared_keys(table: pa.Table) -> pa.Table:
+    """Of the keys of a bucket: whether another block has the same (a block sends a key once)."""
     rows = table.sort_by("block").to_pylist()
-    key, value = (np.concatenate([unsix(r[c]) for r in rows]) for c in ("keys", "vals"))
-    doc = np.concatenate([r["id"] + np.cumsum(np.frombuffer(r["steps"], np.uint16 if r["small"] else np.int64).astype(np.int64)) for r in rows])
-    repeated, opened = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    key = np.concatenate([unsix(r["keys"]) for r in rows])
     order = np.argsort(key, kind="stable")
     same = key[order[1:]] == key[order[:-1]]
-    several = np.zeros(len(key), bool)
-    several[1:] |= same
-    several[:-1] |= same
-    at = order[several]  # entries whose key is met more than once
-    if len(at):
-        at = at[np.lexsort((doc[at], value[at], key[at]))]
-        k, v, d = key[at], value[at], doc[at]
-        new_key = np.concatenate([[True], k[1:] != k[:-1]])
-        new = new_key | np.concatenate([[True], v[1:] != v[:-1]])
-        least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-        repeated[at] = d > least
-        own = d == least
-        group = np.cumsum(new_key) - 1
-        starts = np.flatnonzero(new_key)
-        lowest, highest = np.minimum.reduceat(least, starts), np.maximum.reduceat(least, starts)
-        opened[at] = own & (lowest < highest)[group]
+    shared = np.zeros(len(key), bool)
+    shared[order[1:]] |= same
+    shared[order[:-1]] |= same
     out, begin = [], 0
     for r in rows:
         end = begin + len(r["keys"]) // 6
-        a, b = repeated[begin:end], opened[begin:end] if number == 1 else opened[:0]
-        if a.any() or b.any():
-            out.append((r["block"], number, r["bucket"], np.packbits(a).tobytes(), np.packbits(b).tobytes()))
+        if shared[begin:end].any():
+            out.append((r["block"], 1, r["bucket"], np.packbits(shared[begin:end]).tobytes()))
         begin = end
-    return rows_to(ANSWER_ARROW, out)
-
-
-def heard(answers: pa.Table, number: int, key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The answers for entries with these keys, in their order."""
-    repeated, opened = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    return rows_to(ANSWERS, out)
+
+
+def regrouped(group: np.ndarray, digit: np.ndarray, doc: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One pass: the windows (rest) whose groups, split by the digit, still hold several documents; their groups; the least document of each."""
+    order = np.lexsort((digit, group))
+    g, d = group[order], digit[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
+    starts = np.flatnonzero(new)
+    made = np.cumsum(new) - 1
+    low, high = np.minimum.reduceat(doc[order], starts), np.maximum.reduceat(doc[order], starts)
+    stay = (low < high)[made]
+    return rest[order[stay]], made[stay], low[made[stay]]
+
+
+def radix_sorted(key: np.ndarray, doc: np.ndarray, digits: np.ndarray, begin: np.ndarray, windows: np.ndarray, length: int, wide: int) -> np.ndarray:
+    """Of all windows of contents (content i has ``windows[i]``, from place ``begin[i]`` of the digits): whether a smaller document has the same."""
+    owner = np.repeat(np.arange(len(key)), windows)
+    place = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(len(owner))
+    repeated = np.zeros(len(owner), bool)
+    if not len(owner):
+        return repeated
+    # the first digit is the anchor's key; the others are units of the window itself, the last digit reaching back to end with it
+    rest, group, least = regrouped(np.zeros(len(owner), np.int64), key[owner], doc[owner], np.arange(len(owner)))
+    for at in dict.fromkeys([*range(0, length - wide, wide), max(0, length - wide)]):
+        if not len(rest):
+            break
+        rest, group, least = regrouped(group, digits[place[rest] + at], doc[owner[rest]], rest)
+    repeated[rest] = doc[owner[rest]] > least
+    return repeated
+
+
+def judged(table: pa.Table, kernel: Kernel, length: int) -> pa.Table:
+    """Of all windows of the entries of a bucket: whether a smaller id has the same."""
+    rows = table.sort_by("block").to_pylist()
+    codec, place, of = pa.Codec("zstd"), {}, []
+    for r in rows:
+        sizes = np.frombuffer(r["sizes"], np.uint32).astype(np.int64)
+        raw = codec.decompress(r["contents"], decompressed_size=int(sizes.sum()), asbytes=True)
+        cuts = [0, *np.cumsum(sizes).tolist()]
+        of += [place.setdefault(raw[a:b], len(place)) for a, b in zip(cuts, cuts[1:])]
+    entry = np.asarray(of, np.int64)
+    key, doc = np.concatenate([unsix(r["keys"]) for r in rows]), np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
+    windows = np.concatenate([np.frombuffer(r["windows"], np.uint32) for r in rows]).astype(np.int64)
+    n = len(place)
+    least, a_key, a_windows = np.full(n, NO_ID), np.zeros(n, U), np.zeros(n, np.int64)
+    np.minimum.at(least, entry, doc)
+    a_key[entry], a_windows[entry] = key, windows
+    digits, sizes = kernel.digits(list(place))
+    repeated = radix_sorted(a_key, least, digits, np.cumsum(sizes) - sizes, a_windows, length, kernel.wide)
+    begins = np.cumsum(a_windows) - a_windows
+    out, at = [], 0
+    for r in rows:
+        end = at + len(r["keys"]) // 6
+        size, e = windows[at:end], entry[at:end]
+        bits = np.repeat(doc[at:end] > least[e], size) | repeated[np.repeat(begins[e] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        if bits.any():
+            out.append((r["block"], 2, r["bucket"], np.packbits(bits).tobytes()))
+        at = end
+    return rows_to(ANSWERS, out)
+
+
+def heard(answers: pa.Table, number: int, key: np.ndarray, size: np.ndarray, buckets: int) -> np.ndarray:
+    """The answers for entries with these keys, each of ``size`` bits, in the order of the entries."""
+    yes = np.zeros(int(size.sum()), bool)
+    begins = np.cumsum(size) - size
     order, cuts = places(key, buckets)
     for r in answers.to_pylist():
         if r["pass"] == number:
             at = order[cuts[r["bucket"]] : cuts[r["bucket"] + 1]]
-            repeated[at] = np.unpackbits(np.frombuffer(r["repeated"], np.uint8), count=len(at)).astype(bool)
-            if r["opened"]:
-                opened[at] = np.unpackbits(np.frombuffer(r["opened"], np.uint8), count=len(at)).astype(bool)
-    return repeated, opened
+            n = size[at]
+            to = np.repeat(begins[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            yes[to] = np.unpackbits(np.frombuffer(r["yes"], np.uint8), count=len(to)).astype(bool)
+    return yes
 
 
 RESULT = [("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())]
@@ -295,34 +353,24 @@ def without_repeats(docs: DataFrame, kernel: Kernel, length: int, carried: list[
     blocks = blocks_of(docs, carried)
     fields = [docs.schema[c] for c in carried]
 
-    def load(row: dict) -> Block:
-        return Block(row["ids"], row["sizes"], row["data"], kernel, length)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                out: list[tuple] = []
-                deal(row["block"], load(row).sent, buckets, out)
-                yield from rows_to(DEALT_ARROW, out).to_batches()
+                yield from rows_to(KEYS, deal_keys(row["block"], Block(row, kernel, length).keys, buckets)).to_batches()
 
-    def send_windows(own: pa.Table, answers: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        for row in own.to_pylist():
-            block = load(row)
-            _, opened = heard(answers, 1, block.sent[0], buckets)
-            if opened.any():
-                block.windows(opened)
-                deal(row["block"], block.window_sent, buckets, out)
-        return rows_to(DEALT_ARROW, out)
+    def opened(row: dict, answers: pa.Table) -> Block:
+        block = Block(row, kernel, length)
+        block.open(heard(answers, 1, block.keys, np.ones(len(block.keys), np.int64), buckets))
+        return block
+
+    def send_entries(own: pa.Table, answers: pa.Table) -> pa.Table:
+        return rows_to(ENTRIES, [x for row in own.to_pylist() for x in deal_entries(row["block"], opened(row, answers), buckets)])
 
     def finish(own: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         for row in own.to_pylist():
-            block = load(row)
-            repeated, opened = heard(answers, 1, block.sent[0], buckets)
-            block.windows(opened)
-            window_repeated, _ = heard(answers, 2, block.window_sent[0], buckets)
-            gone = block.removed(repeated, window_repeated)
+            block = opened(row, answers)
+            gone = block.removed(heard(answers, 2, block.key, block.windows, buckets))
             units = block.parsed.units
             edge = np.zeros(len(gone) + 1, bool)
             edge[1:-1] = gone[1:] != gone[:-1]
@@ -332,7 +380,7 @@ def without_repeats(docs: DataFrame, kernel: Kernel, length: int, carried: list[
             base = units[np.searchsorted(units, starts, side="right") - 1]
             spans = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays([pa.array(starts - base), pa.array(ends - base)], ["start", "end"]))
             total = np.concatenate([[0], np.cumsum(gone)])
-            ids = pa.array(block.ids, mask=block.ids == NO_ID)
+            ids = pa.array(block.ids, mask=block.nulls)
             columns = [ids, pa.array(np.diff(units)), pa.array(np.diff(total[units])), spans, pa.array(block.parsed.keep(gone), pa.binary())]
             if carried:
                 extra = pa.ipc.open_stream(pa.Codec("zstd").decompress(row["extra"], decompressed_size=row["extra_size"])).read_all().combine_chunks()
@@ -340,10 +388,10 @@ def without_repeats(docs: DataFrame, kernel: Kernel, length: int, carried: list[
             out.append(pa.Table.from_arrays(columns, [n for n, _ in RESULT] + ["carried"] * bool(carried)))
         return pa.concat_tables(out) if out else pa.Table.from_arrays([pa.array([], t) for _, t in RESULT], [n for n, _ in RESULT])
 
-    body = ["block", "ids", "sizes", "data"]
-    first = blocks.select(*body).mapInArrow(send, DEALT).groupBy("bucket").applyInArrow(lambda t: judged(t, 1), ANSWER)
-    first = saved(first)
-    second = blocks.select(*body).groupBy("block").cogroup(first.groupBy("block")).applyInArrow(send_windows, DEALT).groupBy("bucket").applyInArrow(lambda t: judged(t, 2), ANSWER)
+    body = ["block", "ids", "nulls", "sizes", "data"]
+    first = saved(blocks.select(*body).mapInArrow(send_keys, KEYS_SQL).groupBy("bucket").applyInArrow(shared_keys, ANSWERS_SQL))
+    entries = blocks.select(*body).groupBy("block").cogroup(first.groupBy("block")).applyInArrow(send_entries, ENTRIES_SQL)
+    second = entries.groupBy("bucket").applyInArrow(lambda t: judged(t, kernel, length), ANSWERS_SQL)
     schema = "doc_id long, n_units long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
     if carried:
         inner = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in fields)

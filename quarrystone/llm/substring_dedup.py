@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.llm.common import mix64, table
-from quarrystone.llm.repeats import Parsed, Ranges, Seeds, runs, valid_starts, without_repeats
+from quarrystone.llm.repeats import Kernel, Parsed, Ranges, Seeds, runs, valid_starts, without_repeats
 
 #: Words of a window; rounds of recompression, as many as leave each window without runs a certain symbol.
 LENGTH, ROUNDS = 13, 2
@@ -81,29 +81,45 @@ def symbols(names: np.ndarray, units: np.ndarray, rounds: int = ROUNDS) -> tuple
     return name, left, right
 
 
-def word_kernel(length: int = LENGTH, rounds: int = ROUNDS):
+def word_digits(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two words from each place on, as a number: words are numbered as they are met here."""
+    number: dict[bytes, int] = {}
+    words = b" ".join(contents).split(b" ")  # no content is empty
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    out = ids << 32
+    out[:-1] |= ids[1:]
+    return out, np.asarray([c.count(b" ") + 1 for c in contents], np.int64)
+
+
+def word_kernel(length: int = LENGTH, rounds: int = ROUNDS) -> Kernel:
     def parse(data: np.ndarray, starts: np.ndarray) -> Parsed:
         begin, end, names, units = words(data, starts)
         ranges = Ranges(names)
 
-        def keep(gone: np.ndarray) -> list[bytes]:
-            # each kept word with a space behind it, the last space of a document left out
+        def spaced(stay: np.ndarray) -> tuple[bytes, np.ndarray]:
+            """The words at these places with a space behind each, and where each begins."""
             out = np.full(len(data) + 1, 0x20, np.uint8)
             out[:-1] = np.where(BLANK[data], 0x20, data)
-            stay = np.flatnonzero(~gone)
-            b, e = begin[stay], end[stay]
-            size = e - b + 1
+            b, size = begin[stay], end[stay] - begin[stay] + 1
             total = np.concatenate([[0], np.cumsum(size)])
-            source = np.arange(int(total[-1])) + np.repeat(b - total[:-1], size)
-            joined = out[source]
+            joined = out[np.arange(int(total[-1])) + np.repeat(b - total[:-1], size)]
             joined[total[1:] - 1] = 0x20
-            raw, cut = joined.tobytes(), total[np.searchsorted(stay, units)].tolist()
+            return joined.tobytes(), total
+
+        def content(first: np.ndarray, last: np.ndarray) -> list[bytes]:
+            raw, at = spaced(np.arange(len(begin)))
+            return [raw[x:y] for x, y in zip(at[first].tolist(), (at[last] - 1).tolist())]
+
+        def keep(gone: np.ndarray) -> list[bytes]:
+            stay = np.flatnonzero(~gone)
+            raw, total = spaced(stay)
+            cut = total[np.searchsorted(stay, units)].tolist()
             return [raw[x : max(x, y - 1)] for x, y in zip(cut, cut[1:])]
 
         empty = np.zeros(0, np.int64)
         valid = valid_starts(units, length)
         if not valid.any():
-            return Parsed(units, ranges, Seeds(empty, empty, empty, empty.astype(U), empty.astype(U)), keep)
+            return Parsed(units, Seeds(empty, empty, empty, empty.astype(U)), content, keep)
         name, left, right = symbols(names, units, rounds)
         place = np.arange(len(valid))
         low = np.searchsorted(left, place)  # the first symbol settled at or behind the window's start
@@ -125,11 +141,10 @@ def word_kernel(length: int = LENGTH, rounds: int = ROUNDS):
         symbol = np.maximum(chosen, 0)
         a, b = np.where(alone, first, left[symbol]), np.where(alone, first + length, right[symbol])
         key = ranges.name(a, b) + alone.astype(U)
-        whole = ranges.name(first, last + length) + mix64((a - first).astype(U) + U(1))
         doc = np.searchsorted(units, first, side="right") - 1
-        return Parsed(units, ranges, Seeds(doc, first, last, key, whole), keep)
+        return Parsed(units, Seeds(doc, first, last, key), content, keep)
 
-    return parse
+    return Kernel(parse, word_digits, min(2, length))
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, carried: list[str] | None = None) -> DataFrame:

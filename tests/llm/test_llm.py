@@ -118,6 +118,58 @@ def test_copies_in_different_components_still_meet(spark):
     assert by((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_groups(rows, 2)
 
 
+def morse(a, b, steps=10):
+    for _ in range(steps):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_power_sums_confuse(spark):
+    """The Thue-Morse word and its complement have one value in every polynomial modulo 2**64 from 1024 letters on."""
+    x, y = morse("a", "b")
+    common = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{common} {x}"), (2, f"{common} {y}"), (3, x), (4, y), (5, f"{common} {x}")]
+    got = {r.doc_id: (r.n_units, r.n_removed) for r in substring_dedup.substring_dedup(docs_of(spark, rows)).collect()}
+    assert got == {1: (13, 0), 2: (13, 0), 3: (1, 0), 4: (1, 0), 5: (13, 13)}
+    got = near_dedup.groups(docs_of(spark, rows[2:4]), 2).collect()
+    assert by((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (4, 4, True)]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(docs_of(spark, rows[2:4])).collect()}
+    assert got == {i: sum(g) for i, _, g in brute_repeats(rows[2:4], lambda t: list(t.encode()), 50)}
+
+
+def test_the_largest_id_is_not_null(spark):
+    text = " ".join(f"word{i}" for i in range(20))
+    for operator in (substring_dedup.substring_dedup, suffix_dedup.suffix_dedup):
+        got = operator(docs_of(spark, [(2**63 - 1, text), (None, text), (1, "x")])).collect()
+        assert by((r.doc_id, r.n_removed) for r in got) == by([(2**63 - 1, 0), (None, 0), (1, 0)])
+
+
+def test_links_at_the_threshold_do_not_hang_on_bands(spark):
+    """With one band, which misses three in four such pairs, every link of similarity 0.8 and a little more is found."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):
+        words = [f"k{k}w{i}" for i in range(91)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: rng.choice([73, 74, 75, 80])] + [f"x{k}"] * 0))]
+    got = near_dedup.groups(docs_of(spark, rows), 2, bands=1).collect()
+    want = brute_groups(rows, 2)
+    assert by((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
+    assert sum(not k for *_, k in want) > 30
+
+
+def test_texts_of_one_id_link_as_one_document(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "pqr")
+    rows = [(7, one), (7, two), (8, one), (9, two + " end"), (10, three)]
+    got = near_dedup.groups(docs_of(spark, rows), 2).collect()
+    assert by((r.doc_id, r.component_id, r.kept) for r in got) == by([(7, 7, True), (7, 7, True), (8, 7, False), (9, 7, False), (10, 10, True)])
+
+
+def test_colliding_names_still_count_words(monkeypatch):
+    monkeypatch.setattr(near_dedup, "mix64", lambda x: x & np.uint64(1))
+    names, cuts = near_dedup.shingle_sets([b"a b c d a b".split(), [], b"x".split()], 2)
+    assert np.diff(cuts).tolist() == [4, 0, 1] and len(names) == 5
+
+
 def test_every_bin_fills():
     for n in (1, 2, 7, 900):
         names = near_dedup.mix64(np.arange(n, dtype=np.uint64))
