@@ -66,45 +66,48 @@ def words_of(texts: pa.Array) -> list[list[bytes]]:
     return [(t or b"").lower().split() for t in texts.cast(pa.large_binary()).to_pylist()]
 
 
-def shingle_sets(words: list[list[bytes]], size: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the distinct shingles of all texts, by text and name, and where each text's begin.
+def shingles(words: list[bytes], size: int) -> set[tuple[bytes, ...]]:
+    return set(zip(*(words[i:] for i in range(size)))) or ({tuple(words)} if words else set())
 
-    A name is a hash, the same everywhere; or, exact, a number that two shingles of these texts share only if their words are the same.
-    """
+
+def named(words: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the shingles of all texts, one text's behind the other's, repeated ones too, and which text's each is. Names are hashes, the same everywhere."""
     global _numbers
     if len(_numbers) > REMEMBERED:
         _numbers = Numbers()
     units = np.cumsum([0, *map(len, words)])
     ids = np.fromiter(map(_numbers.__getitem__, chain.from_iterable(words)), np.int64, int(units[-1]))
+    of = np.frombuffer(_numbers.names.tobytes(), U)[ids]
     doc = np.repeat(np.arange(len(words)), np.diff(units))
     at = np.arange(len(ids))
     last, first = units[1:][doc], units[:-1][doc]
     use = (at + size <= last) | (at == first)
     at, doc, end = at[use], doc[use], np.minimum(at[use] + size, last[use])
-    if exact:
-        name = np.zeros(len(at), np.int64)
-        for k in range(size):  # a shingle's number, from that of its first words and the next one (0: none)
-            word = np.where(at + k < end, ids[np.minimum(at + k, len(ids) - 1)] + 1, 0)
-            name = np.unique(name << 32 | word, return_inverse=True)[1]
-        order = np.lexsort((name, doc))
-    else:
-        of = np.frombuffer(_numbers.names.tobytes(), U)
-        name = (end - at).astype(U)
-        for k in range(size):
-            name = np.where(at + k < end, mix64(name * U(0x9FB21C651E98DF25) + of[ids[np.minimum(at + k, len(ids) - 1)]]), name)
-        order = np.lexsort((name, doc))
-    doc, name, at = doc[order], name[order], at[order]
+    name = (end - at).astype(U)
+    for k in range(size):
+        name = np.where(at + k < end, mix64(name * U(0x9FB21C651E98DF25) + of[np.minimum(at + k, len(of) - 1)]), name)
+    return name, doc
+
+
+def shingle_sets(words: list[list[bytes]], size: int, often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the distinct shingles of all texts, by text, rarest first (often: a class of frequency for each slot), and where each text's begin.
+
+    Sizes are those of the sets of words themselves: should two shingles of a text ever share a name, it counts twice.
+    """
+    name, doc = named(words, size)
+    rarity = np.zeros(len(name), U) if often is None else often[(name & U(SLOTS - 1)).astype(np.int64)].astype(U)
+    for_doc = max(1, len(words).bit_length())
+    short = doc.astype(U) << U(64 - for_doc) | rarity << U(58 - for_doc) | name >> U(for_doc + 6)
+    order = np.argsort(short, kind="stable")
+    doc, name, short = doc[order], name[order], short[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (name[1:] != name[:-1])
-    if not exact and not new.all():
-        twice = np.flatnonzero(~new)
-        # equal names have to be equal words; if a hash ever collides, the sizes come from the exact names
-        if any((ids[np.minimum(at[twice] + k, len(ids) - 1)] != ids[np.minimum(at[twice - 1] + k, len(ids) - 1)])[at[twice] + k < units[1:][doc[twice]]].any() for k in range(size)):
-            _, cuts = shingle_sets(words, size, exact=True)
-            filled = [np.resize(np.unique(name[doc == i]), c) if c else name[:0] for i, c in enumerate(np.diff(cuts).tolist())]
-            return np.concatenate([name[:0], *filled]), cuts
+    if (new[1:] & (short[1:] == short[:-1])).any():  # names that differ in their last bits alone may lie mixed
+        order = np.lexsort((name, short))
+        doc, name = doc[order], name[order]
+        new[1:] = (doc[1:] != doc[:-1]) | (name[1:] != name[:-1])
     doc, name = doc[new], name[new]
-    return name, np.searchsorted(doc, np.arange(len(units)))
+    return name, np.searchsorted(doc, np.arange(len(words) + 1))
 
 
 def sketches(names: np.ndarray, cuts: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -138,19 +141,19 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def counted(docs: DataFrame, size: int) -> np.ndarray:
-    """How many shingles of all documents fall into each slot."""
+    """A class of frequency for each slot, over the shingles of all documents: 0, or the logarithm of the count in slots that a task found crowded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(SLOTS, np.int64)
         for b in chunks_of(batches, 2_000_000):
-            seen += np.bincount((shingle_sets(words_of(b.column("text")), size)[0] & U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-        slot = np.flatnonzero(seen)
+            seen += np.bincount((named(words_of(b.column("text")), size)[0] & U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(seen > 8 + 8 * seen.mean())
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(seen[slot])], ["slot", "n"])
 
-    found = id_and_text(docs).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    seen = np.zeros(SLOTS, np.int64)
-    seen[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    return seen
+    found = id_and_text(docs).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    often = np.zeros(SLOTS, np.uint8)
+    often[found.column("slot").to_numpy()] = np.log2(found.column("n").to_numpy()).astype(np.uint8)
+    return often
 
 
 def lists_of(names: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -164,12 +167,12 @@ def sketched(docs: DataFrame, size: int, similar: int, bands: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks_of(batches, 2_000_000):
             words = words_of(b.column("text"))
-            names, cuts = shingle_sets(words, size)
+            names, cuts = shingle_sets(words, size, often.value)
             n = np.diff(cuts)
             row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((names, often.value[(names & U(SLOTS - 1)).astype(np.int64)], row))
             needed = np.where(n > 0, n - -(-similar * n // 100) + 1, 0)
-            rare = names[order][np.arange(len(row)) - cuts[:-1][row] < needed[row]]
+            rare = names[np.arange(len(row)) - cuts[:-1][row] < needed[row]]
+            n = np.asarray([x if x == len(w) - size + 1 or x < 2 else len(shingles(w, size)) for x, w in zip(n.tolist(), words)], np.int64)  # the words' own count
             keys = band_keys(sketches(names, cuts, bands * ROWS), bands)
             same = [hashlib.sha256(b" ".join(w)).digest() for w in words]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(same, pa.binary()), lists_of(keys[n > 0].ravel(), (n > 0) * bands), lists_of(rare, needed)], ["doc_id", "n", "same", "bands", "rare"])
@@ -188,13 +191,11 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similar: int) -> Dat
                 packed: dict[int, tuple[bytes, int]] = {}
                 for ids, t, n in ((a_ids, "ta", "na"), (b_ids, "tb", "nb")):
                     packed.update(zip(ids.tolist(), zip(b.column(t).to_pylist(), b.column(n).to_pylist())))
-                place = {x: i for i, x in enumerate(packed)}
-                words = [codec.decompress(p, decompressed_size=n, asbytes=True).split() for p, n in packed.values()]
-                names, cuts = shingle_sets(words, size, exact=True)
+                sets = {x: shingles(codec.decompress(p, decompressed_size=n, asbytes=True).split(), size) for x, (p, n) in packed.items()}
                 keep = []
                 for x, y in zip(a_ids.tolist(), b_ids.tolist()):
-                    p, q = (names[cuts[place[i]] : cuts[place[i] + 1]] for i in (x, y))
-                    common = len(np.intersect1d(p, q, assume_unique=True))
+                    p, q = sets[x], sets[y]
+                    common = len(p & q)
                     keep.append(100 * common >= similar * (len(p) + len(q) - common) > 0)
                 yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -231,12 +232,12 @@ def across(nodes: DataFrame, similar: int) -> DataFrame:
     """Pairs (a, b) of nodes(node, n, rare, component) in different components that can be similar, by their rarest shingles.
 
     With all shingles in one order, two sets of similarity s share one among the first n - ceil(s n) + 1 of either, and what stands before
-    the first common one is not common. Shingles of one node are dropped before anything is joined; in each other shingle's bucket the
+    the first common one is not common. Shingles of one component are dropped before anything is joined; in each other shingle's bucket the
     largest component meets the others' nodes only.
     """
     first = nodes.select(F.posexplode("rare").alias("place", "key"), "node", "component", F.col("n").cast("int").alias("n"))
-    side = Window.partitionBy("key").orderBy("node")
-    first = saved(first.select("*", F.lag("node").over(side).alias("x"), F.lead("node").over(side).alias("y")).where("x is not null or y is not null").drop("x", "y"))
+    side = Window.partitionBy("key")
+    first = saved(first.select("*", F.min("component").over(side).alias("x"), F.max("component").over(side).alias("y")).where("x <> y").drop("x", "y"))
     by_component = first.groupBy("key", "component").count()
     largest = by_component.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("m")).where("m > 1").drop("m")
     met = first.join(largest, "key")
@@ -249,20 +250,21 @@ def across(nodes: DataFrame, similar: int) -> DataFrame:
 
 def groups(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs. bands: what they miss, the prefix filter finds."""
-    marks = saved(sketched(docs, size, similar, bands))
+    marks = stored(sketched(docs, size, similar, bands))
     classes = marks.where("doc_id is not null and n > 0").groupBy("same").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "bands", "rare")))
-    classes = saved(classes.withColumn("node", F.monotonically_increasing_id()))
+    wide = saved(classes.withColumn("node", F.monotonically_increasing_id()))
+    classes = saved(wide.select("same", "node", "doc_id"))
     # texts of one id are one document
-    named = marks.where("doc_id is not null and n > 0").select("doc_id", "same").distinct()
-    several = named.groupBy("doc_id").count().where("count > 1").join(named, "doc_id").join(classes.select("same", "node"), "same").select("doc_id", "node")
+    texts = marks.where("doc_id is not null and n > 0").select("doc_id", "same").distinct()
+    several = texts.groupBy("doc_id").count().where("count > 1").join(texts, "doc_id").join(classes.select("same", "node"), "same").select("doc_id", "node")
     own = saved(several.join(several.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b"))
-    banded = classes.select("node", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("node", "n")).alias("lead")).where("m > 1")
-    shared = banded.join(buckets, "key").select("node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"))
-    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("bands"), "lead"))
+    banded = wide.select("node", "doc_id", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
+    buckets = banded.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "node", "n")).alias("lead")).where("m > 1")
+    shared = banded.join(buckets, "key").select("node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.doc_id").alias("first_doc"))
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("bands"), "first_doc"))
     first = saved(
         shared.where((F.col("node") != F.col("lead")) & fits("n", "lead_n", similar))
-        .groupBy("node", "lead").agg(F.count("*").alias("bands"))
+        .groupBy("node", "lead").agg(F.count("*").alias("bands"), F.min("first_doc").alias("first_doc"))
         .withColumn("best", best).where("best <= 2")
         .select(F.col("lead").alias("a"), F.col("node").alias("b"))
     )
@@ -276,15 +278,16 @@ def groups(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR, bands:
 
     links = confirmed(first).unionByName(own)
     joined = components(links)
-    placed = classes.select("node", "n", "rare").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = wide.select("node", "n", "rare").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     met = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = stored(across(placed, similar).join(met, ["a", "b"], "left_anti"))
+    released(wide)
     joined = components(links.unionByName(confirmed(rest)))
     of = classes.select("same", "node", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     # a row of each text's name; documents without shingles stand alone
-    named = of.join(least, "component").select("same", "component_id")
-    out = marks.select("doc_id", "n", "same").join(named, "same", "left")
+    found = of.join(least, "component").select("same", "component_id")
+    out = marks.select("doc_id", "n", "same").join(found, "same", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
