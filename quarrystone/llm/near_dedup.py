@@ -6,12 +6,12 @@ when every bin is filled, and the last ``BINS`` rounds fill one given bin each,
 agree in a bin with the probability of the sets' similarity, concentrated as for independent bins, at the cost of the set plus
 ``BINS log BINS`` instead of their product.
 
-Sketches are cut into ``BANDS`` bands of ``ROWS``; sets that agree in a band are candidates. Texts of the same words are one node from the start
+Sketches are cut into ``BANDS`` bands of ``ROWS``; sets that agree in a band are candidates. At similarity 0.8 a pair is in no bucket together
+with probability (1 - 0.8**5)**40 = 1e-7: this is the only way to lose a link. Texts of the same words are one node from the start
 (the SHA-256 of the words joined by a space). Every node is first compared with the smallest nodes of its buckets that it shares most bands
-with; these links are verified and joined to components. Bands alone would miss a pair at similarity 0.8 with probability (1 - 0.8**6)**20 = 0.002, so
-they do not have the last word: an exact prefix filter over the rarest shingles of *all* nodes finds every other pair in different
-components that can be similar, and these are verified too. So no link is lost that could join two components, while a large group of copies of
-one text, linked already, never expands into pairs.
+with; these links are verified and joined to components. Then all nodes of buckets that still hold several components are
+compared wherever the prefix filter on their rarest shingles says that they can be similar, so that no candidate which could join two
+components is left out, while a large group of copies of one text, linked already, never expands into pairs.
 
 Hashes propose, words decide: links are confirmed on sets whose shingles are compared word by word, and a set's size counts shingles that
 differ as words.
@@ -37,7 +37,7 @@ from quarrystone.llm.common import chunks_of, id_and_text, mix64, released, save
 from quarrystone.llm.components import components
 
 SHINGLE, SIMILAR = 5, 80
-BANDS, ROWS = 20, 6
+BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
 #: Slots in which shingles are counted for the order of rarity: so much is broadcast, whatever the input. The order decides costs alone.
 SLOTS = 1 << 20
@@ -140,44 +140,25 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def counted(docs: DataFrame, size: int) -> np.ndarray:
-    """A class of frequency for each slot, over the shingles of all documents: 0, or the logarithm of the count in slots that a task found crowded."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SLOTS, np.int64)
-        for b in chunks_of(batches, 2_000_000):
-            seen += np.bincount((named(words_of(b.column("text")), size)[0] & U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-        slot = np.flatnonzero(seen > 8 + 8 * seen.mean())
-        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(seen[slot])], ["slot", "n"])
-
-    found = id_and_text(docs).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
-    often = np.zeros(SLOTS, np.uint8)
-    often[found.column("slot").to_numpy()] = np.log2(found.column("n").to_numpy()).astype(np.uint8)
-    return often
-
-
 def lists_of(names: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(names.view(np.int64)))
 
 
-def sketched(docs: DataFrame, size: int, similar: int, bands: int) -> DataFrame:
-    """doc_id, n (shingles), same (names the text's words), bands, and rare: the first shingles in the order of rarity, as many as the prefix filter needs."""
-    often = docs.sparkSession.sparkContext.broadcast(counted(docs, size))
+def sketched(docs: DataFrame, size: int, bands: int) -> DataFrame:
+    """doc_id, n (shingles), same (names the text's words), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks_of(batches, 2_000_000):
             words = words_of(b.column("text"))
-            names, cuts = shingle_sets(words, size, often.value)
+            names, cuts = shingle_sets(words, size)
             n = np.diff(cuts)
-            row = np.repeat(np.arange(len(n)), n)
-            needed = np.where(n > 0, n - -(-similar * n // 100) + 1, 0)
-            rare = names[np.arange(len(row)) - cuts[:-1][row] < needed[row]]
-            n = np.asarray([x if x == len(w) - size + 1 or x < 2 else len(shingles(w, size)) for x, w in zip(n.tolist(), words)], np.int64)  # the words' own count
             keys = band_keys(sketches(names, cuts, bands * ROWS), bands)
+            some = n > 0
+            n = np.asarray([x if x == len(w) - size + 1 or x < 2 else len(shingles(w, size)) for x, w in zip(n.tolist(), words)], np.int64)  # the words' own count
             same = [hashlib.sha256(b" ".join(w)).digest() for w in words]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(same, pa.binary()), lists_of(keys[n > 0].ravel(), (n > 0) * bands), lists_of(rare, needed)], ["doc_id", "n", "same", "bands", "rare"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(same, pa.binary()), lists_of(keys[some].ravel(), some * bands)], ["doc_id", "n", "same", "bands"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n long, same binary, bands array<long>, rare array<long>")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, n long, same binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similar: int) -> DataFrame:
@@ -228,18 +209,48 @@ def fits(n: str, m: str, similar: int) -> F.Column:
     return 100 * F.least(n, m) >= similar * F.greatest(n, m)
 
 
-def across(nodes: DataFrame, similar: int) -> DataFrame:
-    """Pairs (a, b) of nodes(node, n, rare, component) in different components that can be similar, by their rarest shingles.
+def across(nodes: DataFrame, size: int, similar: int) -> DataFrame:
+    """Pairs (a, b) of nodes(node, packed, size, component) in different components that can be similar, by their rarest shingles.
 
-    With all shingles in one order, two sets of similarity s share one among the first n - ceil(s n) + 1 of either, and what stands before
-    the first common one is not common. Shingles of one component are dropped before anything is joined; in each other shingle's bucket the
-    largest component meets the others' nodes only.
+    With all shingles in one order, two sets of similarity s share one among the first n - ceil(s n) + 1 of either: a copy with too many
+    shingles of its own to be linked with anything meets nobody there; and what stands before the first common one is not common. The order is by
+    frequency, counted in ``SLOTS`` slots, rarest first; it decides costs alone. Shingles of one component are dropped before anything is
+    joined; in each other shingle's bucket the largest component meets the others' nodes only.
     """
-    first = nodes.select(F.posexplode("rare").alias("place", "key"), "node", "component", F.col("n").cast("int").alias("n"))
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            for b in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                yield b, [codec.decompress(p, decompressed_size=n, asbytes=True).split() for p, n in zip(b.column("packed").to_pylist(), b.column("size").to_pylist())]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, np.int64)
+        for _, words in texts(batches):
+            seen += np.bincount((named(words, size)[0] & U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(seen[slot])], ["slot", "n"])
+
+    found = nodes.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    seen = np.zeros(SLOTS, np.uint8)
+    seen[found.column("slot").to_numpy()] = np.minimum(63, 4 * np.log2(found.column("n").to_numpy())).astype(np.uint8)
+    often = nodes.sparkSession.sparkContext.broadcast(seen)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, words in texts(batches):
+            names, cuts = shingle_sets(words, size, often.value)
+            n = np.diff(cuts)
+            row = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(row)) - cuts[:-1][row]
+            keep = place < (n - -(-similar * n // 100) + 1)[row]
+            names, row, place = names[keep], row[keep], place[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), *(b.column(c).take(pa.array(row)) for c in ("node", "component")), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32))], ["key", "node", "component", "n", "place"])
+
     side = Window.partitionBy("key")
+    first = nodes.mapInArrow(rare, "key long, node long, component long, n int, place int")
     first = saved(first.select("*", F.min("component").over(side).alias("x"), F.max("component").over(side).alias("y")).where("x <> y").drop("x", "y"))
     by_component = first.groupBy("key", "component").count()
-    largest = by_component.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("m")).where("m > 1").drop("m")
+    largest = by_component.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
     met = first.join(largest, "key")
     one, two = (met.select("key", "largest", *(F.col(c).alias(c + x) for c in ("node", "n", "component", "place"))) for x in "12")
     # from the first shingle that both have on, at most so many can be common
@@ -249,18 +260,22 @@ def across(nodes: DataFrame, similar: int) -> DataFrame:
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR, bands: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs. bands: what they miss, the prefix filter finds."""
-    marks = stored(sketched(docs, size, similar, bands))
-    classes = marks.where("doc_id is not null and n > 0").groupBy("same").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "bands", "rare")))
-    wide = saved(classes.withColumn("node", F.monotonically_increasing_id()))
+    """doc_id, n_shingles, component_id and kept of every row of docs."""
+    marks = stored(sketched(docs, size, bands))
+    some = marks.where("doc_id is not null and n > 0")
+    wide = some.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    wide = saved(wide.withColumn("node", F.monotonically_increasing_id()))
     classes = saved(wide.select("same", "node", "doc_id"))
     # texts of one id are one document
-    texts = marks.where("doc_id is not null and n > 0").select("doc_id", "same").distinct()
-    several = texts.groupBy("doc_id").count().where("count > 1").join(texts, "doc_id").join(classes.select("same", "node"), "same").select("doc_id", "node")
-    own = saved(several.join(several.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b"))
+    ids = some.select("doc_id", "same").distinct()
+    several = ids.groupBy("doc_id").count().where("count > 1").join(ids, "doc_id").join(classes.select("same", "node"), "same").select("doc_id", "node")
+    own = stored(several.join(several.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b"))
     banded = wide.select("node", "doc_id", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "node", "n")).alias("lead")).where("m > 1")
-    shared = banded.join(buckets, "key").select("node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.doc_id").alias("first_doc"))
+    shared = saved(banded.drop("doc_id").join(buckets, "key").select("key", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.doc_id").alias("first_doc")))
+    released(wide)
+    nodes = shared.select("node").distinct()
+    texts = saved(packed_texts(docs, classes.join(nodes, "node", "left_semi")))
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("bands"), "first_doc"))
     first = saved(
         shared.where((F.col("node") != F.col("lead")) & fits("n", "lead_n", similar))
@@ -268,26 +283,24 @@ def groups(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR, bands:
         .withColumn("best", best).where("best <= 2")
         .select(F.col("lead").alias("a"), F.col("node").alias("b"))
     )
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = saved(packed_texts(docs, classes.select("node", "doc_id", "same").join(nodes, "node")))
-        found = stored(verified(pairs, texts, size, similar))
-        released(texts)
-        return found
-
-    links = confirmed(first).unionByName(own)
+    links = stored(verified(first, texts, size, similar)).unionByName(own)
     joined = components(links)
-    placed = wide.select("node", "n", "rare").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # candidates in different components: only these can still join any
+    placed = shared.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    opened = placed.join(mixed, "key", "left_semi").select("node", "component").distinct()
     met = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = stored(across(placed, similar).join(met, ["a", "b"], "left_anti"))
-    released(wide)
-    joined = components(links.unionByName(confirmed(rest)))
-    of = classes.select("same", "node", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    opened = saved(texts.join(opened, "node"))
+    released(shared)
+    rest = stored(across(opened, size, similar).join(met, ["a", "b"], "left_anti"))
+    released(opened)
+    joined = components(links.unionByName(stored(verified(rest, texts, size, similar))))
+    released(texts)
+    of = classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    # a row of each text's name; documents without shingles stand alone
     found = of.join(least, "component").select("same", "component_id")
     out = marks.select("doc_id", "n", "same").join(found, "same", "left")
+    # documents without shingles stand alone
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
