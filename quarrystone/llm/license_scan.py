@@ -1,14 +1,16 @@
 """Operator 9: license notices, found by MinHash bands over overlapping text windows, in DataFrame operations only.
 
 Templates fall into classes by length. A text is cut into windows of twice the class's longest template, each one such length
-behind the last, so wherever a notice stands, some window holds it whole. A window without a single shingle of the class's templates
-matches none and is passed over (this loses nothing). Each other window, and each template, has one minimum per band; those that agree in a
-band are candidates. The number of bands follows from the lowest similarity that a match can have, so that one is missed with
+behind the last, so wherever a notice stands, some window holds it whole. A window without a single shingle of the templates
+matches none and is passed over (this loses nothing). Each other window, and each template, has one minimum per band, all by one aggregate; those
+that agree in a band are candidates. The number of bands follows from the lowest similarity that a match can have, so that one is missed with
 probability ``MISS`` at most. A candidate counts if ``CONTAINED`` of the template's shingles, compared as words, are in the window.
 
+Templates are few and their shingles are broadcast: more than ``BOUND`` shingles are refused.
+
 Words are runs of a-z and 0-9, A-Z lower-cased; shingles have five words. Defined results: a document without a match gives no row; null
-and empty texts have no words; a document with several notices gives a row for each template; rows that share an id, or a null id, count as one
-document; other columns are not read.
+and empty texts have no words; a document with several notices gives a row for each template; every row is scanned by itself, and rows that share an id, or
+a null id, give one row a template, of their best window; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,9 +20,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import saved, table
+from quarrystone.llm.common import stored, table
 
-SHINGLE, CONTAINED, MISS = 5, 0.8, 1e-6
+SHINGLE, CONTAINED, MISS, BOUND = 5, 0.8, 1e-9, 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Notices as their licenses word them, of five words or more.
 TEMPLATES = {
@@ -34,6 +36,11 @@ TEMPLATES = {
     "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "mit-line": "Released under the MIT License.",
     "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "agpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "bsd-2-clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "isc": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "mit-full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
 
@@ -78,21 +85,20 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def minima(names: str, bands: int) -> Column:
-    """The least hash of an array of names for each band."""
-
-    def least(band: int) -> Column:
-        return F.array_min(F.transform(names, lambda x: F.xxhash64(x, F.lit(band))))
-
-    return F.array(*map(least, range(bands)))
+def minima(rows: DataFrame, by: list[str], bands: int) -> DataFrame:
+    """The least hash of the rows' names for each band: by, band, least. One aggregate, with partial minima before the shuffle."""
+    names = rows.select(*by, F.explode("names").alias("name"))
+    banded = names.select(*by, "name", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
+    return banded.groupBy(*by, "band").agg(F.min(F.xxhash64("name", "band")).alias("least"))
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, size: int = SHINGLE, contained: float = CONTAINED) -> DataFrame:
     """doc_id, license, containment (highest of a window), first_word (of the first window that matches), windows (that match)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(words_of(F.col("text").cast("string")))).alias("words"))
     parts = classes(templates, size)
     rows = [(k, n, s) for k, (_, shingles) in enumerate(parts) for n, s in shingles.items()]  # as many as there are templates
+    if sum(len(s) for *_, s in rows) > BOUND:
+        raise ValueError(f"the templates have more than {BOUND} shingles")
     known = spark.createDataFrame(rows, "class int, license string, shingles array<string>")
 
     def name(s: Column) -> Column:  # as hashed_shingles names it
@@ -102,26 +108,29 @@ def license_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, size
     named = known.withColumn("names", F.transform("shingles", name))
     literal = {r["license"]: r["names"] for r in named.select("license", "names").collect()}  # of the templates alone
     every = F.array(*(F.lit(x) for x in sorted({x for names in literal.values() for x in names})))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(words_of(F.col("text").cast("string")))).alias("words"))
     texts = once(texts, "hashes", F.transform("words", lambda w: F.xxhash64(w)))
     texts = once(texts, "names", hashed_shingles("hashes", size)).drop("hashes").where(F.arrays_overlap("names", every))
-    texts = saved(texts)  # the few that hold a shingle of any template, for all classes
+    # the few that hold a shingle of any template, for all classes; row tells texts of one id apart
+    texts = stored(texts.withColumn("row", F.monotonically_increasing_id()))
     found = None
     for k, (longest, shingles) in enumerate(parts):
         bands = bands_for(longest, shingles, size)
         own = F.array(*(F.lit(x) for x in sorted({x for n in shingles for x in literal[n]})))
         windows = (
-            texts.select("doc_id", "words", "names", F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(longest))).alias("start"))
-            .select("doc_id", "start", F.slice("words", F.col("start") + 1, F.lit(2 * longest)).alias("words"), F.slice("names", F.col("start") + 1, F.lit(max(1, 2 * longest - size + 1))).alias("names"))
+            texts.select("row", "words", "names", F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(longest))).alias("start"))
+            .select("row", "start", F.slice("words", F.col("start") + 1, F.lit(2 * longest)).alias("words"), F.slice("names", F.col("start") + 1, F.lit(max(1, 2 * longest - size + 1))).alias("names"))
             .where(F.arrays_overlap("names", own))
-            .select("doc_id", "start", "words", F.posexplode(minima("names", bands)).alias("band", "least"))
         )
-        banded = named.where(F.col("class") == k).select("license", "shingles", F.posexplode(minima("names", bands)).alias("band", "least"))
-        met = windows.join(F.broadcast(banded), ["band", "least"]).groupBy("doc_id", "start", "license").agg(F.first("words").alias("words"), F.first("shingles").alias("shingles"))
+        banded = minima(named.where(F.col("class") == k), ["license"], bands)
+        met = minima(windows, ["row", "start"], bands).join(F.broadcast(banded), ["band", "least"]).select("row", "start", "license").distinct()
         there = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - size + 1)), lambda i: F.array_join(F.slice("words", i, size), " "))
+        met = met.join(windows.select("row", "start", "words"), ["row", "start"]).join(F.broadcast(named.select("license", "shingles")), "license")
         met = met.withColumn("containment", F.size(F.array_intersect("shingles", there)) / F.size("shingles")).where(F.col("containment") >= contained)
-        met = met.select("doc_id", "license", "start", "containment")
+        met = met.select("row", "license", "start", "containment")
         found = met if found is None else found.unionByName(met)
-    return found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("start").cast("long").alias("first_word"), F.count("*").alias("windows"))
+    of = found.join(texts.select("row", "doc_id"), "row")
+    return of.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("start").cast("long").alias("first_word"), F.count("*").alias("windows"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -561,6 +561,41 @@ def test_license_scan(spark, corpus):
     assert {n for i, n in got if i and i >= 2000} == set(license_scan.TEMPLATES)
 
 
+def test_license_texts_of_one_id_are_not_mixed(spark):
+    whole, part = license_scan.TEMPLATES["gpl-header"], " ".join(license_scan.TEMPLATES["gpl-header"].split()[:9])
+    for texts in ((whole, part), (part, whole)):
+        for i in (None, 4):
+            got = license_scan.license_matches(docs_of(spark, [(i, t) for t in texts]).coalesce(1)).collect()
+            assert [(r.doc_id, r.containment) for r in got if r.license == "gpl-header"] == [(i, 1.0)]
+
+
+def test_sql_gives_the_same_rows(spark):
+    """The queries that have SQL, over the smallest tables, as the driver compares them."""
+    import duckdb
+
+    from quarrystone.llm.registry import ORACLE_SQL, QUERIES
+
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    for name, sql in ORACLE_SQL.items():
+        df = QUERIES[name](spark, folder)
+        out = con.execute(sql)
+        columns = [c[0] for c in out.description]
+        assert sorted(columns) == sorted(df.columns), name
+        assert by(tuple(r) for r in df.select(*columns).collect()) == by(out.fetchall()), name
+
+
+def test_score_is_the_plain_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    m = toxicity.Machine(-0.3, np.arange(40), rng.normal(size=40), rng.normal(size=(40, toxicity.FACTORS)))
+    for _ in range(50):
+        some = set(rng.choice(60, rng.integers(0, 20), replace=False).tolist())
+        on = sorted(s for s in some if s < 40)
+        z = m.w0 + sum(m.w[i] for i in on) + sum(float(m.v[i] @ m.v[j]) for i in on for j in on if i < j)
+        assert m.score(some) == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-9)
+
+
 def test_empty_tables(spark):
     docs = docs_of(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
