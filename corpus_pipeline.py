@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. The driver writes each
 stage's result and reads it again as the next one's docs; run() does the same in the folder of spark.checkpoint.dir.
+
+Defined results: a null or empty text is scored by the machine's constant alone, has no near-duplicates and no passages, and packs as the end id; a null
+id is never held out, joins no group, and counts as the largest id where passages repeat; of rows that share an id all stay or go with their
+group (the first stage judges each row by its text); repeated rows stay, as they are one document; ties go to the smaller id; texts are
+never cut, whatever their length; an empty table gives an empty result; columns beside doc_id and text pass through all stages but the last untouched,
+whatever their names, but for n_chars, which follows the text where there is one.
 """
 
 from __future__ import annotations
