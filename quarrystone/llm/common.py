@@ -13,6 +13,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: The id that stands for a null id inside an operator: larger than all others.
 NO_ID = 2**63 - 1
 
@@ -21,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that carry texts to Python workers, by their bytes, unless the session does."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, "4m")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -69,6 +76,7 @@ def released(*frames: DataFrame) -> None:
 
 def id_and_text(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that no other column of a wider or clashing table is read."""
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

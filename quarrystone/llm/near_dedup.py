@@ -42,7 +42,7 @@ BINS = BANDS * ROWS
 #: Slots in which shingles are counted for the order of rarity: so much is broadcast, whatever the input. The order decides costs alone.
 SLOTS = 1 << 20
 #: Words that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 U = np.uint64
 
 
@@ -61,6 +61,13 @@ class Numbers(dict):
 _numbers = Numbers()
 
 
+def forget() -> None:
+    """At a task's end: the worker lives on, its words do not."""
+    global _numbers
+    _numbers = Numbers()
+    pa.default_memory_pool().release_unused()
+
+
 def words_of(texts: pa.Array) -> list[list[bytes]]:
     """bytes.split and bytes.lower know the six blanks and A-Z alone."""
     return [(t or b"").lower().split() for t in texts.cast(pa.large_binary()).to_pylist()]
@@ -157,6 +164,7 @@ def sketched(docs: DataFrame, size: int, bands: int) -> DataFrame:
             n = np.asarray([x if x == len(w) - size + 1 or x < 2 else len(shingles(w, size)) for x, w in zip(n.tolist(), words)], np.int64)  # the words' own count
             same = [hashlib.sha256(b" ".join(w)).digest() for w in words]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(same, pa.binary()), lists_of(keys[some].ravel(), some * bands)], ["doc_id", "n", "same", "bands"])
+        forget()
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n long, same binary, bands array<long>")
 
@@ -167,18 +175,15 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similar: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
         for batch in batches:
-            for b in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
-                a_ids, b_ids = b.column("a").to_numpy(), b.column("b").to_numpy()
-                packed: dict[int, tuple[bytes, int]] = {}
-                for ids, t, n in ((a_ids, "ta", "na"), (b_ids, "tb", "nb")):
-                    packed.update(zip(ids.tolist(), zip(b.column(t).to_pylist(), b.column(n).to_pylist())))
-                sets = {x: shingles(codec.decompress(p, decompressed_size=n, asbytes=True).split(), size) for x, (p, n) in packed.items()}
-                keep = []
-                for x, y in zip(a_ids.tolist(), b_ids.tolist()):
-                    p, q = sets[x], sets[y]
-                    common = len(p & q)
-                    keep.append(100 * common >= similar * (len(p) + len(q) - common) > 0)
-                yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep, last = [], (None, set())
+            for i in range(batch.num_rows):  # the sets of one pair at a time: texts may be long
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if last[0] != row["a"]:
+                    last = row["a"], shingles(codec.decompress(row["ta"], decompressed_size=row["na"], asbytes=True).split(), size)
+                p, q = last[1], shingles(codec.decompress(row["tb"], decompressed_size=row["nb"], asbytes=True).split(), size)
+                common = len(p & q)
+                keep.append(100 * common >= similar * (len(p) + len(q) - common) > 0)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one = texts.select(F.col("node").alias("a"), F.col("packed").alias("ta"), F.col("size").alias("na"))
     two = texts.select(F.col("node").alias("b"), F.col("packed").alias("tb"), F.col("size").alias("nb"))
@@ -221,13 +226,14 @@ def across(nodes: DataFrame, size: int, similar: int) -> DataFrame:
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
         codec = pa.Codec("zstd")
         for batch in batches:
-            for b in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            for b in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
                 yield b, [codec.decompress(p, decompressed_size=n, asbytes=True).split() for p, n in zip(b.column("packed").to_pylist(), b.column("size").to_pylist())]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(SLOTS, np.int64)
         for _, words in texts(batches):
             seen += np.bincount((named(words, size)[0] & U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        forget()
         slot = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(seen[slot])], ["slot", "n"])
 
@@ -245,6 +251,7 @@ def across(nodes: DataFrame, size: int, similar: int) -> DataFrame:
             keep = place < (n - -(-similar * n // 100) + 1)[row]
             names, row, place = names[keep], row[keep], place[keep]
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), *(b.column(c).take(pa.array(row)) for c in ("node", "component")), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32))], ["key", "node", "component", "n", "place"])
+        forget()
 
     side = Window.partitionBy("key")
     first = nodes.mapInArrow(rare, "key long, node long, component long, n int, place int")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import NO_ID, mix64, saved, shuffle_partitions
+from quarrystone.llm.common import NO_ID, mix64, saved, shuffle_partitions, text_batches
 
 #: Bytes of text in a block.
 BLOCK = 2_000_000
@@ -109,6 +109,7 @@ def valid_starts(units: np.ndarray, length: int) -> np.ndarray:
 def blocks_of(docs: DataFrame, carried: list[str]) -> DataFrame:
     """Blocks of documents sorted by id: block, ids, nulls, sizes, data, extra (the carried columns). Written once, by block."""
     spark = docs.sparkSession
+    text_batches(spark)
     names = [f"c{i}" for i in range(len(carried))]
     narrow = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("doc_id").cast("long").isNull().alias("no_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in zip(carried, names)))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import chunks_of, id_and_text, table
+from quarrystone.llm.common import chunks_of, id_and_text, table, text_batches
 
 #: Labelled documents to fit on, at most: the documented bound of the sample.
 SAMPLE = 8_000
@@ -140,6 +140,7 @@ def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """The rows of docs that the machine does not reject, with all their columns as they are."""
     machine = fitted(docs, labels, sample)
     at = docs.columns.index("text")
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks_of(batches, 2_000_000, at):
