@@ -63,9 +63,10 @@ def logrank_sums(df: DataFrame, strata: list[str], first_arm: Column, time: str
 
 
 def cumulative_incidence(df: DataFrame, groups: list[str], time: str = "duration", cause: str = "cause", causes: int = 2) -> DataFrame:
-    """groups, time, n, survival, cif_1.. (Aalen-Johansen). Cause 0 is censored; a cause beyond ``causes`` ends life but is not counted."""
+    """groups, time, n, survival, cif_1.. (Aalen-Johansen). Cause 0 is censored; at a cause beyond ``causes`` a life leaves
+    those at risk and survival does not fall."""
     sums = {f"d{k}": (F.col(cause) == k).cast("int") for k in range(1, causes + 1)}
-    steps = at_risk_counts(df, groups, time, ended=(F.col(cause) > 0).cast("int"), **sums).where("ended > 0")
+    steps = at_risk_counts(df, groups, time, ended=F.col(cause).between(1, causes).cast("int"), **sums).where("ended > 0")
     order = Window.partitionBy(*groups).orderBy("time")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     steps = steps.withColumn("survival", F.product(1 - F.col("ended") / F.col("n")).over(upto))
@@ -78,7 +79,7 @@ def cif_at(curve: DataFrame, groups: list[str], horizon: int, causes: int = 2) -
     return curve.groupBy(*groups).agg(*(F.coalesce(F.max_by(f"cif_{k}", reached), F.lit(0.0)).alias(f"cif_{k}") for k in range(1, causes + 1)))
 
 
-def bootstrap_cif_difference(df: DataFrame, arm: str, horizon: int, replicates: int = 400, seed: int = 12345) -> DataFrame:
+def bootstrap_cif_difference(df: DataFrame, arm: str, horizon: int, replicates: int = 400, seed: int = 12345, causes: int = 2) -> DataFrame:
     """Percentile interval of the difference of cause-1 incidence at a horizon between two arms.
 
     Rows of one (arm, time, cause) are alike, so a replicate draws counts, not rows: the table of counts is small at any size and
@@ -93,7 +94,7 @@ def bootstrap_cif_difference(df: DataFrame, arm: str, horizon: int, replicates:
 
     def incidence(c: np.ndarray, n: np.ndarray) -> float:
         times, at = np.unique(c[:, 0], return_inverse=True)
-        leaving, ended, first = (np.bincount(at, n * w, len(times)) for w in (1, c[:, 1] > 0, c[:, 1] == 1))
+        leaving, ended, first = (np.bincount(at, n * w, len(times)) for w in (1, (c[:, 1] > 0) & (c[:, 1] <= causes), c[:, 1] == 1))
         risk = np.maximum(leaving[::-1].cumsum()[::-1], 1)
         s = np.concatenate([[1.0], np.cumprod(1 - ended / risk)[:-1]])
         return float((s * first / risk)[times <= horizon].sum())
@@ -112,7 +113,7 @@ def bootstrap_cif_difference(df: DataFrame, arm: str, horizon: int, replicates:
     return drawn.agg(F.lit(point).alias("difference"), F.percentile("difference", F.lit(0.025)).alias("low"), F.percentile("difference", F.lit(0.975)).alias("high"), F.count("*").alias("replicates"))
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, horizon: int, replicates: int = 300, seed: int = 7) -> DataFrame:
+def cluster_bootstrap(df: DataFrame, cluster: str, horizon: int, replicates: int = 300, seed: int = 7, causes: int = 2) -> DataFrame:
     """Interval of cause-1 incidence when whole clusters are drawn: Poisson(1) weights by cluster and replicate, which need no driver
     and no second copy of the rows; each replicate is one group of the incidence windows."""
     weight = F.hash(F.col(cluster), F.col("replicate"), F.lit(seed))
@@ -121,7 +122,7 @@ def cluster_bootstrap(df: DataFrame, cluster: str, horizon: int, replicates: int
     drawn = sum(((u > e).cast("int") for e in edges), F.lit(0))
     cells = df.groupBy(cluster, "duration", "cause").count()
     cells = cells.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", F.col("count") * drawn).where("w > 0")
-    counts = cells.groupBy("replicate", "duration").agg(F.sum("w").alias("leaving"), F.sum(F.when(F.col("cause") > 0, F.col("w")).otherwise(0)).alias("ended"), F.sum(F.when(F.col("cause") == 1, F.col("w")).otherwise(0)).alias("first"))
+    counts = cells.groupBy("replicate", "duration").agg(F.sum("w").alias("leaving"), F.sum(F.when(F.col("cause").between(1, causes), F.col("w")).otherwise(0)).alias("ended"), F.sum(F.when(F.col("cause") == 1, F.col("w")).otherwise(0)).alias("first"))
     back = Window.partitionBy("replicate").orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     order = Window.partitionBy("replicate").orderBy("duration")
     steps = counts.withColumn("n", F.sum("leaving").over(back)).withColumn("s", F.product(1 - F.col("ended") / F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))

@@ -26,8 +26,9 @@ PLAIN_SQL = "trim(regexp_replace(regexp_replace(upper({x}), '[^\\w\\s]', ' ', 'g
 
 @query(
     "Q50_address_keys",
-    f"""with a as (select page_id, {PC_SQL} as pc, 'Unit ' || (page_id % 7) || ', ' || (page_id % 90) || ' High Road' || case page_id % 3 when 0 then ' London' when 1 then ' London Greater London' else '' end as line, url from pages),
- b as (select *, {PLAIN_SQL.format(x="regexp_replace(upper(line), '^\\s*(UNIT|FLAT|SHOP|SUITE|OFFICE|GROUND FLOOR|FIRST FLOOR)\\s*[A-Z0-9]*[\\s,]+', '')")} as street from a),
+    f"""with a as (select page_id, {PC_SQL} as pc, case page_id % 5 when 3 then 'C/O Smith & Co, ' when 4 then '' else 'Unit ' || (page_id % 7) || ', ' end || (page_id % 90) || case page_id % 5 when 4 then ' c/o Park and Sons' else '' end || ' High Road' || case page_id % 3 when 0 then ' London' when 1 then ' London Greater London' else '' end as line, url from pages),
+ h as (select *, case when regexp_matches(line, '(?i)^C/O\\s') then regexp_extract(line, '[,\\s](\\d+[A-Z]?\\s+\\w.*)$', 1) when regexp_matches(line, '(?i)^\\S+\\s+C/O\\s') then split_part(line, ' ', 1) || ' ' || regexp_extract(line, '.*\\s(\\S+\\s+(?:ROAD|Road))', 1) else line end as own from a),
+ b as (select *, {PLAIN_SQL.format(x="regexp_replace(upper(own), '^\\s*UNIT\\s*[-:,]?\\s*\\w{0,4}\\s*[-:,]?\\s*', '')")} as street from h),
  c as (select *, trim(regexp_replace(street, '(\\s+({'|'.join(normalise.TOWNS)}))+$', '')) as st from b)
  select page_id, case when length(pc) between 5 and 7 then substr(pc, 1, length(pc) - 3) || ' ' || substr(pc, length(pc) - 2, 3) else '' end as postcode, regexp_extract(pc, '^([A-Z]{{1,2}})', 1) as area, case when st = '' then '' else st || '|' || pc end as key, {PLAIN_SQL.format(x='url')} as url_key from c""",
 )
@@ -35,7 +36,9 @@ def q50(s, d):
     i = C("page_id")
     text = lambda x: x.cast("string")
     pc = F.concat(F.lit("n"), text(i % 20), F.lit(" "), text(i % 10), F.lit("ab"))
-    line = F.concat(F.lit("Unit "), text(i % 7), F.lit(", "), text(i % 90), F.lit(" High Road"), F.when(i % 3 == 0, " London").when(i % 3 == 1, " London Greater London").otherwise(""))
+    unit = F.when(i % 5 == 3, "C/O Smith & Co, ").when(i % 5 == 4, "").otherwise(F.concat(F.lit("Unit "), text(i % 7), F.lit(", ")))
+    agent = F.when(i % 5 == 4, " c/o Park and Sons").otherwise("")
+    line = F.concat(unit, text(i % 90), agent, F.lit(" High Road"), F.when(i % 3 == 0, " London").when(i % 3 == 1, " London Greater London").otherwise(""))
     return table(s, d, "pages").select("page_id", normalise.postcode(pc).alias("postcode"), normalise.postcode_area(pc).alias("area"), normalise.address_key(line, F.lit(""), pc).alias("key"), normalise.plain(C("url")).alias("url_key"))
 
 

@@ -70,14 +70,14 @@ def q44(s, d):
     return sums.agg(F.count("*").alias("strata"), o.alias("observed"), F.round(e, 4).alias("expected"), F.round(v, 4).alias("variance"), F.round(F.pow(o - e, F.lit(2)) / v, 4).alias("chi2"))
 
 
-CAUSES = {"as_known": "cause", "unknown_to_1": "case when cause = 2 and l_suppkey % 5 = 0 then 1 else cause end", "unknown_to_0": "case when cause = 2 and l_suppkey % 5 = 0 then 0 else cause end"}
+CAUSES = {"as_known": "cause", "unknown_to_1": "case when cause = 2 and l_suppkey % 5 = 0 then 1 else cause end", "unknown_to_0": "case when cause = 2 and l_suppkey % 5 = 0 then 0 else cause end", "unknown_apart": "case when cause = 2 and l_suppkey % 5 = 0 then 9 else cause end"}
 
 
 @query(
     "Q45_cumulative_incidence",
     f"with {LIFE_SQL}, v as ("
     + " union all ".join(f"select '{k}' as variant, format, duration, {e} as cause from life" for k, e in CAUSES.items())
-    + """), c as (select variant, format, duration as time, count(*) as x, count(*) filter (cause > 0) as ended, count(*) filter (cause = 1) as d1, count(*) filter (cause = 2) as d2 from v group by all),
+    + """), c as (select variant, format, duration as time, count(*) as x, count(*) filter (cause in (1, 2)) as ended, count(*) filter (cause = 1) as d1, count(*) filter (cause = 2) as d2 from v group by all),
  r as (select *, sum(x) over (partition by variant, format order by time desc rows unbounded preceding) as n from c),
  s as (select *, product(1 - ended / n) over (partition by variant, format order by time rows unbounded preceding) as survival from r where ended > 0),
  b as (select *, lag(survival, 1, 1.0) over (partition by variant, format order by time) as before from s)

@@ -36,6 +36,12 @@ def test_incidences_and_survival_add_to_one(spark):
         assert r.cif_1 + r.cif_2 + r.survival == pytest.approx(1)
 
 
+def test_a_cause_beyond_those_counted_ends_no_life(spark):
+    rows = spark.createDataFrame([(1, 9), (2, 1), (3, 2), (4, 0)], "duration int, cause int").withColumn("g", F.lit("a"))
+    got = {r.time: (r.n, r.survival, r.cif_1, r.cif_2) for r in survival.cumulative_incidence(rows, ["g"]).collect()}
+    assert got == {2: (3, pytest.approx(2 / 3), pytest.approx(1 / 3), 0), 3: (2, pytest.approx(1 / 3), pytest.approx(1 / 3), pytest.approx(1 / 3))}
+
+
 def test_logrank_of_equal_arms_expects_half(spark):
     rows = lives(spark, [(g, t, 1) for g in "ab" for t in (1, 2, 3)]).withColumn("s", F.lit(1))
     r = survival.logrank_sums(rows, ["s"], F.col("g") == "a").first()
@@ -80,9 +86,33 @@ def test_address_keys(spark):
     assert [r[0] for r in df.select(normalise.postcode(F.col("p"))).collect()] == ["N12 0NL", "", "N1 1AA"]
 
 
-def test_without_agent(spark):
-    df = spark.createDataFrame([("12 High Street C/O Smith",), ("c/o Smith and Co",), ("9 Low Road",), (None,)], "a string")
-    assert [r[0] for r in df.select(normalise.without_agent(F.col("a"))).collect()] == ["12 High Street", "", "9 Low Road", ""]
+@pytest.mark.parametrize(
+    ("one", "two", "address", "agent"),
+    [
+        ("C/O SMITH LTD, 12 HIGH STREET", "", "12 HIGH STREET", "SMITH LTD,"),
+        ("c/o Smith and Co", "9 Low Road", "9 Low Road", "Smith and Co"),
+        ("Care of Smith", None, "", "Smith"),
+        ("12 C/O SMITH AND CO HIGH STREET", "", "12 HIGH STREET", "SMITH AND CO"),
+        ("12 C.O PARK AND CO HIGH ROAD LONDON", "", "12 HIGH ROAD", "PARK AND CO"),
+        ("12 c/o Parade Ltd", "", "12 Parade", None),
+        ("12 C/O Smith Ltd", "", "12 Smith Ltd", None),
+        ("12 High Street C/O Smith", "", "12 High Street C/O Smith", None),
+        (None, " 3 Low Lane ", "3 Low Lane", None),
+        (None, None, "", None),
+    ],
+)
+def test_care_of(spark, one, two, address, agent):
+    r = spark.createDataFrame([(one, two)], "a string, b string").select(normalise.care_of(F.col("a"), F.col("b")).alias("r")).first().r
+    assert (r.address, r.agent) == (address, agent)
+
+
+@pytest.mark.parametrize(
+    ("line", "street"),
+    [("C/O SMITH LTD, Flat 2, 12 High Street", "12 HIGH STREET"), ("Apt 3b: 12 High Road", "12 HIGH ROAD"), ("Rear of 12 High Road", "HIGH ROAD"), ("Part First Floor, 12 High Road", "HIGH ROAD"), ("Basement - 12 High Road UK", "HIGH ROAD")],
+)
+def test_address_key_drops_agents_and_units(spark, line, street):
+    r = spark.range(1).select(normalise.address_key(F.lit(line), F.lit(None).cast("string"), F.lit("n1 1aa")).alias("k")).first()
+    assert r.k == f"{street}|N11AA"
 
 
 def test_first_within_takes_the_earliest_and_keeps_the_dark(spark):
