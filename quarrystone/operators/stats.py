@@ -21,17 +21,19 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
 
 
 def two_proportions(k1: Column, n1: Column, k2: Column, n2: Column, z: float = Z95) -> dict[str, Column]:
-    """Difference, its unpooled limits and the pooled z."""
+    """Difference, its unpooled limits, the pooled z and its p; all null without trials, z and p also where all or none succeed."""
+    n1, n2 = (F.when((n1 > 0) & (n2 > 0), n) for n in (n1, n2))
     p1, p2, pool = k1 / n1, k2 / n2, (k1 + k2) / (n1 + n2)
     se, pooled = F.sqrt(p1 * (1 - p1) / n1 + p2 * (1 - p2) / n2), F.sqrt(pool * (1 - pool) * (1 / n1.cast("double") + 1 / n2.cast("double")))
-    return {"difference": p1 - p2, "low": p1 - p2 - z * se, "high": p1 - p2 + z * se, "z": (p1 - p2) / F.when(pooled > 0, pooled)}
+    score = (p1 - p2) / F.when(pooled > 0, pooled)
+    return {"difference": p1 - p2, "low": p1 - p2 - z * se, "high": p1 - p2 + z * se, "z": score, "p": normal_p(score)}
 
 
 def normal_p(z: Column) -> Column:
-    """Two-sided p of a standard normal z."""
+    """Two-sided p of a standard normal z; null for null. For results: a row for each group that was tested."""
 
     def run(part: pd.Series) -> pd.Series:
-        return part.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x == x else None)
+        return part.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if pd.notna(x) else None).astype(float)
 
     return F.pandas_udf(run, "double")(z)
 
@@ -99,7 +101,7 @@ def sum_before(df: DataFrame, value: str, amount: str, name: str, buckets: int =
 
 
 def mann_whitney(df: DataFrame, value: str, first: Column) -> DataFrame:
-    """U of the first group, group sizes, rank-biserial effect, and z with ties and continuity."""
+    """n1, n2, U of the first group, rank-biserial effect, z with ties and continuity, and p; all but the sizes are null with a group under two rows."""
     cells = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("ties"), F.sum(first.cast("int")).alias("ones"))
     ranked = sum_before(cells, value, "ties", "before").withColumn("midrank", F.col("before") + (F.col("ties") + 1) / 2)
     ties = F.col("ties").cast("double")
@@ -108,7 +110,9 @@ def mann_whitney(df: DataFrame, value: str, first: Column) -> DataFrame:
     u, n = F.col("r1") - n1 * (n1 + 1) / 2, n1 + n2
     sigma = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("t") / (n * (n - 1))))
     gap = F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0)) * F.signum(u - n1 * n2 / 2)
-    return s.select("n1", "n2", u.alias("u"), (2 * u / (n1 * n2) - 1).alias("effect"), F.when(sigma > 0, gap / sigma).alias("z"))
+    enough, score = (n1 >= 2) & (n2 >= 2), F.when((n1 >= 2) & (n2 >= 2) & (sigma > 0), gap / sigma)
+    found = s.select("n1", "n2", F.when(enough, u).alias("u"), F.when(enough, 2 * u / (n1 * n2) - 1).alias("effect"), score.alias("z"))
+    return found.withColumn("p", normal_p(F.col("z")))
 
 
 def spearman_kendall(df: DataFrame, item: str, a: str, b: str) -> DataFrame:

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrystone.operators.stats import normal_p
+
 Z95 = 1.96
 
 
@@ -62,6 +64,14 @@ def logrank_sums(df: DataFrame, strata: list[str], first_arm: Column, time: str
     return steps.groupBy(*strata).agg(F.sum("deaths1").alias("observed"), F.sum(d * n1 / n).alias("expected"), F.sum(d * (n1 / n) * (1 - n1 / n) * (n - d) / (n - 1)).alias("variance"))
 
 
+def logrank(sums: DataFrame, *by: str) -> DataFrame:
+    """Of each ``by`` (none: over all strata): observed, expected, variance, their ratio, z, chi2 and p from logrank_sums; null without variance."""
+    total = sums.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("observed", "expected", "variance")))
+    z = F.when(F.col("variance") > 0, (F.col("observed") - F.col("expected")) / F.sqrt("variance"))
+    total = total.withColumn("ratio", F.when(F.col("expected") > 0, F.col("observed") / F.col("expected"))).withColumn("z", z).withColumn("chi2", F.col("z") * F.col("z"))
+    return total.withColumn("p", normal_p(F.col("z")))
+
+
 def cumulative_incidence(df: DataFrame, groups: list[str], time: str = "duration", cause: str = "cause", causes: int = 2) -> DataFrame:
     """groups, time, n, survival, cif_1.. (Aalen-Johansen). Cause 0 is censored; at a cause beyond ``causes`` a life leaves
     those at risk and survival does not fall."""

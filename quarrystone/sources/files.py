@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: One filing of an entity's history.
@@ -59,6 +59,27 @@ def archive_members(spark: SparkSession, path: str, wanted: str = r".*") -> Data
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, content binary")
 
 
+def write_csv(df: DataFrame, path: str, decimals: int | None = None) -> None:
+    """A folder of CSV files with headers in place of what was there, rows dealt as df has them; nulls are empty fields.
+
+    With ``decimals``, floating-point columns have so many places, as C's %f writes them.
+    """
+    if decimals is not None:
+        fixed = {f.name: F.format_string(f"%.{decimals}f", F.col(f"`{f.name}`")) for f in df.schema if f.dataType.typeName() in {"double", "float"}}
+        df = df.withColumns({name: F.when(F.col(f"`{name}`").isNotNull(), c) for name, c in fixed.items()}) if fixed else df
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def whole_number(c: Column) -> Column:
+    """The whole number that a text is; 0 for null, empty and other texts."""
+    return F.coalesce(F.trim(c).try_cast("bigint"), F.lit(0))
+
+
+def day_of(c: Column) -> Column:
+    """'03-Feb-21', in any case, to a date; null for other texts."""
+    return F.try_to_timestamp(F.initcap(F.trim(c)), F.lit("dd-MMM-yy")).cast("date")
+
+
 def write_partition(df: DataFrame, path: str, column: str, refresh: bool = False) -> None:
     """Appends the partitions that are not there yet; with refresh, replaces those that df has."""
     spark = df.sparkSession

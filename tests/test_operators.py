@@ -48,6 +48,14 @@ def test_logrank_of_equal_arms_expects_half(spark):
     assert r.observed == 3 and r.expected == pytest.approx(3)
 
 
+def test_logrank_has_a_p(spark):
+    rows = lives(spark, [("a", t, 1) for t in (1, 2, 3)] + [("b", t, 1) for t in (4, 5, 6)]).withColumn("s", F.lit(1))
+    r = survival.logrank(survival.logrank_sums(rows, ["s"], F.col("g") == "a")).first()
+    assert r.ratio > 1 and r.chi2 == pytest.approx(r.z**2) and r.p == pytest.approx(math.erfc(abs(r.z) / math.sqrt(2)))
+    none = survival.logrank(survival.logrank_sums(lives(spark, [("a", 1, 0)]).withColumn("s", F.lit(1)), ["s"], F.col("g") == "a"), "s")
+    assert none.count() == 0
+
+
 def test_bootstraps_bracket_the_estimate(spark):
     rows = lives(spark, [(g, t % 9 + 1, int(t % (3 if g == "a" else 2) == 0)) for g in "ab" for t in range(200)])
     r = survival.bootstrap_cif_difference(rows, "g", 5, replicates=60).first()
@@ -73,6 +81,33 @@ def test_mann_whitney_and_auc_with_ties(spark):
     assert stats.auc(df, "v", "y").first().auc == pytest.approx(0.125)
 
 
+def test_rank_test_of_too_few_is_null(spark):
+    r = stats.mann_whitney(spark.createDataFrame([(1.0, 1), (2.0, 0), (3.0, 0)], "v double, y int"), "v", F.col("y") == 1).first()
+    assert (r.n1, r.n2, r.u, r.effect, r.z, r.p) == (1, 2, None, None, None, None)
+    r = stats.mann_whitney(spark.createDataFrame([(float(x), x % 2) for x in range(20)], "v double, y int"), "v", F.col("y") == 1).first()
+    assert r.p == pytest.approx(math.erfc(abs(r.z) / math.sqrt(2)))
+
+
+def test_two_proportions(spark):
+    df = spark.createDataFrame([(30, 100, 20, 100), (0, 10, 0, 10), (1, 0, 1, 2)], "a int, b int, c int, d int")
+    r, same, none = df.select(*(c.alias(k) for k, c in stats.two_proportions(F.col("a"), F.col("b"), F.col("c"), F.col("d")).items())).collect()
+    assert r.difference == pytest.approx(0.1) and r.z == pytest.approx(1.63299, abs=1e-5) and r.p == pytest.approx(0.10247, abs=1e-5)
+    assert same.difference == 0 and same.z is None and same.p is None
+    assert set(none) == {None}
+
+
+def test_csv_sinks_and_tolerant_values(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.5, 'a "b", c'), (2, None, None)], "n int, x double, s string").coalesce(1)
+    files.write_csv(df, f"{tmp_path}/fixed", decimals=4)
+    files.write_csv(df, f"{tmp_path}/plain")
+    back = files.bulk_csv(spark, f"{tmp_path}/fixed").orderBy("n").collect()
+    assert [tuple(r) for r in back] == [("1", "0.5000", 'a "b", c'), ("2", None, None)]
+    assert files.bulk_csv(spark, f"{tmp_path}/plain").orderBy("n").first().x == "0.5"
+    texts = spark.createDataFrame([(" 12 ", "03-Feb-21"), ("", "3 Feb"), ("x1", "31-FEB-21"), (None, None)], "a string, b string")
+    got = texts.select(files.whole_number(F.col("a")), files.day_of(F.col("b")).cast("string")).collect()
+    assert [tuple(r) for r in got] == [(12, "2021-02-03"), (0, None), (0, None), (0, None)]
+
+
 def test_sum_before_equals_a_whole_window(spark):
     df = spark.range(500).select((F.col("id") * 7919 % 1000).alias("v"), F.lit(1).alias("one"))
     got = [r.before for r in stats.sum_before(df, "v", "one", "before").orderBy("v").collect()]
