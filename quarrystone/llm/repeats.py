@@ -8,9 +8,10 @@ starts in a document with a smaller id, exactly, without sending a row for each
   a hash of the content around the anchor.
 * Pass 1 is a filter: each block of documents deals the keys of its seeds. A key of one document is done, as its windows
   repeat nowhere. Keys are hashes; where two collide, more stays open, nothing is lost.
-* Pass 2 deals the open seeds by key with their real content. A bucket sorts the windows (the suffixes of the seeds, down to
-  ``length`` units) by most-significant-digit passes over that content: each pass splits the groups by the next digit and drops
-  groups of one document; the groups left after the last digit are exactly the repeated windows.
+* Pass 2 decides over the real content of the open seeds. A kernel with a ``judge`` brings its own (operator 6: rounds that name symbols); it
+  gets the open seeds of a block as one row, neighbours joined to stretches. Otherwise seeds are dealt by key, and a bucket
+  sorts the windows (the suffixes of the seeds, down to ``length`` units) by most-significant-digit passes over that content: each pass splits
+  the groups by the next digit and drops groups of one document; the groups left after the last digit are exactly the repeated windows.
 * Answers return to the blocks as bits, in the order of what was sent.
 
 Blocks hold some megabytes of text each and merge their own copies before anything is dealt, so a passage that every
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -84,11 +86,13 @@ class Parsed:
 @dataclass
 class Kernel:
     """parse: a block's bytes and where its documents begin. digits: from contents, a number for each place in all of them, of ``wide`` units
-    from there on, and how many units each content has; equal digits are equal units."""
+    from there on, and how many units each content has; equal digits are equal units. judge: the answers of pass 2 from the entries, dealt to
+    one bucket, and a number of buckets."""
 
     parse: Callable[[np.ndarray, np.ndarray], Parsed]
     digits: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
     wide: int
+    judge: Callable[[DataFrame, int], DataFrame] | None = None
 
 
 def runs(valid: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,11 +153,16 @@ def blocks_of(docs: DataFrame, carried: list[str]) -> DataFrame:
         if any(r.num_rows for r in rows):
             yield block(rows)
 
-    made = narrow.mapInArrow(run, "block long, ids binary, nulls binary, sizes binary, data binary, extra binary, extra_size long")
+    return by_block(narrow.mapInArrow(run, "block long, ids binary, nulls binary, sizes binary, data binary, extra binary, extra_size long"))
+
+
+def by_block(df: DataFrame) -> DataFrame:
+    """df written once, dealt by block."""
+    spark = df.sparkSession
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan forgets how its rows are dealt
     try:
-        return saved(made.repartition(2 * shuffle_partitions(spark), "block"))
+        return saved(df.repartition(2 * shuffle_partitions(spark), "block"))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
@@ -177,24 +186,28 @@ class Block:
         np.maximum.at(high, self.of, doc)
         self.several = low < high
 
-    def open(self, shared: np.ndarray) -> None:
+    def open(self, shared: np.ndarray, joined: bool) -> None:
         """The entries of the seeds whose key others have too, in other blocks (shared) or here: one for each content, of its smallest id."""
         s = self.parsed.seeds
-        self.seed = np.flatnonzero((shared | self.several)[self.of])
-        found = self.parsed.content(s.first[self.seed], s.last[self.seed] + self.length)
+        begin = end = np.flatnonzero((shared | self.several)[self.of])
+        if joined and len(begin):
+            cut = (s.doc[end[1:]] != s.doc[end[:-1]]) | (s.first[end[1:]] != s.last[end[:-1]] + 1)
+            begin, end = end[np.concatenate([[True], cut])], end[np.concatenate([cut, [True]])]
+        self.open_seeds = s = Seeds(s.doc[begin], s.first[begin], s.last[end], s.key[begin])
+        found = self.parsed.content(s.first, s.last + self.length)
         place: dict[bytes, int] = {}
         self.entry = np.fromiter((place.setdefault(c, len(place)) for c in found), np.int64, len(found))
         owner = np.full(len(place), len(found))
         np.minimum.at(owner, self.entry, np.arange(len(found)))  # seeds are in the order of ids
-        self.contents, owner = list(place), self.seed[owner]
+        self.contents = list(place)
         self.key, self.windows, self.doc = s.key[owner], s.last[owner] - s.first[owner] + 1, self.ids[s.doc[owner]]
 
     def removed(self, repeated: np.ndarray) -> np.ndarray:
         """A mark for each unit that a repeated window covers. repeated: of all windows of the entries."""
-        s = self.parsed.seeds
+        s = self.open_seeds
         n = int(self.parsed.units[-1])
-        first, size = s.first[self.seed], self.windows[self.entry]
-        later = self.ids[s.doc[self.seed]] > self.doc[self.entry]
+        first, size = s.first, self.windows[self.entry]
+        later = self.ids[s.doc] > self.doc[self.entry]
         begins = np.cumsum(self.windows) - self.windows
         starts = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         gone = np.repeat(later, size) | repeated[np.repeat(begins[self.entry], size) + starts]
@@ -237,7 +250,16 @@ def deal_keys(block: int, keys: np.ndarray, buckets: int) -> list[tuple]:
     return [(b, block, six(keys[order[cuts[b] : cuts[b + 1]]])) for b in np.flatnonzero(np.diff(cuts)).tolist()]
 
 
-def deal_entries(block: int, made: Block, buckets: int) -> list[tuple]:
+class Dealt(Protocol):
+    """What pass 2 deals: of each entry its key, content, document and number of windows."""
+
+    key: np.ndarray
+    contents: list[bytes]
+    doc: np.ndarray
+    windows: np.ndarray
+
+
+def deal_entries(block: int, made: Dealt, buckets: int) -> list[tuple]:
     order, cuts = places(made.key, buckets)
     codec, out = pa.Codec("zstd", compression_level=1), []
     for b in np.flatnonzero(np.diff(cuts)).tolist():
@@ -351,6 +373,7 @@ def without_repeats(docs: DataFrame, kernel: Kernel, length: int, carried: list[
     carried = carried or []
     spark = docs.sparkSession
     buckets = 4 * shuffle_partitions(spark)
+    dealt = 1 if kernel.judge else buckets
     blocks = blocks_of(docs, carried)
     fields = [docs.schema[c] for c in carried]
 
@@ -361,17 +384,17 @@ def without_repeats(docs: DataFrame, kernel: Kernel, length: int, carried: list[
 
     def opened(row: dict, answers: pa.Table) -> Block:
         block = Block(row, kernel, length)
-        block.open(heard(answers, 1, block.keys, np.ones(len(block.keys), np.int64), buckets))
+        block.open(heard(answers, 1, block.keys, np.ones(len(block.keys), np.int64), buckets), bool(kernel.judge))
         return block
 
     def send_entries(own: pa.Table, answers: pa.Table) -> pa.Table:
-        return rows_to(ENTRIES, [x for row in own.to_pylist() for x in deal_entries(row["block"], opened(row, answers), buckets)])
+        return rows_to(ENTRIES, [x for row in own.to_pylist() for x in deal_entries(row["block"], opened(row, answers), dealt)])
 
     def finish(own: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         for row in own.to_pylist():
             block = opened(row, answers)
-            gone = block.removed(heard(answers, 2, block.key, block.windows, buckets))
+            gone = block.removed(heard(answers, 2, block.key, block.windows, dealt))
             units = block.parsed.units
             edge = np.zeros(len(gone) + 1, bool)
             edge[1:-1] = gone[1:] != gone[:-1]
@@ -392,7 +415,7 @@ def without_repeats(docs: DataFrame, kernel: Kernel, length: int, carried: list[
     body = ["block", "ids", "nulls", "sizes", "data"]
     first = saved(blocks.select(*body).mapInArrow(send_keys, KEYS_SQL).groupBy("bucket").applyInArrow(shared_keys, ANSWERS_SQL))
     entries = blocks.select(*body).groupBy("block").cogroup(first.groupBy("block")).applyInArrow(send_entries, ENTRIES_SQL)
-    second = entries.groupBy("bucket").applyInArrow(lambda t: judged(t, kernel, length), ANSWERS_SQL)
+    second = kernel.judge(entries, buckets) if kernel.judge else entries.groupBy("bucket").applyInArrow(lambda t: judged(t, kernel, length), ANSWERS_SQL)
     schema = "doc_id long, n_units long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
     if carried:
         inner = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in fields)

@@ -632,3 +632,27 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     assert {r.doc_id: r.text for r in cut.collect()} == want
     assert {r.doc_id for r in last(spark, cut, str(tmp_path)).collect()} == set(want)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= len(want)
+
+
+def test_equal_words_get_equal_interior_symbols():
+    """Recompression: what a common passage settles has the same symbols in any surroundings; runs of a word are symbols too."""
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        passage = rng.integers(0, 6, 40)
+        sides = [rng.integers(0, 6, rng.integers(1, 30)) for _ in range(4)]
+        texts = [np.concatenate([sides[0], passage, sides[1]]), np.concatenate([sides[2], np.full(5, 3), passage, sides[3]])]
+        units = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        names: dict = {}
+        going = substring_dedup.recompression(np.concatenate(texts), units, 2)
+        try:
+            asked = next(going)
+            while True:
+                parts = list(zip(*(a.tolist() for a in asked)))
+                asked = going.send(np.asarray([names.setdefault(p, 100 + len(names)) for p in parts], np.int64))
+        except StopIteration as done:
+            name, left, right = done.value
+        inside = []
+        for base in (len(sides[0]), units[1] + len(sides[2]) + 5):
+            at = (left >= base) & (right <= base + 40)
+            inside.append(list(zip(name[at].tolist(), (left[at] - base).tolist(), (right[at] - base).tolist())))
+        assert inside[0] == inside[1] and len(inside[0]) > 4
