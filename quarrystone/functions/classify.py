@@ -28,6 +28,40 @@ def priority_route(events: DataFrame, entity: str, kind: str, order: list[tuple[
     return flags.select(entity, route.alias("route"), "n_events")
 
 
+# The register's form numbers by what they prove.
+COURT = ["WU01", "WU02", "WU07", "WU15", "4.20", "COCOMP", "L64.07"]
+CREDITORS = ["LIQ02", "LIQ03", "4.68", "2.24B"]
+DECLARATION = ["LIQ01", "4.70"]
+LIQUIDATION = ["LRESSP", "600", "601", "602", "LIQ10", "LIQ13", "LIQ14"]
+APPLIED = ["DS01", "DS02", "GAZ1(A)", "GAZ2(A)", "GAZ1A", "GAZ2A"]
+NOTICED = ["GAZ1", "GAZ2", "FTE1", "FTE2"]
+
+
+def exit_route(filings: DataFrame, entity: str, form: str, category: str) -> DataFrame:
+    """entity, route, family: what an entity's filings prove, whenever they came; the first case that holds decides.
+
+    A declaration of solvency makes a liquidation the members' own, unless creditors' paperwork shows that it was converted. The category cannot tell
+    these apart, so it counts only where no form does.
+    """
+    code = F.upper(form)
+    proofs = {"court": code.isin(COURT), "administration": code.startswith("AM"), "declaration": code.isin(DECLARATION), "creditors": code.isin(CREDITORS), "liquidation": code.isin(LIQUIDATION), "insolvency": F.lower(category) == "insolvency", "applied": code.isin(APPLIED), "noticed": code.isin(NOTICED)}
+    has = filings.groupBy(entity).agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(f"has_{k}") for k, c in proofs.items()))
+    f = {k: F.col(f"has_{k}") for k in proofs}
+    cases = [
+        (f["court"], "compulsory_liquidation", "insolvency"),
+        (f["administration"], "administration", "insolvency"),
+        (f["declaration"] & ~f["creditors"], "members_voluntary_liquidation", "solvent_winding_up"),
+        (f["creditors"] | f["liquidation"], "creditors_voluntary_liquidation", "insolvency"),
+        (f["insolvency"], "insolvency_other", "insolvency"),
+        (f["applied"], "voluntary_strike_off", "voluntary_dissolution"),
+        (f["noticed"], "registrar_strike_off", "registrar_dissolution"),
+    ]
+    route = family = F.lit("unknown")
+    for holds, name, kind in reversed(cases):
+        route, family = F.when(holds, name).otherwise(route), F.when(holds, kind).otherwise(family)
+    return has.select(entity, route.alias("route"), family.alias("family"))
+
+
 def last_event_route(events: DataFrame, entity: str, kind: str, at: str, routes: dict[str, str], withdrawals: dict[str, str], default: str = "unknown") -> DataFrame:
     """entity, route: of the latest event that names one, unless a later event withdraws it."""
     last = events.groupBy(entity).agg(*(F.max(F.when(F.col(kind) == k, F.col(at))).alias(f"at_{k}") for k in {*routes, *withdrawals.values()}))

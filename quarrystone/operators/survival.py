@@ -42,6 +42,11 @@ def survival_at(curve: DataFrame, groups: list[str], horizons: list[int]) -> Dat
     )
 
 
+def sampled_curve(curve: DataFrame, groups: list[str], end: int = 1120, step: int = 10) -> DataFrame:
+    """S at every ``step`` days up to ``end``, for charts."""
+    return survival_at(curve, groups, list(range(0, end + 1, step))).drop("variance")
+
+
 def loglog_interval(s: Column, variance: Column, z: float = Z95) -> tuple[Column, Column]:
     """Confidence limits of S on the log-log scale; S itself where that scale has no value."""
     plain = (s <= 0) | (s >= 1) | (variance <= 0)

@@ -55,11 +55,11 @@ def q51(s, d):
 
 @query(
     "Q52_name_tiers",
-    """with q as (select distinct case p_partkey % 4 when 0 then upper(p_name) when 1 then p_name || ' (UK) Ltd' when 2 then p_name || 's' else string_split(p_name, ' ')[2] || ' ' || string_split(p_name, ' ')[1] end as query from part where p_partkey < 200),
- r as (select p_partkey, p_name, p_type from part where p_partkey < 2000),
+    """with q as (select distinct case p_partkey % 4 when 0 then upper(p_name) when 1 then p_name || ' (UK) Ltd' when 2 then p_name || 's' else string_split(p_name, ' ')[2] || ' ' || string_split(p_name, ' ')[1] end as query from part),
+ r as (select p_partkey, p_name from part),
  qn as (select query, trim(regexp_replace(trim(regexp_replace(regexp_replace(upper(query), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '\\s+(LIMITED|LTD|PLC|LLP)$', '')) as n, trim(regexp_replace(trim(regexp_replace(regexp_replace(upper(regexp_replace(query, '\\([^)]*\\)', ' ', 'g')), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '\\s+(LIMITED|LTD|PLC|LLP)$', '')) as b from q),
  m as (select query, p_partkey, p_name, case when n = upper(p_name) then 1 when b = upper(p_name) then 2 when levenshtein(n, upper(p_name)) <= case when length(n) > 12 then 2 else 1 end then 3
-  when list_sort(string_split(n, ' ')) = list_sort(string_split(upper(p_name), ' ')) then 4 end as tier from qn join r on string_split(n, ' ')[1] = string_split(upper(p_name), ' ')[1] or string_split(b, ' ')[1] = string_split(upper(p_name), ' ')[1] or list_sort(string_split(n, ' ')) = list_sort(string_split(upper(p_name), ' '))),
+  when list_sort(string_split(n, ' ')) = list_sort(string_split(upper(p_name), ' ')) then 4 end as tier from qn cross join r),
  w as (select *, count(*) over (partition by query, tier) as candidates, row_number() over (partition by query order by tier, p_partkey) as rn from m where tier is not null)
  select query, p_partkey, p_name, tier, candidates from w where rn = 1""",
 )
@@ -122,9 +122,28 @@ def q54(s, d):
 ROUTES = [("court", ["error"]), ("voluntary", ["signup"]), ("registrar", ["purchase"])]
 
 
-@query("Q55_priority_route", "select user_id, case " + " ".join(f"when bool_or(event_type in ({', '.join(map(repr, k))})) then '{n}'" for n, k in ROUTES) + " else 'unknown' end as route, count(*) as n_events from events where value > 18 group by 1")
+@query("Q55_priority_route", "select user_id, case " + " ".join(f"when bool_or(event_type in ({', '.join(map(repr, k))})) then '{n}'" for n, k in ROUTES) + " else 'unknown' end as route, count(*) as n_events from events group by 1")
 def q55(s, d):
-    return classify.priority_route(table(s, d, "events").where("value > 18"), "user_id", "event_type", ROUTES)
+    return classify.priority_route(table(s, d, "events"), "user_id", "event_type", ROUTES)
+
+
+#: Stand-in forms of the events; a day of a user is an entity.
+FORMS = {"error": "AM01", "signup": "LIQ01", "purchase": "LIQ02", "click": "DS01", "view": "GAZ1"}
+
+
+@query(
+    "Q55c_exit_route",
+    "with f as (select user_id, cast(ts as date) as day, case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in FORMS.items()) + " end as form, case when value > 90 then 'Insolvency' end as category from events), "
+    "h as (select user_id, day, coalesce(bool_or(form = 'AM01'), false) as am, coalesce(bool_or(form = 'LIQ01'), false) as de, coalesce(bool_or(form = 'LIQ02'), false) as cr, coalesce(bool_or(category = 'Insolvency'), false) as i, coalesce(bool_or(form = 'DS01'), false) as ds, coalesce(bool_or(form = 'GAZ1'), false) as ga from f group by 1, 2) "
+    "select user_id || ' ' || strftime(day, '%Y-%m-%d') as entity, case when am then 'administration' when de and not cr then 'members_voluntary_liquidation' when cr then 'creditors_voluntary_liquidation' when i then 'insolvency_other' when ds then 'voluntary_strike_off' when ga then 'registrar_strike_off' else 'unknown' end as route, "
+    "case when am then 'insolvency' when de and not cr then 'solvent_winding_up' when cr or i then 'insolvency' when ds then 'voluntary_dissolution' when ga then 'registrar_dissolution' else 'unknown' end as family from h",
+)
+def q55c(s, d):
+    form = F.lit(None).cast("string")
+    for kind, code in FORMS.items():
+        form = F.when(C("event_type") == kind, code).otherwise(form)
+    e = table(s, d, "events").select(F.concat_ws(" ", C("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("entity"), form.alias("form"), F.when(C("value") > 90, "Insolvency").alias("category"))
+    return classify.exit_route(e, "entity", "form", "category")
 
 
 @query(

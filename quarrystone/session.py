@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 
 def session(name: str = "quarrystone", **conf: str) -> SparkSession:
@@ -40,3 +40,25 @@ def append_flow(df: DataFrame, path: str) -> None:
         df.select(F.col("step").cast("string"), F.col("stage").cast("string"), F.col("n").cast("long"), F.col("note").cast("string"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("step").parquet(path)
     )
+
+
+def _place(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def optional_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table, or an empty one of this schema where there is none: steps that only add to a result need no other branch."""
+    files, at = _place(spark, path)
+    return spark.read.parquet(path) if files.exists(at) else spark.createDataFrame([], schema)
+
+
+def with_columns_of(df: DataFrame, *columns: StructField) -> DataFrame:
+    """df with the columns that it lacks, as nulls of their types."""
+    return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in columns if f.name not in df.columns})
+
+
+def reset(spark: SparkSession, path: str) -> bool:
+    """Removes the tables under the path; whether there was something."""
+    files, at = _place(spark, path)
+    return files.delete(at, True)

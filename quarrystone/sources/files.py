@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import shutil
 import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +61,32 @@ def archive_members(spark: SparkSession, path: str, wanted: str = r".*") -> Data
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, content binary")
 
 
+def json_entries(spark: SparkSession, path: str, item: str) -> DataFrame:
+    """key, item of a file that holds one JSON object; keys that begin with _ are remarks."""
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, string>")).alias("key", "raw"))
+    return whole.where(~F.col("key").startswith("_")).select("key", F.from_json("raw", item).alias("item"))
+
+
+def pack(folder: str, archive: str) -> int:
+    """Files of a local folder put into a ZIP, which is read back before the folder goes; how many. On a failure the folder stays."""
+    root = Path(folder)
+    members = sorted(p for p in root.rglob("*") if p.is_file())
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in members:
+            z.write(p, p.relative_to(root.parent).as_posix())
+    with zipfile.ZipFile(archive) as z:
+        if z.testzip() is not None or len(z.infolist()) != len(members):
+            raise OSError(f"{archive}: not what {folder} holds; the folder stays")
+    shutil.rmtree(root)
+    return len(members)
+
+
+def unpack(archive: str, parent: str) -> int:
+    with zipfile.ZipFile(archive) as z:
+        z.extractall(parent)
+        return len(z.infolist())
+
+
 def write_csv(df: DataFrame, path: str, decimals: int | None = None) -> None:
     """A folder of CSV files with headers in place of what was there, rows dealt as df has them; nulls are empty fields.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import time
 from collections.abc import Callable, Iterator
 
@@ -25,7 +26,7 @@ class RateLimiter:
 
 
 def all_items(fetch: Fetch, query: str, size: int = 100, cap: int = 10_000) -> Iterator[dict]:
-    """Items of a query, page by page, up to what the service serves."""
+    """Items of a query, page by page, up to what the service serves; a query that has more is reported."""
     start = 0
     while start < cap:
         page = fetch(query, start, size)
@@ -34,6 +35,7 @@ def all_items(fetch: Fetch, query: str, size: int = 100, cap: int = 10_000) -> I
         start += len(items)
         if not items or start >= page.get("hits", 0):
             return
+    logging.getLogger(__name__).warning("%s: cut at %s items, slice it finer", query, cap)
 
 
 def slices(count: Callable[[str], int], query: str, splits: list[list[str]], cap: int = 5_000) -> list[str]:
