@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quarrystone.llm import exact_topk, license_scan, oracles, ranked_search, url_templates
+from quarrystone.llm.balanced_packing import op11_balanced_packing
 from quarrystone.llm.exact_topk import op4_exact_topk
 from quarrystone.llm.license_scan import op9_license_scan
 from quarrystone.llm.near_dedup import op5_near_dedup
@@ -19,7 +20,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_vp_tree, op2_suffix_dedup, op3_url_templates, op4_exact_topk, op5_near_dedup, op6_substring_dedup, op7_packing, op8_sentencepiece, op9_license_scan, op10_toxicity,
-        op12_ranked_search,
+        op11_balanced_packing, op12_ranked_search,
     )
 }
 ORACLE_SQL: dict[str, str] = {
