@@ -7,15 +7,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-import logging
 import time
-import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterable
 from pathlib import Path
 
 from quarrystone.sources.paged import RateLimiter
+from quarrystone.sources.patience import Patience, Refused, Reply, http
 
 #: What stands in the cache for a 404.
 ABSENT = {"absent": True}
@@ -30,10 +29,10 @@ def written(path: Path, content: bytes) -> None:
 
 
 class CachedService:
-    """get(path, params): JSON, or None for a 404. Too many requests and server errors are tried again, later each time."""
+    """get(path, params): JSON, or None for a 404. What is temporary is asked again as ``patience`` says."""
 
-    def __init__(self, base: str, folder: str, interval: float = 0.0, headers: dict[str, str] | None = None, opener: Callable = urllib.request.urlopen, sleep: Callable[[float], None] = time.sleep, tries: int = 10):
-        self.base, self.folder, self.headers, self.opener, self.sleep, self.tries = base, Path(folder), headers or {}, opener, sleep, tries
+    def __init__(self, base: str, folder: str, interval: float = 0.0, headers: dict[str, str] | None = None, opener: Callable = urllib.request.urlopen, sleep: Callable[[float], None] = time.sleep, patience: Patience = Patience()):
+        self.base, self.folder, self.headers, self.opener, self.sleep, self.patience = base, Path(folder), headers or {}, opener, sleep, patience
         self.limiter = RateLimiter(interval, sleep=sleep)
 
     def place(self, path: str, params: dict | None) -> Path:
@@ -50,25 +49,21 @@ class CachedService:
         return None if found == ABSENT else found
 
     def fetched(self, url: str) -> dict:
-        pause = 2.0
-        for _ in range(self.tries):
+        def ask() -> Reply:
             self.limiter.wait()
+            reply = http(url, self.headers, opener=self.opener)
             try:
-                with self.opener(urllib.request.Request(url, headers=self.headers), timeout=60) as answer:
-                    return json.loads(answer.read())
-            except urllib.error.HTTPError as e:
-                if e.code == 404:
-                    return ABSENT
-                if e.code != 429 and e.code < 500:
-                    raise
-                asked = (e.headers or {}).get("Retry-After", "") if e.code == 429 else ""
-                wait, most = (float(asked) if asked.isdigit() else pause), 900 if e.code == 429 else 60
-            except (urllib.error.URLError, TimeoutError, json.JSONDecodeError):
-                wait, most = pause, 60
-            logging.getLogger(__name__).warning("%s: again in %s s", url, wait)
-            self.sleep(wait)
-            pause = min(2 * pause, most)
-        raise RuntimeError(f"{url}: no answer in {self.tries} tries")
+                json.loads(reply.body or b"null")
+            except json.JSONDecodeError:  # a body that broke off
+                return Reply(0)
+            return reply
+
+        reply = self.patience.settled(ask, url, self.sleep)
+        if reply.status == 404:
+            return ABSENT
+        if reply.status >= 400:
+            raise Refused(url, reply.status)
+        return json.loads(reply.body)
 
 
 def lookup_all(keys: Iterable[str], place: str, bulk: Callable[[list[str]], dict[str, dict]], single: Callable[[str], dict | None] | None = None, size: int = 100) -> dict[str, dict | None]:

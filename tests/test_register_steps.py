@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from quarrystone import session
 from quarrystone.functions import classify
 from quarrystone.operators import prediction, survival
-from quarrystone.sources import cached, files, paged
+from quarrystone.sources import cached, files, paged, patience
 
 ROUTES = [
     (["LIQ01", "LIQ13"], "", "members_voluntary_liquidation"), (["LIQ01", "LIQ02"], "insolvency", "creditors_voluntary_liquidation"), (["600"], "", "creditors_voluntary_liquidation"),
@@ -66,12 +66,23 @@ class Service:
 def test_cached_service(tmp_path):
     slept, service = [], Service(429, 503, b'{"x": 1}', 404, 400)
     c = cached.CachedService("http://h", str(tmp_path), opener=service, sleep=slept.append)
-    assert [c.get("/a", {"q": 1}) for _ in range(2)] == [{"x": 1}] * 2 and service.asked == 3 and slept == [7.0, 4.0]
+    assert [c.get("/a", {"q": 1}) for _ in range(2)] == [{"x": 1}] * 2 and service.asked == 3 and slept == [7.0, 7.0]
     assert [c.get("/b") for _ in range(2)] == [None, None] and service.asked == 4
-    with pytest.raises(urllib.error.HTTPError):
+    with pytest.raises(patience.Refused):
         c.get("/c")
-    with pytest.raises(RuntimeError):
-        cached.CachedService("http://h", str(tmp_path), opener=Service(500, 500), sleep=slept.append, tries=2).get("/d")
+    with pytest.raises(patience.Unanswered):
+        cached.CachedService("http://h", str(tmp_path), opener=Service(500, 500), sleep=slept.append, patience=patience.Patience(tries=2)).get("/d")
+    assert cached.CachedService("http://h", str(tmp_path), opener=Service(b"{bro", b"[1]"), sleep=slept.append).get("/e") == [1]
+
+
+def test_patience():
+    p = patience.Patience(tries=6, first=2, growth=3, most=20, jitter=0.5)
+    pauses = list(p.pauses("x"))
+    assert pauses == list(p.pauses("x")) != list(p.pauses("y")) and len(pauses) == 5
+    assert all(low <= x <= 1.5 * low for x, low in zip(pauses, (2, 6, 18, 20, 20)))
+    reply = lambda **h: patience.Reply(429, {k.replace("_", "-"): v for k, v in h.items()})
+    assert [p.asked(reply(Retry_After=x), 784111700.0) for x in ("12", "9999", "", "soon", "Sun, 06 Nov 1994 08:49:37 GMT")] == [12, 600, 0, 0, 77]
+    assert [p.temporary(x) for x in (0, 200, 206, 400, 404, 408, 429, 500, 503)] == [True, False, False, False, False, True, True, True, True]
 
 
 def test_lookups_and_downloads(tmp_path):
