@@ -216,9 +216,8 @@ def fake_fetch(query, start, size):
     return {"hits": 250, "items": [{"n": i, "q": query} for i in range(start, min(start + size, 250))]}
 
 
-def test_paged_items_and_slices():
+def test_paged_items():
     assert len(list(paged.all_items(fake_fetch, "q"))) == 250
-    assert paged.slices(lambda q: 9000 if "&" not in q else 10, "q", [["a", "b"]]) == ["q&a", "q&b"]
 
 
 def test_ingest_resumes(spark, tmp_path):

@@ -10,6 +10,7 @@ from quarrystone import session
 from quarrystone.functions import classify
 from quarrystone.operators import prediction, survival
 from quarrystone.sources import cached, files, paged, patience
+from tests import paged_stub
 
 ROUTES = [
     (["LIQ01", "LIQ13"], "", "members_voluntary_liquidation"), (["LIQ01", "LIQ02"], "insolvency", "creditors_voluntary_liquidation"), (["600"], "", "creditors_voluntary_liquidation"),
@@ -130,6 +131,51 @@ def test_pack_and_unpack(tmp_path):
 
 def test_paged_source_runs_in_spark(spark):
     spark.dataSource.register(paged.PagedSource)
-    df = spark.read.format("paged").options(slices=json.dumps(["a", "b"]), module="tests.paged_stub", function="fetch").load()
+    df = spark.read.format("paged").options(slices=json.dumps(["a", "b"]), service="tests.paged_stub:fetch").load()
     assert df.rdd.getNumPartitions() == 2
     assert {r.slice: r["count"] for r in df.groupBy("slice").count().collect()} == {"a": 250, "b": 250}
+
+
+def test_slices_are_refined_in_the_cluster(spark, tmp_path):
+    """A register of 20,000 entities, of which a query serves 5,000, is read whole."""
+    seeds = spark.createDataFrame([(f"district=d{i}",) for i in range(7)] + [("district=d1",), (None,)], "query string")
+    splits = [[f"kind=k{i}" for i in range(3)], [f"year=y{i}" for i in range(11)]]
+    slices = paged.refined(seeds, splits, "tests.paged_stub:count", str(tmp_path / "levels"), cap=paged_stub.SERVED)
+    rows = slices.collect()
+    assert sorted({r.level for r in rows}) == [0, 1, 2] and not any(r.cut for r in rows) and len(rows) == 6 + 2 + 11
+    assert sum(r.hits for r in rows) == 20_000
+    slices.write.parquet(str(tmp_path / "slices"))
+    spark.dataSource.register(paged.PagedSource)
+    df = spark.read.format("paged").options(slices_at=str(tmp_path / "slices"), service="tests.paged_stub:search", lanes="4", size="1000", cap=str(paged_stub.SERVED)).load()
+    assert df.rdd.getNumPartitions() == 4
+    assert df.select(F.get_json_object("item", "$.n")).distinct().count() == df.count() == 20_000
+
+
+def test_refinement_goes_on(spark, tmp_path):
+    """A level that was written is not asked for again; a finest slice that the service cuts is told."""
+    seeds = spark.createDataFrame([("district=d0",), ("district=d3",)], "query string")
+    folder = str(tmp_path / "levels")
+    first = paged.refined(seeds, [["kind=k0"]], "tests.paged_stub:count", folder, cap=5000).collect()
+    assert {(r.query, r.level, r.cut) for r in first} == {("district=d3", 0, False), ("district=d0&kind=k0", 1, True)}
+    again = paged.refined(seeds, [["kind=k0"]], "tests.nowhere:count", folder, cap=5000)
+    assert sorted(again.collect()) == sorted(first)
+    assert paged.refined(seeds.where("false"), [["kind=k0"]], "tests.paged_stub:count", str(tmp_path / "none")).count() == 0
+
+
+def test_lanes_keep_to_one_rate():
+    now, at = [1000.03], []
+
+    def sleep(s):
+        now[0] += s
+
+    lanes = [paged.Lane(i, 3, 10.0, lambda: now[0], sleep) for i in range(3)]
+    for _ in range(8):
+        for lane in lanes:
+            lane.wait()
+            at.append(now[0])
+    assert all(b - a > 0.0999 for a, b in zip(at, at[1:])) and at[-1] - at[0] < 2.4
+    free = paged.Lane(0, 3, 0.0, lambda: now[0], lambda s: at.append(None))
+    free.wait()
+    assert at[-1] is not None
+    hits = [("a", 900), ("b", 500), ("c", 450), ("d", 30), ("e", 0)]
+    assert paged.dealt(hits, 2) == [["a", "d", "e"], ["b", "c"]] and paged.dealt([], 4) == [] and len(paged.dealt(hits, 9)) == 5
