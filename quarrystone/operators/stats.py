@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,16 +117,82 @@ def mann_whitney(df: DataFrame, value: str, first: Column) -> DataFrame:
     return found.withColumn("p", normal_p(F.col("z")))
 
 
+def inversions(x: np.ndarray) -> int:
+    """Pairs out of order, equal ones apart: a larger value before a smaller one. Bit by bit from the top, all prefixes of a bit at once."""
+    ranks = np.unique(x, return_inverse=True)[1].astype(np.int64)
+    total = 0
+    for bit in range(int(ranks.max(initial=0)).bit_length() - 1, -1, -1):
+        prefix, one = ranks >> (bit + 1), (ranks >> bit) & 1
+        order = np.argsort(prefix, kind="stable")
+        prefix, one = prefix[order], one[order]
+        before = np.cumsum(one) - one
+        start = np.searchsorted(prefix, prefix)  # where the prefix begins
+        total += int((before - before[start])[one == 0].sum())
+    return total
+
+
+def value_bucket(cuts: Column, value: Column) -> Column:
+    """Two for each cut below the value, and one if it is a cut itself: a value that many rows share is a cut, and so has a bucket of its own, an odd one."""
+    return F.size(F.filter(cuts, lambda c: c < value)) + F.size(F.filter(cuts, lambda c: c <= value))
+
+
+def cuts_of(df: DataFrame, value: str, name: str, buckets: int) -> DataFrame:
+    """One row with at most ``buckets`` - 1 values that part the column evenly, about."""
+    return df.agg(F.array_distinct(F.percentile_approx(value, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(100 * buckets))).alias(name))
+
+
+def discordant(df: DataFrame, a: str, b: str, buckets: int = 32) -> DataFrame:
+    """One row, n: pairs of rows with a smaller a and a larger b, in n log n.
+
+    The plane is cut into value ranges of a by value ranges of b. Pairs in different ranges of both are products of counts, a few thousand numbers; pairs in one range of a,
+    and those in one range of b but not of a, are counted as inversions of a sorted run, a task for each range. A range of one value has no such pair,
+    so what many rows share is never brought together.
+    """
+    both = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).where("a is not null and b is not null")
+    cuts = cuts_of(both, "a", "ca", buckets).crossJoin(cuts_of(both, "b", "cb", buckets))
+    dealt = both.crossJoin(F.broadcast(cuts)).select("a", "b", value_bucket(F.col("ca"), F.col("a")).alias("i"), value_bucket(F.col("cb"), F.col("b")).alias("j"))
+
+    def crossed(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = 2 * buckets + 1
+        grid = np.zeros((side, side))
+        grid[pdf["i"], pdf["j"]] = pdf["count"]
+        larger = grid.astype(object)[:, ::-1].cumsum(axis=1)[:, ::-1]  # of larger or equal j, in whole numbers of any size
+        above = np.zeros((side, side), object)
+        above[:, :-1] = larger[:, 1:]
+        before = np.zeros((side, side), object)
+        before[1:] = above.cumsum(axis=0)[:-1]
+        return pd.DataFrame({"n": [int((grid.astype(np.int64).astype(object) * before).sum())]})
+
+    def within(keys: list[str]):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(keys, kind="stable")
+            return pd.DataFrame({"n": [inversions(pdf["b"].to_numpy())]})
+
+        return run
+
+    counted = dealt.groupBy("i", "j").count().withColumn("all", F.lit(0))
+    parts = [counted.groupBy("all").applyInPandas(crossed, "n long")]
+    parts += [dealt.where("i % 2 = 0").groupBy("i").applyInPandas(within(["a", "b"]), "n long"), dealt.where("j % 2 = 0").groupBy("j").applyInPandas(within(["i", "b"]), "n long")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def spearman_kendall(df: DataFrame, item: str, a: str, b: str) -> DataFrame:
-    """Spearman's rho of the ranks of a and b (ties take the last place) and Kendall's tau-a, over few ranked items."""
-    n = F.count("*")
-    ra = F.count("*").over(Window.orderBy(a).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    rb = F.count("*").over(Window.orderBy(b).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    rho = df.select(ra.alias("ra"), rb.alias("rb")).agg(n.alias("n"), (1 - 6 * F.sum(F.pow(F.col("ra") - F.col("rb"), 2)) / (n * (n * n - 1))).alias("spearman"))
-    x, y = (df.select(F.col(item).alias(f"i{s}"), F.col(a).alias(f"a{s}"), F.col(b).alias(f"b{s}")) for s in "12")
-    sign = F.signum(F.col("a1") - F.col("a2")) * F.signum(F.col("b1") - F.col("b2"))
-    tau = x.join(F.broadcast(y), F.col("i1") < F.col("i2")).agg(F.avg(sign).alias("kendall"))  # a row for each ranked group, some dozens
-    return rho.crossJoin(tau)
+    """n, Spearman's rho of the ranks of a and b (ties take the last place) and Kendall's tau-a, in n log n. Rows without both are left out.
+
+    The two columns are read a dozen times, so they are kept while the one row of the result is made.
+    """
+    rows = df.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").persist()
+    place = lambda c: sum_before(rows.groupBy(c).agg(F.count("*").alias("ties")), c, "ties", "before").select(c, (F.col("before") + F.col("ties")).alias(f"r{c}"))
+    ranked = rows.join(place("a"), "a").join(place("b"), "b")
+    n = F.count("*").cast("double")
+    rho = ranked.agg(F.count("*").alias("n"), (1 - F.try_divide(6 * F.sum(F.pow((F.col("ra") - F.col("rb")).cast("double"), 2)), n * (n * n - 1))).alias("spearman"))
+    tied = lambda *c: rows.groupBy(*c).count().agg(F.coalesce(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.lit(0.0)).alias("tied" + "".join(c)))
+    counts = rho.crossJoin(tied("a")).crossJoin(tied("b")).crossJoin(tied("a", "b")).crossJoin(discordant(rows, "a", "b").withColumnRenamed("n", "against"))  # one row each
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    tau = F.try_divide(pairs - F.col("tieda") - F.col("tiedb") + F.col("tiedab") - 2 * F.col("against"), pairs)
+    found = counts.select("n", "spearman", tau.alias("kendall")).first()
+    rows.unpersist()
+    return df.sparkSession.createDataFrame([found], "n long, spearman double, kendall double")
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -135,7 +203,41 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return s.select("n1", "n0", ((F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0"))).alias("auc"))
 
 
+def quantiles(df: DataFrame, groups: list[str], value: str, wanted: dict[str, float], buckets: int = 32) -> DataFrame:
+    """groups, n and the exact quantiles wanted, between values linearly: nulls are left out, and a group of nulls alone; without groups, one row.
+
+    Equal values of a group count as one cell. Value ranges (cut about evenly over all cells, so that a group with many has many ranges) tell from their counts
+    which of them hold the places that a quantile stands between; only those are sorted, a task for each range of a group.
+    """
+    rows = df.select(*groups, F.col(value).alias("__v")).where("__v is not null")
+    cells = rows.groupBy(*groups, "__v").agg(F.count("*").alias("__ties"))
+    cuts = cuts_of(cells, "__v", "__cuts", buckets)  # of the cells, so that their shuffle serves all that follows
+    dealt = cells.crossJoin(F.broadcast(cuts)).withColumn("__bucket", value_bucket(F.col("__cuts"), F.col("__v"))).drop("__cuts")
+    totals = dealt.groupBy(*groups, "__bucket").agg(F.sum("__ties").alias("__total"))
+    of_group = Window.partitionBy(*(groups or [F.lit(0)]))  # at most 2 * buckets rows of a group
+    below = F.coalesce(F.sum("__total").over(of_group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = totals.withColumns({"__below": below, "__n": F.sum("__total").over(of_group)})
+    # places of a quantile: the rows, counted from 0, that it stands on or between
+    at = {name: q * (F.col("__n") - 1).cast("double") for name, q in wanted.items()}
+    places = F.array_distinct(F.array(*(f(x).cast("long") for x in at.values() for f in (F.floor, F.ceil))))
+    held = ranges.withColumn("__places", F.filter(places, lambda p: (p >= F.col("__below")) & (p < F.col("__below") + F.col("__total")))).where(F.size("__places") > 0).drop("__total")
+    keys = [*groups, "__bucket"]
+    held = held.withColumnsRenamed({c: f"__held_{c}" for c in keys})
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__held_{c}")) for c in keys))
+    chosen = dealt.join(held, same).select(*keys, "__v", "__ties", "__below", "__n", "__places")
+    run = Window.partitionBy(*groups, "__bucket").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("__below") + F.coalesce(F.sum("__ties").over(run), F.lit(0))
+    hit = chosen.withColumn("__first", first).withColumn("__hit", F.explode(F.filter("__places", lambda p: (p >= F.col("__first")) & (p < F.col("__first") + F.col("__ties")))))
+    found = hit.groupBy(*groups).agg(F.first("__n").alias("__n"), F.map_from_entries(F.collect_list(F.struct("__hit", F.col("__v").cast("double").alias("v")))).alias("__at"))  # two places a quantile
+
+    def between(x: Column) -> Column:
+        low, high = F.col("__at")[F.floor(x).cast("long")], F.col("__at")[F.ceil(x).cast("long")]
+        return F.when(low == high, low).otherwise(low + (high - low) * (x - F.floor(x)))
+
+    return found.select(*groups, F.coalesce("__n", F.lit(0)).alias("n"), *(between(x).alias(name) for name, x in at.items()))
+
+
 def winsorised(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """df with the column clipped to its exact quantiles: one row of bounds, broadcast."""
-    bounds = df.agg(F.percentile(value, F.lit(low)).alias("__low"), F.percentile(value, F.lit(high)).alias("__high"))
+    bounds = quantiles(df, [], value, {"__low": low, "__high": high}).drop("n")
     return df.crossJoin(F.broadcast(bounds)).withColumn(value, F.least(F.greatest(F.col(value), F.col("__low")), F.col("__high"))).drop("__low", "__high")

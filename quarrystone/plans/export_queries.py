@@ -53,10 +53,15 @@ def count_query(name: str, keys: str, where: str) -> None:
 for _name, (_keys, _where) in COUNTS.items():
     count_query(_name, _keys, _where)
 
+
+QUARTILES = {"median": 0.5, "q1": 0.25, "q3": 0.75}
+
+
 @query("Q67_lifespan_summary", f"with {COHORT_SQL} select format, count(*) as n, round(median(duration / 365.25), 6) as median, round(quantile_cont(duration / 365.25, 0.25), 6) as q1, round(quantile_cont(duration / 365.25, 0.75), 6) as q3, round(min(duration / 365.25), 6) as low, round(max(duration / 365.25), 6) as high, round(avg(duration / 365.25), 6) as mean from cohort where event = 1 group by 1")
 def q67(s, d):
-    y = C("duration") / F.lit(365.25)
-    return cohort(s, d).where("event = 1").groupBy("format").agg(F.count("*").alias("n"), r6(F.median(y)).alias("median"), r6(F.percentile(y, F.lit(0.25))).alias("q1"), r6(F.percentile(y, F.lit(0.75))).alias("q3"), r6(F.min(y)).alias("low"), r6(F.max(y)).alias("high"), r6(F.avg(y)).alias("mean"))
+    rows = cohort(s, d).where("event = 1").withColumn("y", C("duration") / F.lit(365.25))
+    rest = rows.groupBy("format").agg(F.count("*").alias("n"), r6(F.min("y")).alias("low"), r6(F.max("y")).alias("high"), r6(F.avg("y")).alias("mean"))
+    return rest.join(stats.quantiles(rows, ["format"], "y", QUARTILES).drop("n"), "format").select("format", "n", *(r6(c).alias(c) for c in QUARTILES), "low", "high", "mean")
 
 
 @query("Q68_lifespan_buckets", f"with {COHORT_SQL} select format, case when duration < 365 then 'under 1' when duration < 1095 then '1 to 3' when duration < 1825 then '3 to 5' else 'over 5' end as bucket, count(*) as n from cohort where event = 1 group by all")
@@ -90,8 +95,7 @@ def q71(s, d):
 
 @query("Q72_succession_gaps", f"with {SUCCESSION_SQL} select transition, count(*) as n, round(median(gap), 3) as median, round(quantile_cont(gap, 0.25), 3) as q1, round(quantile_cont(gap, 0.75), 3) as q3 from succession where not went_dark group by 1")
 def q72(s, d):
-    g = C("gap")
-    return succession(s, d).where("not went_dark").groupBy("transition").agg(F.count("*").alias("n"), F.round(F.median(g), 3).alias("median"), F.round(F.percentile(g, F.lit(0.25)), 3).alias("q1"), F.round(F.percentile(g, F.lit(0.75)), 3).alias("q3"))
+    return stats.quantiles(succession(s, d).where("not went_dark"), ["transition"], "gap", QUARTILES).select("transition", "n", *(F.round(c, 3).alias(c) for c in QUARTILES))
 
 
 @query("Q73_successor_industries", f"with {SUCCESSION_SQL} select industry, count(*) as n from succession where not went_dark group by 1")
@@ -175,4 +179,6 @@ def q59(s, d):
  select c_acctbal < 0 as negative, count(*) as n, round(median(g), 6) as median, round(avg(case when g > 0 then 1.0 else 0.0 end), 6) as positive from c join customer on o_custkey = c_custkey group by 1""")
 def q80(s, d):
     rows = growth(s, d).join(table(s, d, "customer"), C("o_custkey") == C("c_custkey"))
-    return rows.groupBy((C("c_acctbal") < 0).alias("negative")).agg(F.count("*").alias("n"), r6(F.median("g")).alias("median"), r6(F.avg((C("g") > 0).cast("double"))).alias("positive"))
+    rows = rows.withColumn("negative", C("c_acctbal") < 0)
+    rest = rows.groupBy("negative").agg(F.count("*").alias("n"), r6(F.avg((C("g") > 0).cast("double"))).alias("positive"))
+    return rest.join(stats.quantiles(rows, ["negative"], "g", {"median": 0.5}).drop("n"), "negative").select("negative", "n", r6("median").alias("median"), "positive")

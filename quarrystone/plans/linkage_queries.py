@@ -173,7 +173,8 @@ def q56(s, d):
 def q57(s, d):
     x = table(s, d, "documents").select("doc_id", C("n_chars").alias("score")).join(table(s, d, "labels").select("doc_id", C("toxic").alias("y")), "doc_id")
     a = stats.auc(x, "score", "y").select(F.lit("auc").alias("part"), F.lit(0).alias("decile"), (C("n1") + C("n0")).alias("n"), r6("auc").alias("value"))
-    edges = x.agg(F.array_distinct(F.percentile("score", F.array(*(F.lit(i / 10) for i in range(1, 10))))).alias("edges"))  # one row
+    names = [f"d{i}" for i in range(1, 10)]
+    edges = stats.quantiles(x, [], "score", {c: i / 10 for i, c in enumerate(names, 1)}).select(F.array_distinct(F.array(*names)).alias("edges"))  # one row
     dec = x.crossJoin(F.broadcast(edges)).select("y", (1 + F.size(F.filter("edges", lambda e: e < C("score")))).alias("decile"))
     return a.unionByName(dec.groupBy("decile").agg(F.lit("decile").alias("part"), F.count("*").alias("n"), r6(F.avg("y")).alias("value")))
 

@@ -161,9 +161,9 @@ def succession(s, d):
     """Each error with the first other event of its user from an hour before to a day after."""
     e = table(s, d, "events")
     dead = e.where("event_type = 'error'").select("event_id", "user_id", "ts")
-    pool = linkage.union_all([e.select("user_id", C("event_id").alias("successor"), C("ts").alias("successor_ts"), C("event_type").alias("successor_type"))])
-    inside = (C("successor") != C("event_id")) & (C("successor_type") != "error") & (C("successor_ts") >= C("ts") - F.expr("interval 1 hour")) & (C("successor_ts") <= C("ts") + F.expr("interval 24 hour"))
-    out = linkage.first_within(dead, pool, "user_id", inside, "event_id", [C("successor_ts"), C("successor")])
+    pool = e.where("event_type <> 'error'").select("user_id", C("event_id").alias("successor"), C("ts").alias("successor_ts"), C("event_type").alias("successor_type"))
+    hour = 3_600_000_000
+    out = linkage.first_within(dead, pool, "user_id", "ts", "successor_ts", hour, 24 * hour, "event_id", "successor")
     industry = F.create_map(*(F.lit(x) for x in ("purchase", "food", "signup", "retail", "view", "other", "click", "other")))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     return out.withColumns({
@@ -257,7 +257,9 @@ def q28(s, d):
 @query("Q29_group_ratios", "select c_mktsegment, round(100.0 * avg(case when c_acctbal < 3000 then 1.0 else 0.0 end), 4) as below_pct, median(c_acctbal) as median_bal, round(sum(c_acctbal) / nullif(sum(case when c_acctbal < 0 then c_acctbal end), 0), 6) as guarded from customer group by 1")
 def q29(s, d):
     b = C("c_acctbal")
-    return table(s, d, "customer").groupBy("c_mktsegment").agg(F.round(100.0 * F.avg((b < 3000).cast("double")), 4).alias("below_pct"), F.median(b).alias("median_bal"), r6(F.try_divide(F.sum(b), F.sum(F.when(b < 0, b)))).alias("guarded"))
+    rows = table(s, d, "customer")
+    rest = rows.groupBy("c_mktsegment").agg(F.round(100.0 * F.avg((b < 3000).cast("double")), 4).alias("below_pct"), r6(F.try_divide(F.sum(b), F.sum(F.when(b < 0, b)))).alias("guarded"))
+    return rest.join(stats.quantiles(rows, ["c_mktsegment"], "c_acctbal", {"median_bal": 0.5}).drop("n"), "c_mktsegment").select("c_mktsegment", "below_pct", "median_bal", "guarded")
 
 
 RATES = [("1995-01-01", "1996-06-30", 0.175), ("1996-07-01", "1998-12-31", 0.05), ("1999-01-01", "2001-12-31", 0.125)]
@@ -289,7 +291,8 @@ def q30(s, d):
 )
 def q31(s, d):
     g = growth(s, d)
-    return g.groupBy("year").agg(F.count("*").alias("n"), r6(F.median("g")).alias("median"), r6(F.percentile("g", F.lit(0.25))).alias("q1"), r6(F.percentile("g", F.lit(0.75))).alias("q3"), r6(F.avg((C("g") > 0).cast("double"))).alias("positive"))
+    rest = g.groupBy("year").agg(F.count("*").alias("n"), r6(F.avg((C("g") > 0).cast("double"))).alias("positive"))
+    return rest.join(stats.quantiles(g, ["year"], "g", {"median": 0.5, "q1": 0.25, "q3": 0.75}).drop("n"), "year").select("year", "n", *(r6(c).alias(c) for c in ("median", "q1", "q3")), "positive")
 
 
 def growth(s, d):
