@@ -44,6 +44,8 @@ class Codec:
         self.hidden = {i for i in range(len(self.pieces)) if model.is_control(i)}
         self.byte_of = {i: int(p[3:5], 16) for i, p in enumerate(self.pieces) if model.is_byte(i)}
         self.id_of_byte = {b: i for i, b in self.byte_of.items()}
+        #: Ids that do not decode to their pieces alone.
+        self.odd = {self.unknown, *self.hidden, *self.byte_of}
         usable = [i for i in range(len(self.pieces)) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i) or model.is_unused(i))]
         self.id_of = {self.pieces[i]: i for i in usable}
         #: A piece's place in the order of merges, by falling score.
@@ -55,7 +57,9 @@ class Codec:
         #: Segments seen of late and before; the older half goes when the newer one is full.
         self.memory: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
-        self.decimal = {p: str(i) for p, i in self.id_of.items()}
+        #: Of an id: its decimal, and the text that it decodes to.
+        self.decimal = [str(i) for i in range(len(self.pieces))]
+        self.spelling = [p.replace(SPACE, " ") for p in self.pieces]
         whole = [p for p in self.id_of if self.merged(p) == [p]]
         self.automaton = ahocorasick.Automaton()
         for p in whole:
@@ -140,17 +144,13 @@ class Codec:
         return out
 
     def segment(self, segment: str) -> tuple[int, str, str]:
-        """Of a segment: the number of its ids, their decimals, and the text they decode to (with space marks)."""
+        """Of a segment: the number of its ids, their decimals, and the text that they decode to."""
         known = self.memory.get(segment)
         if known is None:
             known = self.older.get(segment)
             if known is None:
-                pieces = self.tokens(segment)
-                try:
-                    known = len(pieces), " ".join([self.decimal[p] for p in pieces]), segment  # the pieces spell the segment
-                except KeyError:  # byte pieces
-                    ids = self.ids(segment)
-                    known = len(ids), " ".join(map(str, ids)), self.spelled(ids)
+                ids = self.ids(segment)
+                known = len(ids), " ".join([self.decimal[i] for i in ids]), self.spelled(ids)
             if len(segment) <= self.longest:
                 if len(self.memory) >= self.remembered:
                     self.older, self.memory = self.memory, {}
@@ -165,6 +165,8 @@ class Codec:
 
     def spelled(self, ids: list[int]) -> str:
         """The text of ids, the mark of the dummy prefix included, as spaces."""
+        if self.odd.isdisjoint(ids):
+            return "".join([self.spelling[i] for i in ids])
         out: list[str] = []
         raw = bytearray()
         for i in ids:
@@ -177,7 +179,7 @@ class Codec:
             if i == self.unknown:
                 out.append(" ⁇ ")
             elif i not in self.hidden:
-                out.append(self.pieces[i].replace(SPACE, " "))
+                out.append(self.spelling[i])
         if raw:
             out.append(raw.decode("utf-8", "replace"))
         return "".join(out)
@@ -191,7 +193,7 @@ class Codec:
         known = [recent(s) or segment(s) for s in self.cut(text)]
         counts, decimals, spelled = zip(*known) if known else ((), (), ())
         ids = hashlib.sha256(" ".join([*decimals, str(self.end)]).encode())
-        decoded = hashlib.sha256("".join(spelled).replace(SPACE, " ").removeprefix(" ").encode("utf-8", "surrogatepass"))
+        decoded = hashlib.sha256("".join(spelled).removeprefix(" ").encode("utf-8", "surrogatepass"))
         return 1 + sum(counts), ids.hexdigest(), decoded.hexdigest()
 
 

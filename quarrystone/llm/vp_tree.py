@@ -25,7 +25,7 @@ from quarrystone.llm.common import table
 from quarrystone.llm.vectors import TOGETHER, Best, Queries, matrices, searched_by_block
 
 #: Nearest neighbours of a query; the pruning factor (README has recall and share pruned by factor); points of a shard and of a leaf.
-EVERY, K, FACTOR, SHARD, LEAF = 100, 10, 6.0, 16_384, 64
+EVERY, K, FACTOR, SHARD, LEAF = 100, 10, 6.5, 16_384, 64
 #: A gap is taken for smaller by this share of the distances it comes from: more than their rounding, up to millions of components.
 ROUNDING = 1e-9
 
@@ -62,6 +62,11 @@ def grown(x: np.ndarray, points: np.ndarray, rng: np.random.Generator) -> Node:
     return Node(points[:0], vantage, grown(x, points[inner], rng), grown(x, points[~inner], rng), (a.min(), a.max()), (b.min(), b.max()))
 
 
+def planted(x: np.ndarray) -> Node:
+    """The tree of a shard; the same for the same points."""
+    return grown(x, np.arange(len(x)), np.random.default_rng(len(x)))
+
+
 def gaps(d: np.ndarray, span: tuple[float, float]) -> np.ndarray:
     return np.maximum(0, np.maximum(span[0] - d, d - span[1]) - ROUNDING * (d + span[1]))
 
@@ -119,7 +124,7 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = K, factor: float =
         def flush(d: int) -> None:
             parts = held.pop(d)
             ids, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            tree = grown(x, np.arange(len(x)), np.random.default_rng(len(x)))
+            tree = planted(x)
             for q_ids, q, best in tops[d]:
                 searched(tree, x, ids, q, q_ids, best, factor)
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -258,6 +259,23 @@ def test_sentencepiece(spark, corpus):
     assert digests == {(i, len(ids), h(" ".join(map(str, ids))), h(text)) for i, ids, text in got}
 
 
+def test_sentencepiece_decodes_its_ids():
+    """A decoder that spells a piece wrongly shows in the digest; very long texts are whole."""
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp, c = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_bpe.Codec(path)
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    rng = random.Random(6)
+    long = " ".join(rng.choice(["the", "thinge", "漢", "😀", "x\n"]) for _ in range(200_000))
+    for t in ("the end", long, "a" * 300_000):
+        ids = sp.encode(t)
+        assert c.digest(t) == (len(ids) + 1, h(" ".join(map(str, [*ids, 2]))), h(sp.decode(ids)))
+    broken = sentencepiece_bpe.Codec(path)
+    broken.spelling[sp.encode("end")[0]] = " ond"
+    assert broken.digest("the end")[:2] == c.digest("the end")[:2] and broken.digest("the end")[2] == h("the ond") != c.digest("the end")[2]
+
+
 def test_toxicity_by_held_out_labels(spark):
     """An insult is toxic only next to a group: single weights cannot tell, pairs can."""
     rng = random.Random(5)
@@ -359,19 +377,43 @@ def test_vp_tree_recall(spark):
     got = vp_tree.op1_vp_tree(spark, folder).collect()
     assert len(got) == 10 * len(asks)
     assert sum(r.score <= limit[r.query_id] for r in got) / len(got) >= 0.9
+    # 2000 points spread evenly over a sphere of 64 dimensions: next to nothing can be spared
+    assert computed(x, ids, asks)[0] < 0.98
+
+
+def computed(x, ids, asks):
+    """Share of all distances that the shipped factor computes in the tree that the query grows, and the recall."""
     seen, plain = [0], vp_tree.distances
 
     def counting(a, b):
         seen[0] += len(a) * len(b)
         return plain(a, b)
 
-    tree, best = vp_tree.grown(x, np.arange(len(x)), np.random.default_rng(1)), vp_tree.Best(len(asks), 10)
+    tree, best = vp_tree.planted(x), vp_tree.Best(len(asks), 10)
     vp_tree.distances = counting
     try:
         vp_tree.searched(tree, x, ids, x[asks], ids[asks], best, vp_tree.FACTOR)
     finally:
         vp_tree.distances = plain
-    assert seen[0] < 0.97 * len(asks) * len(x)
+    d = plain(x[asks], x)
+    d[np.arange(len(asks)), asks] = np.inf
+    return seen[0] / (len(asks) * len(x)), float((best.cost <= np.sort(d, 1)[best.query, 9]).mean())
+
+
+def test_vp_tree_prunes():
+    """Points in groups, as embeddings are: most of the tree is spared; and the larger test table, where a shard is ten thousand points."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 64))[rng.integers(0, 60, 6000)] + 0.15 * rng.normal(size=(6000, 64))
+    share, recall = computed(x, np.arange(len(x)), np.arange(0, len(x), 100))
+    assert share < 0.3 and recall >= 0.95
+    folder = Path("/root/testdata/check_s/embeddings.parquet")
+    if folder.exists():
+        import pyarrow.dataset
+
+        t = pyarrow.dataset.dataset(folder).to_table(columns=["vec_id", "embedding"])
+        x, ids = np.asarray(t.column("embedding").to_pylist(), float), t.column("vec_id").to_numpy()
+        share, recall = computed(x, ids, np.flatnonzero(ids % 100 == 0)[:60])
+        assert share < 0.85 and recall >= 0.9
 
 
 def test_vp_tree_factor_one_survives_rounding():
