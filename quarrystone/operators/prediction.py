@@ -5,6 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrystone.operators.stats import auc, quantiles
+
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, order: list[str], buckets: int = 32) -> DataFrame:
+    """Every row of left with the last row of right of its key at or before its time, by time and ``order``; nulls where there is none.
+
+    Both sides are one sorted run, in which each question takes the last row that came before it. The run of a key is cut at times that part the rows
+    evenly, and every part begins with what the parts before it ended with; so a key with many rows is as many tasks, and no pair of rows is made.
+    Null keys and times meet nothing.
+    """
+    extra = [c for c in right.columns if c != key]
+    offered = right.select(F.col(key).alias("__key"), F.col(right_at).alias("__t"), F.struct(*order).alias("__order"), F.struct(*extra).alias("__right")).where("__key is not null and __t is not null")
+    asked = left.select(F.col(key).alias("__key"), F.col(at).alias("__t"), F.struct(*left.columns).alias("__left"))
+    both = offered.withColumn("__left", F.lit(None).cast(asked.schema["__left"].dataType)).unionByName(asked, allowMissingColumns=True)
+    number = F.unix_micros(F.col("__t").cast("timestamp")) if right.schema[right_at].dataType.typeName() in {"date", "timestamp", "timestamp_ntz"} else F.col("__t")
+    cuts = both.agg(F.array_distinct(F.percentile_approx(number, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(100 * buckets))).alias("__cuts"))
+    dealt = both.crossJoin(F.broadcast(cuts)).withColumn("__part", F.coalesce(F.size(F.filter("__cuts", lambda c: c < number)), F.lit(0))).drop("__cuts")
+    # what each part of a key hands on: at most as many rows a key as there are parts
+    last = dealt.where("__right is not null").groupBy("__key", "__part").agg(F.max_by("__right", F.struct("__t", "__order")).alias("__right"))
+    parts = dealt.select("__key", "__part").where("__key is not null").distinct().join(last, ["__key", "__part"], "left")
+    before = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    handed = parts.select("__key", "__part", F.last("__right", ignorenulls=True).over(before).alias("__right")).where("__right is not null")
+    whole = dealt.withColumn("__first", F.lit(1)).unionByName(handed.withColumn("__first", F.lit(0)), allowMissingColumns=True)
+    run = Window.partitionBy("__key", "__part").orderBy("__first", "__t", F.col("__left").isNotNull(), "__order").rowsBetween(Window.unboundedPreceding, 0)
+    asks = F.col("__left").isNotNull() & F.col("__key").isNotNull() & F.col("__t").isNotNull()
+    met = whole.withColumn("__met", F.when(asks, F.last("__right", ignorenulls=True).over(run))).where("__left is not null")
+    return met.select(*(F.col(f"__left.{c}").alias(c) for c in left.columns), *(F.col(f"__met.{c}").alias(c) for c in extra))
+
 
 def exit_labels(df: DataFrame, days: str, event: str, window: int = 1095) -> DataFrame:
     """df with ``label``: 1 for an exit within the window, 0 for a life seen beyond it. Lives lost from sight within it have no label and go,
@@ -29,6 +56,27 @@ def by_year(df: DataFrame, year: str, train: tuple[int, int], test: int) -> Data
     return df.withColumn("part", part).where("part is not null")
 
 
+def exit_frame(lives: DataFrame, accounts: DataFrame, entity: str, born: str, days: str, event: str, made_up: str, order: list[str], columns: dict[str, str], train: tuple[int, int], test: int, window: int = 1095) -> DataFrame:
+    """What is known of each life when its window opens, and whether it exits within it: lives with acc_year, label, the four features, and part.
+
+    The features are those of the entity's last accounts at or before ``born`` (never later ones), whose columns for equity, cash, current, creditors and staff
+    ``columns`` names. Lives without accounts, label or a feature go, and so do those of other years.
+    """
+    met = as_of(lives, accounts, entity, born, made_up, order).where(F.col(made_up).isNotNull()).withColumn("acc_year", F.year(made_up))
+    framed = exit_features(exit_labels(met, days, event, window), *(columns[c] for c in ("equity", "cash", "current", "creditors", "staff")))
+    return by_year(framed, "acc_year", train, test)
+
+
+def deciles(df: DataFrame, score: str, label: str) -> DataFrame:
+    """part (auc or decile), decile, n, value: the area under the curve by midranks, and the share of label 1 in each tenth of the scores; tenths that share an edge are one."""
+    rows = df.select(F.col(score).alias("score"), F.col(label).alias("y"))
+    a = auc(rows, "score", "y").select(F.lit("auc").alias("part"), F.lit(0).alias("decile"), (F.col("n1") + F.col("n0")).alias("n"), F.col("auc").alias("value"))
+    names = [f"d{i}" for i in range(1, 10)]
+    edges = quantiles(rows, [], "score", {c: i / 10 for i, c in enumerate(names, 1)}).select(F.array_distinct(F.array(*names)).alias("edges"))  # one row
+    dealt = rows.crossJoin(F.broadcast(edges)).select("y", (1 + F.size(F.filter("edges", lambda e: e < F.col("score")))).alias("decile"))
+    return a.unionByName(dealt.groupBy("decile").agg(F.lit("decile").alias("part"), F.count("*").alias("n"), F.avg("y").alias("value")))
+
+
 def reached(curve: DataFrame, asked: DataFrame, groups: list[str], time: str) -> DataFrame:
     """asked with ``survival`` at its time: of the curve's last time up to it, 1 before the first.
 

@@ -91,10 +91,8 @@ def sum_before(df: DataFrame, value: str, amount: str, name: str, buckets: int =
     the total of those below it.
     """
     cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
-    bucket = F.lit(0)
-    for cut in sorted(set(cuts)):
-        bucket = bucket + (F.col(value) > cut).cast("int")
-    dealt = df.withColumn("__bucket", bucket)
+    edges = F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>")
+    dealt = df.withColumn("__bucket", F.size(F.filter(edges, lambda cut: cut < F.col(value))))
     totals = dealt.groupBy("__bucket").agg(F.sum(amount).alias("__total"))
     below = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``buckets`` rows
     totals = totals.select("__bucket", F.coalesce(F.sum("__total").over(below), F.lit(0)).alias("__below"))

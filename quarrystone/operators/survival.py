@@ -6,8 +6,8 @@ of distinct durations, not by the number of rows, and a group with a third of al
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,53 +94,112 @@ def cif_at(curve: DataFrame, groups: list[str], horizon: int, causes: int = 2) -
     return curve.groupBy(*groups).agg(*(F.coalesce(F.max_by(f"cif_{k}", reached), F.lit(0.0)).alias(f"cif_{k}") for k in range(1, causes + 1)))
 
 
-def bootstrap_cif_difference(df: DataFrame, arm: str, horizon: int, replicates: int = 400, seed: int = 12345, causes: int = 2) -> DataFrame:
-    """Percentile interval of the difference of cause-1 incidence at a horizon between two arms.
+def cells_of(df: DataFrame, keys: list[str], horizon: int, causes: int) -> DataFrame:
+    """keys, time, kind (1: the first cause, 2: another one, 0: neither) and count; times beyond the horizon are one, as nothing later matters up to it."""
+    kind = F.when(F.col("cause") == 1, 1).when(F.col("cause").between(2, causes), 2).otherwise(0)
+    rows = df.where(F.col("duration").isNotNull()).select(*keys, F.least(F.col("duration").cast("double"), F.lit(horizon + 1.0)).alias("time"), kind.alias("kind"))
+    return rows.groupBy(*keys, "time", F.when(F.col("time") <= horizon, F.col("kind")).otherwise(0).alias("kind")).count()
+
+
+def incidences(leaving: np.ndarray, ended: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Incidence of the first cause at the end of the times, for each row of counts by rising time."""
+    risk = np.maximum(leaving[:, ::-1].cumsum(1)[:, ::-1], 1)
+    survived = np.cumprod(1 - ended / risk, 1)
+    before = np.concatenate([np.ones((len(leaving), 1)), survived[:, :-1]], 1)
+    return (before * first / risk).sum(1)
 
-    Rows of one (arm, time, cause) are alike, so a replicate draws counts, not rows: the table of counts is small at any size and
-    goes to each task once; replicates are spread over the cluster.
+
+def bootstrap_cif_difference(df: DataFrame, arm: str, horizon: int, replicates: int = 400, seed: int = 12345, causes: int = 2, together: int = 50) -> DataFrame:
+    """first, second, difference, low, high, replicates of every pair of arms: percentile interval of the difference of cause-1 incidence at a horizon.
+
+    Rows of one (arm, time, kind) are alike, so a replicate draws the counts of an arm's cells at once, by conditional binomials; cells are as many as the days up to the horizon,
+    whatever the number of rows. Arms and blocks of replicates are tasks, and a block's numbers come from (seed, arm, block) alone.
+    """
+    blocks = -(-replicates // together)
+    cells = cells_of(df.where(F.col(arm).isNotNull()), [arm], horizon, causes).withColumnRenamed(arm, "arm").withColumn("arm", F.col("arm").cast("string"))
+    spread = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks))))  # block 0 is the rows as they are
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        name, block = pdf["arm"].iloc[0], int(pdf["block"].iloc[0])
+        pdf = pdf.sort_values(["time", "kind"])
+        times, at = np.unique(pdf["time"], return_inverse=True)
+        count, kind = pdf["count"].to_numpy(np.int64), pdf["kind"].to_numpy()
+        if block:
+            rng = np.random.default_rng([seed, block, *name.encode()])
+            drawn = rng.multinomial(count.sum(), count / count.sum(), min(together, replicates - (block - 1) * together))
+        else:
+            drawn = count[None]
+        by_time = np.zeros((3, len(drawn), len(times)))
+        for row, cells in zip(by_time, (kind >= 0, kind > 0, kind == 1)):
+            for c in np.flatnonzero(cells):
+                row[:, at[c]] += drawn[:, c]
+        return pd.DataFrame({"arm": name, "replicate": (block - 1) * together + np.arange(1, len(drawn) + 1) if block else 0, "cif": incidences(*by_time)})
+
+    each = spread.groupBy("arm", "block").applyInPandas(run, "arm string, replicate long, cif double")  # a row for each arm and replicate
+    a, b = (each.select(F.col("arm").alias(name), "replicate", F.col("cif").alias(f"cif_{name}")) for name in ("first", "second"))
+    pairs = a.join(b, "replicate").where("first < second").withColumn("difference", F.col("cif_first") - F.col("cif_second"))
+    drawn = F.when(F.col("replicate") > 0, F.col("difference"))
+    return pairs.groupBy("first", "second").agg(
+        F.max(F.when(F.col("replicate") == 0, F.col("difference"))).alias("difference"), F.percentile(drawn, F.lit(0.025)).alias("low"), F.percentile(drawn, F.lit(0.975)).alias("high"), F.count(drawn).alias("replicates")
+    )
+
+
+def draws_of(bucket: int, ends: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """How many of each replicate's draws fall to a bucket, ends being the clusters up to the end of each bucket, all clusters drawn as often as there are.
+
+    The buckets are halved again and again; a half's share of its whole is binomial, and its numbers come from (seed, half) alone, so every task finds the same.
+    """
+    low, high = 0, len(ends)
+    drawn = np.full(replicates, int(ends[-1]), np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        start = int(ends[low - 1]) if low else 0
+        share = (int(ends[middle - 1]) - start) / (int(ends[high - 1]) - start)
+        left = np.random.default_rng([seed, 1, low, high]).binomial(drawn, share)
+        if bucket < middle:
+            drawn, high = left, middle
+        else:
+            drawn, low = drawn - left, middle
+    return drawn
+
+
+def cluster_bootstrap(df: DataFrame, cluster: str, horizon: int, replicates: int = 300, seed: int = 7, causes: int = 2, together: int = 2048) -> DataFrame:
+    """mean, low, high, replicates of cause-1 incidence at a horizon when whole clusters are drawn with replacement, as many as there are.
+
+    Clusters are dealt by hash to buckets of about ``together``. A bucket's task learns how many draws of each replicate are its own, draws them over its clusters,
+    and adds the clusters' counts by time up as vectors over the replicates: no row is written once a replicate. The vectors of a time are added over the buckets, and
+    what is left, times by replicates, is one small table. A null cluster is one of its own.
     """
-    import numpy as np
-
-    spark = df.sparkSession
-    counts = df.where(F.col("duration").isNotNull()).groupBy(F.col(arm).cast("string").alias("arm"), "duration", "cause").count().orderBy("arm", "duration", "cause").toPandas()
-    arms = sorted(counts["arm"].unique())
-    cells = [counts[counts["arm"] == a][["duration", "cause", "count"]].to_numpy(float) for a in arms]
-
-    def incidence(c: np.ndarray, n: np.ndarray) -> float:
-        times, at = np.unique(c[:, 0], return_inverse=True)
-        leaving, ended, first = (np.bincount(at, n * w, len(times)) for w in (1, (c[:, 1] > 0) & (c[:, 1] <= causes), c[:, 1] == 1))
-        risk = np.maximum(leaving[::-1].cumsum()[::-1], 1)
-        s = np.concatenate([[1.0], np.cumprod(1 - ended / risk)[:-1]])
-        return float((s * first / risk)[times <= horizon].sum())
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for i in pdf["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                a, b = (incidence(c, rng.multinomial(int(c[:, 2].sum()), c[:, 2] / c[:, 2].sum())) for c in cells[:2])
-                out.append(a - b)
-            yield pdf.assign(difference=out)[["difference"]]
-
-    point = incidence(cells[0], cells[0][:, 2]) - incidence(cells[1], cells[1][:, 2])
-    drawn = spark.range(replicates).mapInPandas(run, "difference double")
-    return drawn.agg(F.lit(point).alias("difference"), F.percentile("difference", F.lit(0.025)).alias("low"), F.percentile("difference", F.lit(0.975)).alias("high"), F.count("*").alias("replicates"))
-
-
-def cluster_bootstrap(df: DataFrame, cluster: str, horizon: int, replicates: int = 300, seed: int = 7, causes: int = 2) -> DataFrame:
-    """Interval of cause-1 incidence when whole clusters are drawn: Poisson(1) weights by cluster and replicate, which need no driver
-    and no second copy of the rows; each replicate is one group of the incidence windows."""
-    weight = F.hash(F.col(cluster), F.col("replicate"), F.lit(seed))
-    u = (F.pmod(weight.cast("long"), F.lit(1_000_003)) + 0.5) / 1_000_003
-    edges = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
-    drawn = sum(((u > e).cast("int") for e in edges), F.lit(0))
-    cells = df.groupBy(cluster, "duration", "cause").count()
-    cells = cells.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", F.col("count") * drawn).where("w > 0")
-    counts = cells.groupBy("replicate", "duration").agg(F.sum("w").alias("leaving"), F.sum(F.when(F.col("cause").between(1, causes), F.col("w")).otherwise(0)).alias("ended"), F.sum(F.when(F.col("cause") == 1, F.col("w")).otherwise(0)).alias("first"))
-    back = Window.partitionBy("replicate").orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    order = Window.partitionBy("replicate").orderBy("duration")
-    steps = counts.withColumn("n", F.sum("leaving").over(back)).withColumn("s", F.product(1 - F.col("ended") / F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    steps = steps.withColumn("before", F.lag("s", 1, 1.0).over(order))
-    each = steps.where(F.col("duration") <= horizon).groupBy("replicate").agg(F.sum(F.col("before") * F.col("first") / F.col("n")).alias("cif"))
+    cells = cells_of(df, [cluster], horizon, causes).withColumnRenamed(cluster, "cluster").withColumn("cluster", F.col("cluster").cast("string"))
+    clusters = cells.select("cluster").distinct().count()
+    if not clusters:
+        return df.sparkSession.createDataFrame([(None, None, None, 0)], "mean double, low double, high double, replicates long")
+    buckets = -(-clusters // together)
+    dealt = cells.withColumn("bucket", F.pmod(F.xxhash64("cluster"), F.lit(buckets)).cast("int"))
+    sizes = np.zeros(buckets, np.int64)
+    for bucket, n in dealt.select("bucket", "cluster").distinct().groupBy("bucket").count().collect():  # a number for each bucket
+        sizes[bucket] = n
+    ends = sizes.cumsum()
+    schema = "time double, leaving array<long>, ended array<long>, first array<long>"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(pdf["bucket"].iloc[0])
+        names, of = np.unique(pdf["cluster"].fillna("").to_numpy() + np.where(pdf["cluster"].isna(), "\0", ""), return_inverse=True)  # in one order whatever the rows'
+        drawn = draws_of(bucket, ends, replicates, seed)
+        weights = np.random.default_rng([seed, 2, bucket]).multinomial(drawn, np.full(len(names), 1 / len(names)))  # replicates x clusters
+        out = []
+        for time, rows in pdf.assign(of=of).groupby("time"):
+            of, n, kind = rows["of"].to_numpy(), rows["count"].to_numpy(np.int64), rows["kind"].to_numpy()
+            out.append((time, *((weights[:, of[some]] @ n[some]).tolist() for some in (kind >= 0, kind > 0, kind == 1))))
+        return pd.DataFrame(out, columns=["time", "leaving", "ended", "first"])
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(pdf["time"].iloc[0], *(np.stack(pdf[c]).sum(0).tolist() for c in ("leaving", "ended", "first")))], columns=["time", "leaving", "ended", "first"])
+
+    def curve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("time")
+        return pd.DataFrame({"cif": incidences(*(np.stack(pdf[c]).T.astype(float) for c in ("leaving", "ended", "first")))})
+
+    vectors = dealt.groupBy("bucket").applyInPandas(run, schema).groupBy("time").applyInPandas(summed, schema)
+    each = vectors.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(curve, "cif double")  # a row for each time up to the horizon
     return each.agg(F.avg("cif").alias("mean"), F.percentile("cif", F.lit(0.025)).alias("low"), F.percentile("cif", F.lit(0.975)).alias("high"), F.count("*").alias("replicates"))

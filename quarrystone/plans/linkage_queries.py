@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions import classify, normalise
-from quarrystone.operators import linkage, stats
+from quarrystone.operators import linkage, logit, prediction
 from quarrystone.plans.base import query, r6
 from quarrystone.session import table
 from quarrystone.sources.markup import facts
@@ -172,19 +172,65 @@ def q56(s, d):
 )
 def q57(s, d):
     x = table(s, d, "documents").select("doc_id", C("n_chars").alias("score")).join(table(s, d, "labels").select("doc_id", C("toxic").alias("y")), "doc_id")
-    a = stats.auc(x, "score", "y").select(F.lit("auc").alias("part"), F.lit(0).alias("decile"), (C("n1") + C("n0")).alias("n"), r6("auc").alias("value"))
-    names = [f"d{i}" for i in range(1, 10)]
-    edges = stats.quantiles(x, [], "score", {c: i / 10 for i, c in enumerate(names, 1)}).select(F.array_distinct(F.array(*names)).alias("edges"))  # one row
-    dec = x.crossJoin(F.broadcast(edges)).select("y", (1 + F.size(F.filter("edges", lambda e: e < C("score")))).alias("decile"))
-    return a.unionByName(dec.groupBy("decile").agg(F.lit("decile").alias("part"), F.count("*").alias("n"), r6(F.avg("y")).alias("value")))
+    return prediction.deciles(x, "score", "y").withColumn("value", r6("value"))
 
 
 @query("Q57r_ridge_logit")
 def q57r(s, d):
-    """Ridge logit of the label on two features; the solver runs over the cluster, the result is three numbers."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+    """Ridge logit of the label on two features: a step is one aggregate, the result is three terms."""
+    x = table(s, d, "documents").join(table(s, d, "labels"), "doc_id").select("toxic", F.log1p("n_chars").alias("size"), (C("lang") == "en").cast("double").alias("english"))
+    return logit.irls(x, ["size", "english"], "toxic")
+
+
+#: Stand-ins for accounts: what a customer was shipped on a day.
+ACCOUNTS_SQL = """accounts as (select o_custkey, cast(l_shipdate as date) as made_up, sum(l_extendedprice) - 40000 as equity, sum(l_extendedprice * l_discount) as cash, sum(l_extendedprice * 0.05) as current,
+  sum(l_extendedprice * l_tax) as creditors, sum(l_quantity) as staff from lineitem join orders on l_orderkey = o_orderkey group by all),
+ lives as (select o_orderkey, o_custkey, cast(o_orderdate as date) as born, lead(cast(o_orderdate as date)) over (partition by o_custkey order by o_orderdate, o_orderkey) as died from orders),
+ seen as (select *, date_diff('day', born, coalesce(died, date '2001-08-01')) as days, died is not null as event from lives),
+ met as (select s.*, a.made_up, equity, cash, current, creditors, staff from seen s asof join accounts a on s.o_custkey = a.o_custkey and s.born >= a.made_up),
+ frame as (select o_orderkey, cast(year(made_up) as int) as acc_year, case when event and days <= 120 then 1 else 0 end as label, case when equity < 0 then 1.0 else 0.0 end::double as negative_equity, case when current > 0 then cash / current end as cash_share,
+  case when current < creditors then 1.0 else 0.0 end::double as negative_capital, ln(1 + greatest(0, least(staff, 100))) as log_staff, case when year(made_up) between 1996 and 1998 then 'train' when year(made_up) = 1999 then 'test' end as part
+  from met where days >= 0 and (event and days <= 120 or days > 120))"""
+#: A fixed score of the frame, for the query whose SQL has no fit.
+SCORE = {"negative_equity": 0.8, "cash_share": -0.5, "negative_capital": 0.4, "log_staff": 0.3}
+
+
+def exit_frame(s, d):
+    """Orders as lives that end with the customer's next order; accounts are what the customer was shipped on a day."""
+    orders = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.to_date("o_orderdate").alias("born"))
+    p = C("l_extendedprice")
+    shipped = table(s, d, "lineitem").join(orders.select("o_orderkey", "o_custkey"), C("l_orderkey") == C("o_orderkey")).groupBy("o_custkey", F.to_date("l_shipdate").alias("made_up"))
+    accounts = shipped.agg(
+        (F.sum(p) - 40000).alias("equity"), F.sum(p * C("l_discount")).alias("cash"), F.sum(p * 0.05).alias("current"), F.sum(p * C("l_tax")).alias("creditors"), F.sum("l_quantity").alias("staff")
+    )
+    died = F.lead("born").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    lives = orders.withColumn("died", died).select("o_orderkey", "o_custkey", "born", F.datediff(F.coalesce("died", F.to_date(F.lit("2001-08-01"))), C("born")).alias("days"), C("died").isNotNull().alias("event"))
+    columns = {c: c for c in ("equity", "cash", "current", "creditors", "staff")}
+    return prediction.exit_frame(lives, accounts, "o_custkey", "born", "days", "event", "made_up", ["made_up"], columns, (1996, 1998), 1999, 120)
+
+
+@query("Q83_exit_frame", f"with {ACCOUNTS_SQL} select o_orderkey, acc_year, label, negative_equity, round(cash_share, 6) as cash_share, negative_capital, round(log_staff, 6) as log_staff, part from frame where part is not null and cash_share is not null")
+def q83(s, d):
+    return exit_frame(s, d).select("o_orderkey", "acc_year", "label", "negative_equity", r6("cash_share").alias("cash_share"), "negative_capital", r6("log_staff").alias("log_staff"), "part")
 
-    x = table(s, d, "documents").join(table(s, d, "labels"), "doc_id").select(C("toxic").cast("double").alias("label"), F.log1p("n_chars").alias("size"), (C("lang") == "en").cast("double").alias("english"))
-    fit = LogisticRegression(regParam=1e-8, maxIter=30, standardization=False).fit(VectorAssembler(inputCols=["size", "english"], outputCol="features").transform(x))
-    return s.createDataFrame([("size", float(fit.coefficients[0])), ("english", float(fit.coefficients[1])), ("intercept", float(fit.intercept))], "term string, coefficient double")
+
+@query(
+    "Q83b_exit_deciles",
+    f"""with {ACCOUNTS_SQL}, x as (select round({' + '.join(f"{w} * {c}" for c, w in SCORE.items())}, 9) as score, label as y from frame where part = 'test' and cash_share is not null),
+ r as (select score, count(*) as ties, sum(y) as ones from x group by 1), m as (select *, coalesce(sum(ties) over (order by score rows between unbounded preceding and 1 preceding), 0) + (ties + 1) / 2 as mid from r),
+ a as (select sum(ones) as n1, sum(ties) - sum(ones) as n0, sum(ones * mid) as r from m), q as (select quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as edges from x), e as (select distinct unnest(edges) as edge from q)
+ select 'auc' as part, 0 as decile, cast(n1 + n0 as bigint) as n, round((r - n1 * (n1 + 1) / 2) / (n1 * n0), 6) as value from a
+ union all select 'decile', cast(dec as int), count(*), round(avg(y), 6) from (select y, 1 + (select count(*) from e where edge < score) as dec from x) group by dec""",
+)
+def q83b(s, d):
+    score = sum((F.lit(w) * C(c) for c, w in SCORE.items()), F.lit(0.0))
+    return prediction.deciles(exit_frame(s, d).where("part = 'test'").withColumn("score", F.round(score, 9)), "score", "label").withColumn("value", r6("value"))
+
+
+@query("Q83r_exit_prediction")
+def q83r(s, d):
+    """Fitted on the training years, scored on the test year: terms, area under the curve and tenths."""
+    frame = exit_frame(s, d).select("label", "part", *SCORE).persist()
+    fit = logit.irls(frame.where("part = 'train'"), list(SCORE), "label")
+    tested = prediction.deciles(logit.predicted(frame.where("part = 'test'"), fit), "score", "label")
+    return fit.select(C("term").alias("part"), F.lit(None).cast("int").alias("decile"), F.lit(None).cast("long").alias("n"), C("coefficient").alias("value")).unionByName(tested)

@@ -121,7 +121,7 @@ def q46r(s, d):
 @query("Q47r_bootstrap_cif")
 def q47(s, d):
     rows = life(s, d)
-    a = survival.bootstrap_cif_difference(rows, "format", 1095).withColumn("method", F.lit("rows"))
+    a = survival.bootstrap_cif_difference(rows, "format", 1095).drop("first", "second").withColumn("method", F.lit("rows"))
     b = survival.cluster_bootstrap(rows, "l_suppkey", 1095).withColumnRenamed("mean", "difference").withColumn("method", F.lit("clusters"))
     return a.unionByName(b)
 
