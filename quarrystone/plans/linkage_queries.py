@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarrystone.functions import classify, normalise
+from quarrystone.functions import candidates, classify, normalise
 from quarrystone.operators import linkage, logit, prediction
 from quarrystone.plans.base import query, r6
 from quarrystone.session import table
@@ -20,6 +20,44 @@ def q05b(s, d):
     return facts(table(s, d, "pages"), "page_id", "html")
 
 
+#: The rules of a parser in two expressions: what stands in scripts, styles and comments is no markup, and the title's entities that occur are put back.
+@query(
+    "Q05c_titles_links",
+    r"""with p as (select page_id, regexp_replace(coalesce(html, ''), '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g') as h from pages)
+ select page_id, trim(replace(replace(replace(replace(regexp_extract(h, '(?is)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) as title, len(regexp_extract_all(h, '(?i)<a\s+href="[^"]')) as links, 0 as facts_seen from p""",
+)
+def q05c(s, d):
+    return facts(table(s, d, "pages"), "page_id", "html").select("page_id", "title", "links", "facts_seen")
+
+
+#: Words that the documents have in place of top lines and taxes.
+WORDS, TERMS = r"\b(?:token|licen[cs]e[sd]?)\b", ["licen[cs]e", r"\btoken\b", r"\d{13,16}"]
+FLAT_SQL = r"docs as (select doc_id, regexp_replace(coalesce(text, ''), '[ \t]+', ' ', 'g') as flat from documents)"
+
+
+@query(
+    "Q84_figure_lines",
+    rf"""with {FLAT_SQL}, l as (select doc_id, list_filter(list_transform(regexp_split_to_array(flat, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: trim(x)), lambda x: x <> '') as lines from docs),
+ n as (select doc_id, lines, unnest(range(1, len(lines) + 1)) as n from l), h as (select *, row_number() over (partition by doc_id order by n) as k from n where regexp_matches(lines[n], '(?i){WORDS}') and regexp_matches(lines[n], '-?[\d,]{{3,}}(?:\.\d)?'))
+ select doc_id, cast(n as int) as n, substr(lines[n], 1, 200) as line, case when n > 1 then substr(lines[n - 1], 1, 200) end as before, substr(lines[n + 1], 1, 200) as after from h where k <= 40""",
+)
+def q84(s, d):
+    return candidates.figure_lines(table(s, d, "documents"), "doc_id", "text", WORDS)
+
+
+@query(
+    "Q84b_snippets",
+    rf"""with {FLAT_SQL}, t as (select unnest(range(1, {len(TERMS) + 1})) as o, unnest(['{"', '".join(TERMS)}']) as term),
+ f as (select doc_id, flat, o, term, regexp_split_to_array(flat, '(?i)' || term) as parts, regexp_extract_all(flat, '(?i)' || term) as found from docs cross join t),
+ m as (select doc_id, flat, o, term, parts, found, unnest(range(1, len(found) + 1)) as i from f),
+ a as (select *, coalesce(list_sum(list_transform(parts[1 : i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(found[1 : i - 1], lambda x: length(x))), 0) as place from m),
+ r as (select *, row_number() over (partition by doc_id order by o, i) as n from a)
+ select doc_id, cast(n as int) as n, term, cast(place as int) as place, trim(regexp_replace(substr(flat, cast(greatest(0, place - 110) as bigint) + 1, cast(place + 220 - greatest(0, place - 110) as bigint)), '\s+', ' ', 'g')) as snippet from r where n <= 40""",
+)
+def q84b(s, d):
+    return candidates.snippets(table(s, d, "documents"), "doc_id", "text", TERMS)
+
+
 PC_SQL = "regexp_replace(upper('n' || (page_id % 20) || ' ' || (page_id % 10) || 'ab'), '[^A-Z0-9]', '', 'g')"
 PLAIN_SQL = "trim(regexp_replace(regexp_replace(upper({x}), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 

@@ -3,98 +3,169 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Facts by tag name: aliases map to a field, and a weak alias never displaces a strong one.
-FIELDS = {"equity": ("equity", True), "netassets": ("net_assets", True), "netassetsliabilities": ("net_assets", True), "shareholderfunds": ("net_assets", False), "cash": ("cash", True), "cashbankonhand": ("cash", True), "employees": ("employees", True), "turnover": ("turnover", True)}
+#: The names that tags give a figure, by its field. Names are told apart by case.
+NAMES = {
+    "net_assets": ["NetAssetsLiabilities", "NetAssetsLiabilitiesIncludingPensionAssetLiability", "NetCurrentAssetsLiabilities"],
+    "equity": ["Equity", "ShareholderFunds", "CapitalAndReserves", "TotalShareholdersFunds"],
+    "creditors_within_one_year": ["CreditorsDueWithinOneYear", "Creditors", "CreditorsAmountsFallingDueWithinOneYear"],
+    "creditors_after_one_year": ["CreditorsDueAfterOneYear", "CreditorsAmountsFallingDueAfterMoreThanOneYear"],
+    "debtors": ["Debtors", "DebtorsDueWithinOneYear", "TradeDebtorsTradeReceivables"],
+    "share_capital": ["CalledUpShareCapital", "IssuedShareCapital", "CalledUpShareCapitalPaid", "EquityShareCapital"],
+    "cash": ["CashBankOnHand", "CashBankInHand", "CashCashEquivalents"],
+    "fixed_assets": ["FixedAssets", "TangibleFixedAssets"],
+    "current_assets": ["CurrentAssets", "TotalCurrentAssets"],
+    "employees": ["AverageNumberEmployeesDuringPeriod", "NumberOfEmployeesIncludingDirectorsDuringPeriod", "AverageNumberOfEmployeesDuringThePeriod"],
+    "turnover": ["TurnoverRevenue", "Turnover", "Revenue"],
+}
+#: Fixed value: working capital, which stands in for net assets only where nothing else does.
+WEAK = "NetCurrentAssetsLiabilities"
+FIELD_OF = {name: field for field, names in NAMES.items() for name in names}
+DAY = re.compile(r"\d{4}-\d\d-\d\d")
+#: Elements that have no end tag.
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 def number(text: str, scale: str | None, sign: str | None) -> float | None:
-    """'(1,234)' with scale 3 to -1234000.0; None if there is no number."""
-    raw = re.sub(r"[\s,£$€]", "", text)
-    negative = sign == "-" or raw.startswith("(") and raw.endswith(")") or raw.startswith("-")
-    raw = raw.strip("()-")
-    if raw in {"", "—", "–"} or not re.fullmatch(r"\d*\.?\d+", raw):
+    """'(1,234)' with scale 3 to -1234000.0; None if what is left of digits, points and dashes is no number."""
+    raw = re.sub(r"[^\d.-]", "", text)
+    try:
+        value = float(raw)
+    except ValueError:
         return None
-    value = float(raw) * 10 ** int(scale or 0)
-    return -value if negative else value
+    if scale and re.fullmatch(r"\s*[+-]?\d{1,2}\s*", scale):
+        value *= 10.0 ** int(scale)
+    bracketed = value > 0 and "(" in text and ")" in text
+    return -value if sign == "-" or bracketed else value
 
 
 class Facts(HTMLParser):
-    """Contexts' last dates and numeric facts, in document order; on ordinary pages, title and links."""
+    """Contexts' last dates and numeric facts, in the order in which they open; on ordinary pages, title and links.
+
+    Elements that were left open end with the element around them, or with the document.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.dates: dict[str, str] = {}
         self.found: list[dict] = []
-        self.open: list[tuple[str, dict, list[str]]] = []
-        self.context = None
+        self.open: list[tuple[str, dict, list[str]]] = []  # every open element; text is kept for those that need it
+        self.names: Counter[str] = Counter()
+        self.wanted: list[list[str]] = []
         self.links = 0
         self.title: list[str] = []
 
     def handle_starttag(self, tag, attrs):
         a = {k.lower(): v or "" for k, v in attrs}
         local = tag.split(":")[-1]
-        if local == "context":
-            self.context = a.get("id")
-        elif local == "a" and a.get("href"):
+        if local == "a" and a.get("href"):
             self.links += 1
-        if local in {"nonfraction", "instant", "enddate", "startdate", "title"}:
-            self.open.append((local, a, []))
+        if local in VOID:
+            return
+        text: list[str] = []
+        if local == "nonfraction":
+            self.found.append({"name": a.get("name", "").split(":")[-1].split("}")[-1], "context": a.get("contextref", ""), "value": None})
+            a["at"] = len(self.found) - 1
+        if local in {"nonfraction", "context", "title"}:
+            self.wanted.append(text)
+        self.open.append((local, a, text))
+        self.names[local] += 1
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
 
     def handle_data(self, data):
-        if self.open:
-            self.open[-1][2].append(data)
+        for text in self.wanted:
+            text.append(data)
 
     def handle_endtag(self, tag):
         local = tag.split(":")[-1]
-        if local == "context":
-            self.context = None
-        if not self.open or self.open[-1][0] != local:
-            return
-        _, a, text = self.open.pop()
-        joined = "".join(text).strip()
-        if local == "title":
-            self.title.append(joined)
-        elif local == "nonfraction":
-            self.found.append({"name": a.get("name", "").split(":")[-1].lower(), "context": a.get("contextref"), "value": number(joined, a.get("scale"), a.get("sign"))})
-        elif self.context and re.match(r"\d{4}-\d\d-\d\d", joined):
-            self.dates[self.context] = max(self.dates.get(self.context, ""), joined[:10])
-
-
-def chosen(parser: Facts) -> dict[str, tuple[float, str, bool]]:
-    """field: (value, date, strong). A later date wins, at one date the later fact; undated never displaces dated, weak never strong,
-    and a strong one displaces a weak one of any date."""
-    out: dict[str, tuple[float, str, bool]] = {}
+        if self.names[local]:
+            while self.ended() != local:
+                pass
+
+    def ended(self) -> str:
+        local, a, text = self.open.pop()
+        if local == "nonfraction":
+            self.found[a["at"]]["value"] = number("".join(text), a.get("scale"), a.get("sign"))
+        elif local == "context" and a.get("id") and (days := DAY.findall(" ".join(text))):
+            self.dates[a["id"]] = days[-1]
+        elif local == "title":
+            self.title.append("".join(text).strip())
+        if local in {"nonfraction", "context", "title"}:
+            self.wanted = [x for x in self.wanted if x is not text]
+        self.names[local] -= 1
+        return local
+
+    def close(self):
+        super().close()
+        while self.open:
+            self.ended()
+
+
+@dataclass(frozen=True)
+class Figure:
+    value: float
+    day: str
+    source: str
+
+    def yields_to(self, other: Figure, seen: str) -> bool:
+        """Whether a later fact of the field takes its place. seen: the day of the last dated figure taken for the field.
+
+        An earlier day never displaces a later one, nor does a fact without a day one with, nor a weak name a strong one.
+        """
+        if seen and other.day < seen:
+            return False
+        return other.source != WEAK or self.source == WEAK
+
+
+def chosen(parser: Facts) -> dict[str, Figure]:
+    """The figure of each field, in document order."""
+    out: dict[str, Figure] = {}
+    seen: dict[str, str] = {}
     for f in parser.found:
-        if f["value"] is None or f["name"] not in FIELDS:
+        field = FIELD_OF.get(f["name"])
+        if field is None or f["value"] is None:
             continue
-        field, strong = FIELDS[f["name"]]
-        day = parser.dates.get(f["context"] or "", "")
-        have = out.get(field)
-        if have and (have[2] and not strong or have[2] == strong and day < have[1]):
+        new = Figure(f["value"], parser.dates.get(f["context"], ""), f["name"])
+        if field in out and not out[field].yields_to(new, seen.get(field, "")):
             continue
-        out[field] = (f["value"], day, strong)
+        out[field] = new
+        if new.day:
+            seen[field] = new.day
     return out
 
 
+FACTS = "title string, links long, facts map<string, double>, as_of map<string, string>, sources map<string, string>, facts_seen int, weak_net_assets boolean, balance_sheet_date string"
+
+
+def parsed(text: str | None) -> tuple:
+    """The columns of FACTS of one document."""
+    p = Facts()
+    p.feed(text or "")
+    p.close()
+    c = chosen(p)
+    days = [f.day for f in c.values() if f.day] or [*p.dates.values()]
+    weak = "net_assets" in c and c["net_assets"].source == WEAK
+    return " ".join(p.title), p.links, {n: f.value for n, f in c.items()}, {n: f.day for n, f in c.items()}, {n: f.source for n, f in c.items()}, len(p.found), weak, max(days, default=None)
+
+
 def facts(docs: DataFrame, key: str, body: str) -> DataFrame:
-    """key, title, links, facts map<string, double>, as_of map<string, string>: one parser run per document, in Arrow batches."""
+    """key and FACTS of each document: one parser run per document, in Arrow batches."""
+    names = [c.split()[0] for c in re.split(r", (?![^<]*>)", FACTS)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for k, text in zip(pdf["key"], pdf["body"]):
-                p = Facts()
-                p.feed(text or "")
-                c = chosen(p)
-                rows.append((k, " ".join(p.title), p.links, {n: v[0] for n, v in c.items()}, {n: v[1] for n, v in c.items()}))
-            yield pd.DataFrame(rows, columns=["key", "title", "links", "facts", "as_of"])
+            yield pd.DataFrame([(k, *parsed(text)) for k, text in zip(pdf["key"], pdf["body"])], columns=["key", *names])
 
     narrow = docs.select(F.col(key).alias("key"), F.col(body).cast("string").alias("body"))
-    return narrow.mapInPandas(run, "key long, title string, links long, facts map<string, double>, as_of map<string, string>").withColumnRenamed("key", key)
+    return narrow.mapInPandas(run, f"key long, {FACTS}").withColumnRenamed("key", key)

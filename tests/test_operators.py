@@ -170,16 +170,6 @@ def test_classifiers(spark):
     assert got == {1: "voluntary", 2: "unknown", 3: "unknown"}
 
 
-IXBRL = """<html><context id="old"><instant>2020-01-01</instant></context><context id="new"><instant>2021-01-01</instant></context>
-<ix:nonFraction name="c:NetAssets" contextRef="old" scale="3">1,000</ix:nonFraction><ix:nonFraction name="c:NetAssets" contextRef="new" scale="0">(2)</ix:nonFraction>
-<ix:nonFraction name="c:ShareholderFunds" contextRef="new">9</ix:nonFraction><ix:nonFraction name="c:Cash" contextRef="none">7</ix:nonFraction></html>"""
-
-
-def test_markup_precedence(spark):
-    r = markup.facts(spark.createDataFrame([(1, IXBRL), (2, None)], "k long, b string"), "k", "b").orderBy("k").collect()
-    assert r[0].facts == {"net_assets": -2.0, "cash": 7.0} and r[1].facts == {}
-
-
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=12))
 def test_numbers_never_raise(text):
