@@ -75,12 +75,20 @@ def probe_keys(n: Column, edits: int) -> Column:
     return F.flatten(F.transform(lengths, of_length))
 
 
-def name_tiers(queries: DataFrame, register: DataFrame, query: str, name: str, tie: list[Column]) -> DataFrame:
+def dealt_blocks(asked: DataFrame, offered: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``chunk``: what is offered under a key that has more than ``most`` rows is dealt into chunks by hash, and what asks for it meets each of them."""
+    sizes = offered.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("__chunks"))
+    one = offered.join(sizes, key, "left").withColumn("chunk", F.pmod(F.xxhash64(*offered.columns), F.coalesce("__chunks", F.lit(1))).cast("int")).drop("__chunks")
+    two = asked.join(sizes, key, "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("__chunks", F.lit(1)) - 1))).drop("__chunks")
+    return two, one
+
+
+def name_tiers(queries: DataFrame, register: DataFrame, query: str, name: str, tie: list[Column], most: int = 1000) -> DataFrame:
     """The best match of each query name: T1 equal, T2 equal without brackets, T3 within one or two edits, T4 equal sorted tokens.
 
     Candidates share a blocking key (the name, the name without brackets, the sorted tokens, or a part of the name at about its
-    place), so no query meets the whole register, and each pair that a tier fits shares one. Rows of one name meet as one. The first
-    tier with hits decides, then the tie order.
+    place), so no query meets the whole register, and each pair that a tier fits shares one. Rows of one name meet as one, and a block of
+    more than ``most`` names (a part that many names have) is dealt to several tasks. The first tier with hits decides, then the tie order.
     """
     bare = lambda c: company_name(F.regexp_replace(c, r"\([^)]*\)", " "))
     q = queries.select(query, company_name(F.col(query)).alias("qn"), bare(F.col(query)).alias("qb")).distinct()
@@ -96,7 +104,8 @@ def name_tiers(queries: DataFrame, register: DataFrame, query: str, name: str, t
         F.when(F.col("qn") == F.col("rn"), 1).when(F.col("qb") == F.col("rb"), 2)
         .when(F.levenshtein("qn", "rn", 2).between(0, limit), 3).when(sorted_tokens(F.col("qn")) == sorted_tokens(F.col("rn")), 4)
     )
-    met = asked.join(offered, "block").withColumn("tier", tier).where("tier is not null").select(query, "rn", "rb", "tier", "__n").distinct()
+    asked, offered = dealt_blocks(asked, offered, "block", most)
+    met = asked.join(offered, ["block", "chunk"]).withColumn("tier", tier).where("tier is not null").select(query, "rn", "rb", "tier", "__n").distinct()
     least = F.min("tier").over(Window.partitionBy(query))
     met = met.withColumn("__least", least).where(F.col("tier") == F.col("__least")).withColumn("candidates", F.sum("__n").over(Window.partitionBy(query))).drop("__least", "__n")
     of_name = F.row_number().over(Window.partitionBy("rn", "rb").orderBy(*tie))

@@ -101,7 +101,7 @@ def sum_before(df: DataFrame, value: str, amount: str, name: str, buckets: int =
 
 
 def mann_whitney(df: DataFrame, value: str, first: Column) -> DataFrame:
-    """n1, n2, U of the first group, rank-biserial effect, z with ties and continuity, and p; all but the sizes are null with a group under two rows."""
+    """n1, n2, U of the first group, rank-biserial effect, z with ties and continuity, p, and the medians of both; all but the sizes are null with a group under two rows."""
     cells = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("ties"), F.sum(first.cast("int")).alias("ones"))
     ranked = sum_before(cells, value, "ties", "before").withColumn("midrank", F.col("before") + (F.col("ties") + 1) / 2)
     ties = F.col("ties").cast("double")
@@ -112,7 +112,10 @@ def mann_whitney(df: DataFrame, value: str, first: Column) -> DataFrame:
     gap = F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0)) * F.signum(u - n1 * n2 / 2)
     enough, score = (n1 >= 2) & (n2 >= 2), F.when((n1 >= 2) & (n2 >= 2) & (sigma > 0), gap / sigma)
     found = s.select("n1", "n2", F.when(enough, u).alias("u"), F.when(enough, 2 * u / (n1 * n2) - 1).alias("effect"), score.alias("z"))
-    return found.withColumn("p", normal_p(F.col("z")))
+    halves = quantiles(df.where(first.isNotNull()).withColumn("__arm", first), ["__arm"], value, {"m": 0.5})
+    middles = halves.agg(F.max(F.when(F.col("__arm"), F.col("m"))).alias("median_1"), F.max(F.when(~F.col("__arm"), F.col("m"))).alias("median_2"))  # one row
+    both = found.withColumn("p", normal_p(F.col("z"))).crossJoin(F.broadcast(middles))
+    return both.withColumns({c: F.when(F.col("u").isNotNull(), F.col(c)) for c in ("median_1", "median_2")})
 
 
 def inversions(x: np.ndarray) -> int:

@@ -45,7 +45,7 @@ def q03(s, d):
 @query("Q04_partitioned_parquet", "select year(o_orderdate) as year, count(*) as n from orders group by all")
 def q04(s, d):
     """Writes orders by year to the warehouse, which executors share, and counts what is read back."""
-    path = f"{s.conf.get('spark.sql.warehouse.dir')}/quarrystone_orders_by_year"
+    path = f"{s.conf.get('spark.sql.warehouse.dir')}/quarrystone_orders_by_year/{s.sparkContext.applicationId}"  # a session's own
     orders = table(s, d, "orders").withColumn("year", F.year("o_orderdate"))
     orders.repartition("year").write.mode("overwrite").partitionBy("year").parquet(path)
     return s.read.parquet(path).groupBy("year").agg(F.count("*").alias("n"))
@@ -305,10 +305,10 @@ def growth(s, d):
 @query(
     "Q31b_mann_whitney",
     """with x as (select l_extendedprice as v, l_linestatus = 'F' as a from lineitem), r as (select v, count(*) as ties, count(*) filter (a) as ones from x group by 1), m as (select *, coalesce(sum(ties) over (order by v rows between unbounded preceding and 1 preceding), 0) + (ties + 1) / 2 as mid from r),
- z as (select sum(ones) as n1, sum(ties) - sum(ones) as n2, sum(ones * mid) as r1 from m) select cast(n1 as double) as n1, cast(n2 as double) as n2, r1 - n1 * (n1 + 1) / 2 as u, round(2 * (r1 - n1 * (n1 + 1) / 2) / (n1 * n2) - 1, 6) as effect from z""",
+ z as (select sum(ones) as n1, sum(ties) - sum(ones) as n2, sum(ones * mid) as r1 from m) select cast(n1 as double) as n1, cast(n2 as double) as n2, r1 - n1 * (n1 + 1) / 2 as u, round(2 * (r1 - n1 * (n1 + 1) / 2) / (n1 * n2) - 1, 6) as effect, (select median(v) from x where a) as median_1, (select median(v) from x where not a) as median_2 from z""",
 )
 def q31b(s, d):
-    return stats.mann_whitney(table(s, d, "lineitem"), "l_extendedprice", C("l_linestatus") == "F").select("n1", "n2", "u", r6("effect").alias("effect"))
+    return stats.mann_whitney(table(s, d, "lineitem"), "l_extendedprice", C("l_linestatus") == "F").select("n1", "n2", "u", r6("effect").alias("effect"), "median_1", "median_2")
 
 
 YEARS_SQL = "case era " + " ".join(f"when '{k}' then {v!r}::double" for k, v in classify.ERA_YEARS.items()) + " end"

@@ -58,6 +58,26 @@ def with_columns_of(df: DataFrame, *columns: StructField) -> DataFrame:
     return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in columns if f.name not in df.columns})
 
 
+def renamed(spark: SparkSession, path: str, names: dict[str, str], schema: StructType) -> None:
+    """Gives columns of the table at ``path`` new names, in place: the table is written beside it under ``schema`` (the new names) and then takes its place.
+
+    A name that is already new is left, so the step may run again; a name that is neither is an error.
+    """
+    have = spark.read.parquet(path)
+    unknown = [old for old, new in names.items() if old not in have.columns and new not in have.columns]
+    if unknown:
+        raise ValueError(f"no such columns: {unknown}")
+    fresh = {old: new for old, new in names.items() if old in have.columns}
+    if not fresh:
+        return
+    beside = f"{path}.renamed"
+    replace_table(have.withColumnsRenamed(fresh), beside, schema)
+    files, at = _place(spark, path)
+    files.delete(at, True)
+    if not files.rename(_place(spark, beside)[1], at):
+        raise OSError(f"{beside} could not take the place of {path}")
+
+
 def reset(spark: SparkSession, path: str) -> bool:
     """Removes the tables under the path; whether there was something."""
     files, at = _place(spark, path)
