@@ -13,8 +13,9 @@ that rules decide are the labelled ones. For the rest a tree of templates is lea
 * A path is rejected if the purity of its last branch is above one half.
 
 The tree goes down to the deepest segment. A branch ends early if it has no labelled url, or one path alone: nothing below it could differ.
-A round of Spark makes a level and writes it, so plans stay as small as one level. Rows are counted by path before any join; joins of paths with
-their branch are dealt in ``SALTS`` places, so a host with a third of all rows is no single task's.
+A round of Spark makes a level and writes it, so plans stay as small as one level. Segments that all paths of a branch share, and where none of them ends, are
+gone through at once, with the purity of each of their levels: rounds follow the branchings and ends of paths, not their depth. Rows are counted by path before any join;
+joins of paths with their branch are dealt in ``SALTS`` places, so a host with a third of all rows is no single task's.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule, and the verdict of the template with no segments;
 repeated rows are judged alike; ids may be null; slashes before the first segment count as one; without labelled urls all that no rule blocks is
@@ -56,9 +57,9 @@ def ruled(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tupl
     return name, verdict
 
 
-def purity(of: str = "prior") -> Column:
-    """A branch's purity, from its labelled and blocked urls and its parent's purity."""
-    p, labelled = F.col(of), F.greatest("labelled", F.lit(1))
+def purity(p: Column | None = None) -> Column:
+    """A branch's purity, from its labelled and blocked urls and its parent's purity (else the column prior)."""
+    p, labelled = F.col("prior") if p is None else p, F.greatest("labelled", F.lit(1))
     share = F.col("blocked") / labelled
     alike = F.abs(share - p) <= Z * F.sqrt(p * (1 - p) / labelled)
     return F.when((F.col("labelled") == 0) | alike, p).otherwise(F.round((F.col("blocked") + WEIGHT * p) / (F.col("labelled") + WEIGHT), DIGITS))
@@ -75,18 +76,36 @@ def met(many: DataFrame, few: DataFrame, on: list[str], by: str) -> DataFrame:
     return left.join(right, [*on, "salt"], "left").drop("salt")
 
 
+def leaps(nodes: DataFrame) -> DataFrame:
+    """node, leap, leapt of the branches with one child that can go down several levels at once, and their purity there.
+
+    All paths of a branch lie between the first and the last in order, so they share what these share; where a path ends, the branch is counted anew.
+    """
+    shared = F.array_position(F.zip_with(F.split("low", "/"), F.split("high", "/"), lambda x, y: x.eqNullSafe(y)), False) - 1
+    leap = F.least(F.when(shared < 0, F.col("left")).otherwise(shared), F.col("left") - 1).cast("int")
+    some = nodes.where("children = 1 and paths > 1 and labelled > 0").withColumn("leap", leap).where("leap > 0")
+    return some.select("node", "leap", F.aggregate(F.sequence(F.lit(1), F.col("leap")), F.col("prior"), lambda p, _: purity(p)).alias("leapt"))
+
+
 def level(rows: DataFrame, depth: int, root: float) -> DataFrame:
-    """The rows (paths of open branches: host, path, segments, n, labelled, blocked, paths, node, prior) one level further down.
+    """The rows (paths of open branches: host, path, segments, at, n, labelled, blocked, paths, node, prior) one level further down, or several.
 
-    node is the branch below, null if it ends here; prior is its purity.
+    at is the place of the next segment; node is the branch below, null if it ends here; prior is its purity.
     """
-    rows = rows.withColumn("segment", F.coalesce(F.get("segments", F.lit(depth)), F.lit("")))
-    children = stored(rows.groupBy("node", "segment").agg(F.sum("n").alias("n")))
-    varied = children.groupBy("node").agg(F.count("*").alias("children"), F.sum("n").alias("whole")).where((F.col("children") > VARIED) & (F.col("children") * ROWS > F.col("whole")))
+    rows = rows.withColumn("segment", F.coalesce(F.get("segments", F.col("at")), F.lit("")))
+    rest, left = F.array_join(F.slice("segments", F.col("at") + 1, F.greatest(F.size("segments"), F.lit(1))), "/"), F.size("segments") - F.col("at")
+    more = [F.min(rest).alias("low"), F.max(rest).alias("high"), F.min(left).alias("left"), F.max("prior").alias("prior"), *(F.sum(c).alias(c) for c in ("labelled", "blocked", "paths"))] if depth else []
+    children = stored(rows.groupBy("node", "segment").agg(F.sum("n").alias("n"), *more))
+    nodes = children.groupBy("node").agg(F.count("*").alias("children"), F.sum("n").alias("whole"), *(F.first(c).alias(c) for c in children.columns[3:]))
+    varied = nodes.where((F.col("children") > VARIED) & (F.col("children") * ROWS > F.col("whole"))).select("node", "children", "whole")
     # of a variable segment's children, VARIED at most can hold one in VARIED of the rows
-    fixed = met(children, varied, ["node"], "segment").where("whole is not null").groupBy("node").agg(F.collect_set(F.when((F.col("n") * VARIED >= F.col("whole")) | (F.col("segment") == ""), F.col("segment"))).alias("fixed"))
+    fixed = met(children.select("node", "segment", "n"), varied, ["node"], "segment").where("whole is not null").groupBy("node").agg(F.collect_set(F.when((F.col("n") * VARIED >= F.col("whole")) | (F.col("segment") == ""), F.col("segment"))).alias("fixed"))
+    known = fixed.withColumns({"leap": F.lit(None).cast("int"), "leapt": F.lit(None).cast("double")})
+    if depth:
+        known = known.unionByName(leaps(nodes), allowMissingColumns=True)
     template = F.when(F.col("fixed").isNotNull() & ~F.array_contains("fixed", F.col("segment")), F.lit("*")).otherwise(F.col("segment"))
-    rows = stored(met(rows, fixed, ["node"], "path").withColumn("template", template).drop("fixed"))
+    whole = stored(met(rows, known, ["node"], "path").withColumn("template", template).drop("fixed"))
+    rows, leapt = whole.where("leap is null").drop("leap", "leapt"), whole.where("leap is not null")
     templates = rows.groupBy("node", "template").agg(F.max("prior").alias("prior"), *(F.sum(c).alias(c) for c in ("n", "labelled", "blocked", "paths")))
     if depth == 0:
         over = counted(templates, "template").withColumn("prior", F.lit(root)).select("template", purity().alias("prior"))
@@ -100,16 +119,18 @@ def level(rows: DataFrame, depth: int, root: float) -> DataFrame:
     pooled = (F.col("blocked") + b) / (F.col("labelled") + before)
     apart = F.abs(F.col("blocked") / F.col("labelled") - b / before) > Z * F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / before))
     steps = steps.withColumn("apart", F.coalesce(apart.cast("int"), F.lit(0))).withColumn("branch", F.sum("apart").over(order))
-    whole = Window.partitionBy("node", "branch")
-    prior = F.round(F.sum("weighed").over(whole) / F.sum("labelled").over(whole), DIGITS)
-    merged = steps.select("node", "step", "branch", prior.alias("prior"), *(F.sum(c).over(whole).alias(c) for c in ("labelled", "blocked")), F.sum("paths").over(whole).alias("below"))
+    joint = Window.partitionBy("node", "branch")
+    prior = F.round(F.sum("weighed").over(joint) / F.sum("labelled").over(joint), DIGITS)
+    merged = steps.select("node", "step", "branch", prior.alias("prior"), *(F.sum(c).over(joint).alias(c) for c in ("labelled", "blocked")), F.sum("paths").over(joint).alias("below"))
     merged = merged.select("node", "step", "branch", "below", purity().alias("purity"))
     judged = met(templates, merged, ["node", "step"], "template").select("node", "template", "branch", "below", F.coalesce("purity", "prior").alias("purity"))
     out = met(rows, judged, ["node", "template"], "path")
     # a branch ends with those of its paths that end; the others go on together
-    node = F.when((F.col("below") > 1) & (F.size("segments") > depth + 1), F.concat("node", F.lit("/"), F.col("branch")))
-    out = stored(out.select("host", "path", "segments", "n", "labelled", "blocked", "paths", node.alias("node"), F.col("purity").alias("prior")))
-    released(children, rows, templates)
+    node = F.when((F.col("below") > 1) & (F.size("segments") > F.col("at") + 1), F.concat("node", F.lit("/"), F.col("branch")))
+    kept = ["host", "path", "segments", "n", "labelled", "blocked", "paths"]
+    out = out.select(*kept, node.alias("node"), F.col("purity").alias("prior"), (F.col("at") + 1).alias("at"))
+    out = stored(out.unionByName(leapt.select(*kept, "node", F.col("leapt").alias("prior"), (F.col("at") + F.col("leap")).alias("at"))) if depth else out)
+    released(children, whole, templates)
     return out
 
 
@@ -120,7 +141,7 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) ->
     name, verdict = ruled(F.col("host"), F.col("path"), rules)
     urls = urls.withColumns({"rule": name, "given": verdict})
     counts = urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("given").alias("labelled"), F.count_if(F.col("given") == "block").alias("blocked"))
-    rows = stored(counts.select("host", "path", F.split(F.ltrim("path", F.lit("/")), "/").alias("segments"), "n", "labelled", "blocked", F.lit(1).cast("long").alias("paths"), F.col("host").alias("node"), F.lit(0.0).alias("prior")))
+    rows = stored(counts.select("host", "path", F.split(F.ltrim("path", F.lit("/")), "/").alias("segments"), "n", "labelled", "blocked", F.lit(1).cast("long").alias("paths"), F.col("host").alias("node"), F.lit(0.0).alias("prior"), F.lit(0).alias("at")))
     labelled, blocked = rows.agg(F.sum("labelled"), F.sum("blocked")).first()
     root, depth, ended = round(blocked / labelled, DIGITS) if labelled else 0.0, 0, []
     while True:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 from pathlib import Path
 
@@ -556,6 +557,25 @@ def brute_urls(urls, rules):
     return [label[parts(u)] or ("block" if result[parts(u)] > 0.5 else "allow") for u in urls]
 
 
+def test_deep_paths_take_few_rounds(spark, monkeypatch):
+    """Shared segments are gone through at once, however many, and the verdicts are those of the tree level by level."""
+    rng = random.Random(4)
+    deep = "/".join(f"s{i}" for i in range(1000))
+    rules = [("block", "trap.net", f"/{deep}/x/"), ("allow", "trap.net", f"/{deep}/y/"), ("block", "mid.net", "/a/b/c/d/e/bad/"), ("allow", "mid.net", "/a/b/c/d/e/good/"), ("block", "one.net", "/")]
+    urls = [f"http://trap.net/{deep}/{rng.choice('xyz')}/{i}" for i in range(40)] + [f"http://mid.net/a/b/c/d/e/{rng.choice(['bad', 'good', 'q'])}/{i}/f/g/h/{rng.randrange(3)}" for i in range(60)]
+    urls += ["http://mid.net/a/b/c", "http://mid.net/a/b", "http://one.net/p/q/r/s", "http://one.net/p/q/r/t", "http://trap.net/" + "/".join(f"s{i}" for i in range(500))]
+    rounds = []
+    monkeypatch.setattr(url_templates, "level", lambda *a, f=url_templates.level: rounds.append(a[1]) or f(*a))
+    got = {r.page_id: r.verdict for r in url_templates.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    deepest = sys.getrecursionlimit()
+    sys.setrecursionlimit(50_000)
+    try:
+        assert [got[i] for i in range(len(urls))] == brute_urls(urls, rules)
+    finally:
+        sys.setrecursionlimit(deepest)
+    assert len(rounds) < 30 and {"block", "allow"} == set(got.values())
+
+
 def test_url_tree_against_brute_force(spark):
     """Paths of up to ten segments, with variable ones, frequent fixed ones among them, and rules deep down."""
     rng = random.Random(11)
