@@ -217,10 +217,10 @@ def fits(n: str, m: str, similar: int) -> F.Column:
 def across(nodes: DataFrame, size: int, similar: int) -> DataFrame:
     """Pairs (a, b) of nodes(node, packed, size, component) in different components that can be similar, by their rarest shingles.
 
-    With all shingles in one order, two sets of similarity s share one among the first n - ceil(s n) + 1 of either: a copy with too many
-    shingles of its own to be linked with anything meets nobody there; and what stands before the first common one is not common. The order is by
-    frequency, counted in ``SLOTS`` slots, rarest first; it decides costs alone. Shingles of one component are dropped before anything is
-    joined; in each other shingle's bucket the largest component meets the others' nodes only.
+    With all shingles in one order, two sets of similarity s share one among the first n - ceil(s n) + 1 of the larger and the first n - ceil(2 s n / (1 + s)) + 1
+    of the smaller: a copy with too many shingles of its own to be linked with anything meets nobody there; and what stands before the first common
+    one is not common. The order is by frequency, counted in ``SLOTS`` slots, rarest first; it decides costs alone. Shingles of one component are dropped before
+    anything is joined; in each other shingle's bucket the largest component meets the others' nodes only, and a set meets larger ones only.
     """
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
@@ -259,11 +259,16 @@ def across(nodes: DataFrame, size: int, similar: int) -> DataFrame:
     by_component = first.groupBy("key", "component").count()
     largest = by_component.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
     met = first.join(largest, "key")
-    one, two = (met.select("key", "largest", *(F.col(c).alias(c + x) for c in ("node", "n", "component", "place"))) for x in "12")
+    one, two = (met.select("key", (F.col("component") == F.col("largest")).alias("major" + x), *(F.col(c).cast("long").alias(c + x) for c in ("node", "n", "component", "place"))) for x in "12")
+    # the smaller set is found by fewer of its shingles
+    least = -F.floor(-2 * similar * F.col("n1") / F.lit(100.0 + similar))  # so many are common at least
+    one = one.where(F.col("place1") < F.col("n1") - least + 1)
     # from the first shingle that both have on, at most so many can be common
     reach = (100 + similar) * F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2")) >= similar * (F.col("n1") + F.col("n2"))
-    pairs = one.drop("largest").join(two.where("component2 <> largest").drop("largest"), "key").where((F.col("component1") != F.col("component2")) & fits("n1", "n2", similar) & reach)
-    return pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+    larger = (F.col("n1") < F.col("n2")) | (F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2"))
+    apart = (F.col("component1") != F.col("component2")) & larger & fits("n1", "n2", similar) & reach
+    minor = one.join(two.where("not major2"), "key").where(apart).unionByName(one.where("not major1").join(two.where("major2"), "key").where(apart))
+    return minor.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR, bands: int = BANDS) -> DataFrame:
