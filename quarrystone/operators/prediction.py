@@ -68,13 +68,19 @@ def exit_frame(lives: DataFrame, accounts: DataFrame, entity: str, born: str, da
 
 
 def deciles(df: DataFrame, score: str, label: str) -> DataFrame:
-    """part (auc or decile), decile, n, value: the area under the curve by midranks, and the share of label 1 in each tenth of the scores; tenths that share an edge are one."""
-    rows = df.select(F.col(score).alias("score"), F.col(label).alias("y"))
+    """part (auc or decile), decile, n, value: the area under the curve by midranks, and the share of label 1 in each tenth of the scores; tenths that share an edge are one.
+
+    The two columns are read several times, so they are kept while the eleven rows of the result are made.
+    """
+    rows = df.select(F.col(score).alias("score"), F.col(label).alias("y")).persist()
     a = auc(rows, "score", "y").select(F.lit("auc").alias("part"), F.lit(0).alias("decile"), (F.col("n1") + F.col("n0")).alias("n"), F.col("auc").alias("value"))
     names = [f"d{i}" for i in range(1, 10)]
     edges = quantiles(rows, [], "score", {c: i / 10 for i, c in enumerate(names, 1)}).select(F.array_distinct(F.array(*names)).alias("edges"))  # one row
     dealt = rows.crossJoin(F.broadcast(edges)).select("y", (1 + F.size(F.filter("edges", lambda e: e < F.col("score")))).alias("decile"))
-    return a.unionByName(dealt.groupBy("decile").agg(F.lit("decile").alias("part"), F.count("*").alias("n"), F.avg("y").alias("value")))
+    whole = a.unionByName(dealt.groupBy("decile").agg(F.lit("decile").alias("part"), F.count("*").alias("n"), F.avg("y").alias("value")))
+    found = whole.collect()
+    rows.unpersist()
+    return df.sparkSession.createDataFrame(found, whole.schema)
 
 
 def reached(curve: DataFrame, asked: DataFrame, groups: list[str], time: str) -> DataFrame:
