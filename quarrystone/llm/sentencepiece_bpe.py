@@ -149,8 +149,13 @@ class Codec:
         if known is None:
             known = self.older.get(segment)
             if known is None:
-                ids = self.ids(segment)
-                known = len(ids), " ".join([self.decimal[i] for i in ids]), self.spelled(ids)
+                pieces = self.tokens(segment)
+                try:
+                    ids = list(map(self.id_of.__getitem__, pieces))
+                    known = len(ids), " ".join(map(self.decimal.__getitem__, ids)), "".join(map(self.spelling.__getitem__, ids))
+                except KeyError:  # byte pieces
+                    ids = self.ids(segment)
+                    known = len(ids), " ".join(map(self.decimal.__getitem__, ids)), self.spelled(ids)
             if len(segment) <= self.longest:
                 if len(self.memory) >= self.remembered:
                     self.older, self.memory = self.memory, {}
