@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import stored, table
+from quarrystone.llm.common import released, stored, table
 from quarrystone.llm.near_dedup import near_dedup
 from quarrystone.llm.packing import pack
 from quarrystone.llm.substring_dedup import substring_dedup
@@ -54,7 +54,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; what a stage wrote goes once the next one has written its own."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            released(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
