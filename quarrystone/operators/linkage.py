@@ -11,19 +11,22 @@ from quarrystone.functions.normalise import company_name, sorted_tokens
 
 
 def first_within(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, before: int, after: int, left_id: str, right_id: str) -> DataFrame:
-    """left with the first row of right (by time, then id) of the same key from ``before`` to ``after`` microseconds around it, itself apart; nulls where there is none.
+    """left with the first row of right (by time, then id) of the same key from ``before`` to ``after`` around it, itself apart; nulls where there is none.
+
+    Both are microseconds for dates and timestamps, and units of the column for whole numbers.
 
     Time is cut into buckets as wide as the interval. A right row lies in one bucket, a left row asks in the two at most that its interval
     touches, and one sorted run over a key's bucket hands every question the next right row: no pair of rows is made, and a key with many rows is spread over its buckets.
     Ids are distinct; null keys and times meet nothing.
     """
     width = before + after + 1
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    moments = {"date", "timestamp", "timestamp_ntz"}
+    micros = lambda df, c: F.unix_micros(F.col(c).cast("timestamp")) if df.schema[c].dataType.typeName() in moments else F.col(c).cast("long")
     extra = [c for c in right.columns if c != key]
     bucket = lambda t: F.floor(t / F.lit(width))
-    offered = right.select(F.col(key).alias("__key"), micros(right_at).alias("__t"), F.col(right_id).alias("__id"), F.struct(*extra).alias("__right")).where("__key is not null and __t is not null")
+    offered = right.select(F.col(key).alias("__key"), micros(right, right_at).alias("__t"), F.col(right_id).alias("__id"), F.struct(*extra).alias("__right")).where("__key is not null and __t is not null")
     offered = offered.withColumn("__bucket", bucket(F.col("__t")))
-    asked = left.select(F.col(key).alias("__key"), (micros(at) - before).alias("__t"), (micros(at) + after).alias("__until"), F.col(left_id).alias("__own")).where("__key is not null and __t is not null")
+    asked = left.select(F.col(key).alias("__key"), (micros(left, at) - before).alias("__t"), (micros(left, at) + after).alias("__until"), F.col(left_id).alias("__own")).where("__key is not null and __t is not null")
     asked = asked.withColumn("__bucket", F.explode(F.array_distinct(F.array(bucket(F.col("__t")), bucket(F.col("__until"))))))
     rows = offered.unionByName(asked, allowMissingColumns=True)
     # from the latest to the earliest: what came last is next in time; a question stands before the rows of its own moment
@@ -32,7 +35,7 @@ def first_within(left: DataFrame, right: DataFrame, key: str, at: str, right_at:
     later = rows.withColumn("__next", F.last(row, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     both = F.when(F.col("__own").isNull(), F.struct(row.alias("first"), F.col("__next").alias("second")))
     found = later.withColumn("__both", F.last(both, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("__own is not null")
-    first = F.when(F.col("__both.first.__id") == F.col("__own"), F.col("__both.second")).otherwise(F.col("__both.first"))
+    first = F.when(F.col("__both.first.__id").cast("string") == F.col("__own").cast("string"), F.col("__both.second")).otherwise(F.col("__both.first"))
     met = found.select("__own", "__until", first.alias("__first")).where("__first.__t <= __until")
     least = met.groupBy("__own").agg(F.min_by("__first.__right", F.struct("__first.__t", "__first.__id")).alias("__right"))
     return left.join(least, F.col(left_id) == F.col("__own"), "left").select(*left.columns, *(F.col(f"__right.{c}").alias(c) for c in extra))

@@ -153,7 +153,7 @@ def test_address_key_drops_agents_and_units(spark, line, street):
 def test_first_within_takes_the_earliest_and_keeps_the_dark(spark):
     left = spark.createDataFrame([(1, "x", 10), (2, "y", 10)], "id int, k string, died int")
     right = spark.createDataFrame([("x", 12, "late"), ("x", 11, "early"), ("x", 99, "never")], "k string, born int, name string")
-    got = {r.id: r.name for r in linkage.first_within(left, right, "k", F.col("born").between(F.col("died"), F.col("died") + 5), "id", [F.col("born")]).collect()}
+    got = {r.id: r.name for r in linkage.first_within(left, right, "k", "died", "born", 0, 5, "id", "name").collect()}
     assert got == {1: "early", 2: None}
 
 
