@@ -34,7 +34,7 @@ def brute(left, right):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("buckets", [1, 2, 7, 32])
+@pytest.mark.parametrize("buckets", [1, 7])
 def test_as_of(spark, buckets):
     rng = random.Random(buckets)
     left = [(i, rng.choice([1, 1, 1, 2, 3, 9, None]), rng.choice([None, *range(60)])) for i in range(500)]
