@@ -43,6 +43,13 @@ def test_precedence():
     assert read(fact("NetAssetsLiabilities", 9, "old"), weak)["facts"] == {"net_assets": 9.0}
 
 
+def test_references_end_in_a_semicolon():
+    """As in Q05c's SQL; a title that is cut within a reference stays as it is."""
+    title = lambda t: markup.parsed(f"<title>{t}</title>")[0]
+    assert [title(t) for t in ("a &amp; b&amp", "a&lt", "&ltb;", "&am", "a & b&", "&amp;lt;", "&#65;&#x42;&#65", "&ampx;&no;")] == ["a & b&amp", "a&lt", "&ltb;", "&am", "a & b&", "&lt;", "AB&#65", "&ampx;&no;"]
+    assert markup.parsed('<title>x&amp</title><a href="?a=1&amp;b=2&lt">y</a>')[:2] == ("x&amp", 1)
+
+
 def test_whole_document():
     got = read(fact("Other", 1), fact("Creditors", "(48,215)"), fact("Cash", 3), fact("Debtors", "none"), '<a href="x">y</a><a>z</a>', fact("Turnover", f"1{fact('Equity', '2')}", "old"))
     assert got["title"] == "A & B" and got["links"] == 1 and got["facts_seen"] == 6
