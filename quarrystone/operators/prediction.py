@@ -7,32 +7,46 @@ from pyspark.sql import functions as F
 
 from quarrystone.operators.stats import auc, quantiles
 
-def as_of(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, order: list[str], buckets: int = 32) -> DataFrame:
+
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, order: list[str], buckets: int = 32, most: int = 1_000_000, crowded: DataFrame | None = None) -> DataFrame:
     """Every row of left with the last row of right of its key at or before its time, by time and ``order``; nulls where there is none.
 
-    Both sides are one sorted run, in which each question takes the last row that came before it. The run of a key is cut at times that part the rows
-    evenly, and every part begins with what the parts before it ended with; so a key with many rows is as many tasks, and no pair of rows is made.
+    Both sides are one sorted run a key, in which each question takes the last row that came before it: one shuffle, whatever the number of keys. The run of a key with more than
+    ``most`` rows is cut at times that part its rows evenly, and every part begins with what the parts before it ended with; so such a key is as many tasks, and no pair of rows is made.
+    ``crowded`` has these keys, a row each, where the caller finds them at less cost than by counting both sides; one too many or too few changes no row of the result.
     Null keys and times meet nothing.
     """
     extra = [c for c in right.columns if c != key]
-    offered = right.select(F.col(key).alias("__key"), F.col(right_at).alias("__t"), F.struct(*order).alias("__order"), F.struct(*extra).alias("__right")).where("__key is not null and __t is not null")
+    offered = right.select(F.col(key).alias("__key"), F.col(right_at).alias("__t"), F.struct(*extra).alias("__right")).where("__key is not null and __t is not null")
     asked = left.select(F.col(key).alias("__key"), F.col(at).alias("__t"), F.struct(*left.columns).alias("__left"))
     both = offered.withColumn("__left", F.lit(None).cast(asked.schema["__left"].dataType)).unionByName(asked, allowMissingColumns=True)
-    number = F.unix_micros(F.col("__t").cast("timestamp")) if right.schema[right_at].dataType.typeName() in {"date", "timestamp", "timestamp_ntz"} else F.col("__t")
-    cuts = both.agg(F.array_distinct(F.percentile_approx(number, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(100 * buckets))).alias("__cuts"))
-    dealt = both.crossJoin(F.broadcast(cuts)).withColumn("__part", F.coalesce(F.size(F.filter("__cuts", lambda c: c < number)), F.lit(0))).drop("__cuts")
-    # what each part of a key hands on: at most as many rows a key as there are parts
-    last = dealt.where("__right is not null").groupBy("__key", "__part").agg(F.max_by("__right", F.struct("__t", "__order")).alias("__right"))
-    parts = dealt.select("__key", "__part").where("__key is not null").distinct().join(last, ["__key", "__part"], "left")
-    before = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    handed = parts.select("__key", "__part", F.last("__right", ignorenulls=True).over(before).alias("__right")).where("__right is not null")
-    whole = dealt.withColumn("__first", F.lit(1)).unionByName(handed.withColumn("__first", F.lit(0)), allowMissingColumns=True)
-    run = Window.partitionBy("__key", "__part").orderBy("__first", "__t", F.col("__left").isNotNull(), "__order").rowsBetween(Window.unboundedPreceding, 0)
+    if crowded is None:
+        crowded = both.groupBy("__key").count().where(F.col("count") > most).select(F.col("__key").alias(key))
+    crowded = crowded.select(F.col(key).alias("__key")).where("__key is not null")
+    then = ["__t", F.col("__left").isNotNull(), *(F.col(f"__right.{c}") for c in order if c != key)]
+    if crowded.isEmpty():
+        whole, run = both, Window.partitionBy("__key").orderBy(*then)
+    else:
+        whole, run = in_parts(both, crowded, right.schema[right_at].dataType.typeName(), then, buckets), Window.partitionBy("__key", "__part").orderBy("__first", *then)
     asks = F.col("__left").isNotNull() & F.col("__key").isNotNull() & F.col("__t").isNotNull()
-    met = whole.withColumn("__met", F.when(asks, F.last("__right", ignorenulls=True).over(run))).where("__left is not null")
+    met = whole.withColumn("__met", F.when(asks, F.last("__right", ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, 0)))).where("__left is not null")
     return met.select(*(F.col(f"__left.{c}").alias(c) for c in left.columns), *(F.col(f"__met.{c}").alias(c) for c in extra))
 
 
+def in_parts(both: DataFrame, crowded: DataFrame, kind: str, then: list, buckets: int) -> DataFrame:
+    """both with __part, cut by time for crowded keys and 0 for others, and __first; with a row more for each part of a crowded key, what it is handed on."""
+    number = F.unix_micros(F.col("__t").cast("timestamp")) if kind in {"date", "timestamp", "timestamp_ntz"} else F.col("__t")
+    theirs = both.join(F.broadcast(crowded.distinct()), "__key")
+    cuts = theirs.groupBy("__key").agg(F.array_distinct(F.percentile_approx(number, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(100 * buckets))).alias("__cuts"))
+    dealt = both.join(F.broadcast(cuts), "__key", "left").withColumn("__part", F.coalesce(F.size(F.filter(F.coalesce("__cuts", F.array().cast(cuts.schema["__cuts"].dataType)), lambda c: c < number)), F.lit(0)))
+    # at most as many rows a crowded key as there are parts
+    last = dealt.where("__cuts is not null and __right is not null").groupBy("__key", "__part").agg(F.max_by("__right", F.struct(*then)).alias("__right"))
+    parts = dealt.where("__cuts is not null").select("__key", "__part").distinct().join(last, ["__key", "__part"], "left")
+    before = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    handed = parts.select("__key", "__part", F.last("__right", ignorenulls=True).over(before).alias("__right")).where("__right is not null")
+    return dealt.drop("__cuts").withColumn("__first", F.lit(1)).unionByName(handed.withColumn("__first", F.lit(0)), allowMissingColumns=True)
+
+
 def exit_labels(df: DataFrame, days: str, event: str, window: int = 1095) -> DataFrame:
     """df with ``label``: 1 for an exit within the window, 0 for a life seen beyond it. Lives lost from sight within it have no label and go,
     and so do those with no or negative days."""
@@ -56,14 +70,17 @@ def by_year(df: DataFrame, year: str, train: tuple[int, int], test: int) -> Data
     return df.withColumn("part", part).where("part is not null")
 
 
-def exit_frame(lives: DataFrame, accounts: DataFrame, entity: str, born: str, days: str, event: str, made_up: str, order: list[str], columns: dict[str, str], train: tuple[int, int], test: int, window: int = 1095) -> DataFrame:
+def exit_frame(lives: DataFrame, accounts: DataFrame, entity: str, born: str, days: str, event: str, made_up: str, order: list[str], columns: dict[str, str], train: tuple[int, int], test: int, window: int = 1095, crowded: DataFrame | None = None) -> DataFrame:
     """What is known of each life when its window opens, and whether it exits within it: lives with acc_year, label, the four features, and part.
 
     The features are those of the entity's last accounts at or before ``born`` (never later ones), whose columns for equity, cash, current, creditors and staff
-    ``columns`` names. Lives without accounts, label or a feature go, and so do those of other years.
+    ``columns`` names. Lives without accounts, label or a feature go, and so do those of other years. Accounts of years before the first one wanted can only meet
+    lives that go, and hide no later ones, so they and the lives before that year do not go into the join; ``crowded`` is that of as_of.
     """
-    met = as_of(lives, accounts, entity, born, made_up, order).where(F.col(made_up).isNotNull()).withColumn("acc_year", F.year(made_up))
-    framed = exit_features(exit_labels(met, days, event, window), *(columns[c] for c in ("equity", "cash", "current", "creditors", "staff")))
+    opens = min(train[0], test)
+    labelled = exit_labels(lives.where(F.year(born) >= opens), days, event, window)
+    met = as_of(labelled, accounts.where(F.year(made_up) >= opens), entity, born, made_up, order, crowded=crowded).where(F.col(made_up).isNotNull()).withColumn("acc_year", F.year(made_up))
+    framed = exit_features(met, *(columns[c] for c in ("equity", "cash", "current", "creditors", "staff")))
     return by_year(framed, "acc_year", train, test)
 
 

@@ -244,7 +244,9 @@ def exit_frame(s, d):
     died = F.lead("born").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     lives = orders.withColumn("died", died).select("o_orderkey", "o_custkey", "born", F.datediff(F.coalesce("died", F.to_date(F.lit("2001-08-01"))), C("born")).alias("days"), C("died").isNotNull().alias("event"))
     columns = {c: c for c in ("equity", "cash", "current", "creditors", "staff")}
-    return prediction.exit_frame(lives, accounts, "o_custkey", "born", "days", "event", "made_up", ["made_up"], columns, (1996, 1998), 1999, 120)
+    # a customer has accounts of a day once, so only orders can crowd one
+    crowded = orders.groupBy("o_custkey").count().where("count > 1000000")
+    return prediction.exit_frame(lives, accounts, "o_custkey", "born", "days", "event", "made_up", ["made_up"], columns, (1996, 1998), 1999, 120, crowded)
 
 
 @query("Q83_exit_frame", f"with {ACCOUNTS_SQL} select o_orderkey, acc_year, label, negative_equity, round(cash_share, 6) as cash_share, negative_capital, round(log_staff, 6) as log_staff, part from frame where part is not null and cash_share is not null")

@@ -52,6 +52,24 @@ def test_as_of_of_a_hot_key(spark):
     assert as_of(spark, left, right) == brute(left, right)
 
 
+@pytest.mark.parametrize("most", [0, 20, 100])
+def test_as_of_cuts_crowded_keys_alone(spark, most):
+    """Some keys cut and others not; the same rows, whichever are named."""
+    rng = random.Random(most)
+    left = [(i, rng.choice([1, 1, 1, 2, 3, 9, None]), rng.choice([None, *range(60)])) for i in range(300)]
+    right = [(rng.choice([1, 1, 2, 3, None]), rng.choice([None, *range(0, 60, 4), -50, 90]), n, f"r{n}") for n in range(100)]
+    l, r = spark.createDataFrame(left, "id int, k int, t int"), spark.createDataFrame(right, "k int, at int, n int, what string")
+    named = spark.createDataFrame([(k,) for k in (2, 2, 77, None)], "k int")
+    for crowded in (None, named):
+        got = prediction.as_of(l, r, "k", "t", "at", ["n"], 7, most, crowded).collect()
+        assert sorted(map(tuple, got), key=repr) == brute(left, right)
+
+
+def test_as_of_is_one_shuffle_without_crowded_keys(spark):
+    l, r = spark.createDataFrame([(1, 1, 5)], "id int, k int, t int"), spark.createDataFrame([(1, 4, 0, "x")], "k int, at int, n int, what string")
+    assert prediction.as_of(l, r, "k", "t", "at", ["n"])._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_exit_frame_knows_nothing_later(spark):
     day = dt.date
     lives = spark.createDataFrame([(1, day(2019, 6, 1), 100, True), (2, day(2019, 6, 1), 2000, False), (3, day(2019, 6, 1), 50, False), (4, day(2019, 6, 1), 10, True), (5, day(2022, 2, 2), 2000, True)], "e int, born date, days int, event boolean")
