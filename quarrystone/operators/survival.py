@@ -168,17 +168,20 @@ def cluster_bootstrap(df: DataFrame, cluster: str, horizon: int, replicates: int
 
     Clusters are dealt by hash to buckets of about ``together``. A bucket's task learns how many draws of each replicate are its own, draws them over its clusters,
     and adds the clusters' counts by time up as vectors over the replicates: no row is written once a replicate. The vectors of a time are added over the buckets, and
-    what is left, times by replicates, is one small table. A null cluster is one of its own.
+    what is left, times by replicates, is one small table. A null cluster is one of its own. df is read twice, for the names of its clusters and for their counts.
     """
-    cells = cells_of(df, [cluster], horizon, causes).withColumnRenamed(cluster, "cluster").withColumn("cluster", F.col("cluster").cast("string"))
-    clusters = cells.select("cluster").distinct().count()
+    names = df.where(F.col("duration").isNotNull()).select(F.col(cluster).cast("string").alias("cluster")).distinct().persist()
+    clusters = names.count()
     if not clusters:
+        names.unpersist()
         return df.sparkSession.createDataFrame([(None, None, None, 0)], "mean double, low double, high double, replicates long")
     buckets = -(-clusters // together)
-    dealt = cells.withColumn("bucket", F.pmod(F.xxhash64("cluster"), F.lit(buckets)).cast("int"))
+    bucket_of = F.pmod(F.xxhash64("cluster"), F.lit(buckets)).cast("int")
     sizes = np.zeros(buckets, np.int64)
-    for bucket, n in dealt.select("bucket", "cluster").distinct().groupBy("bucket").count().collect():  # a number for each bucket
+    for bucket, n in names.groupBy(bucket_of.alias("bucket")).count().collect():  # a number for each bucket
         sizes[bucket] = n
+    names.unpersist()
+    dealt = cells_of(df, [cluster], horizon, causes).withColumn("cluster", F.col(cluster).cast("string")).select("cluster", "time", "kind", "count", bucket_of.alias("bucket"))
     ends = sizes.cumsum()
     schema = "time double, leaving array<long>, ended array<long>, first array<long>"
 

@@ -205,3 +205,17 @@ def test_hot_cluster_is_counted_first(spark):
     assert survival.cells_of(df.where("cluster = -1"), ["cluster"], 500, 2).count() <= 3 * 502
     r = survival.cluster_bootstrap(df, "cluster", 500, replicates=50).first()
     assert r.low <= r["mean"] <= r.high and r.replicates == 50
+
+
+def test_cluster_bootstrap_reads_its_rows_twice(spark):
+    """For the clusters' names and for their counts, and the sizes of the buckets come from the names."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = spark.createDataFrame([(i % 7, i % 40, i % 3) for i in range(300)], "k int, duration int, cause int").mapInPandas(counted, "k int, duration int, cause int")
+    assert survival.cluster_bootstrap(rows, "k", 30, 20, together=3).first().replicates == 20
+    assert seen.value <= 600
