@@ -273,4 +273,5 @@ def q83r(s, d):
     frame = exit_frame(s, d).select("label", "part", *SCORE).persist()
     fit = logit.irls(frame.where("part = 'train'"), list(SCORE), "label")
     tested = prediction.deciles(logit.predicted(frame.where("part = 'test'"), fit), "score", "label")
+    frame.unpersist()
     return fit.select(C("term").alias("part"), F.lit(None).cast("int").alias("decile"), F.lit(None).cast("long").alias("n"), C("coefficient").alias("value")).unionByName(tested)
