@@ -23,7 +23,6 @@ carried.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Generator
 from functools import partial
 
@@ -112,8 +111,8 @@ def symbol_of_windows(symbols: Symbols, windows: int, length: int) -> np.ndarray
     """Which symbol stands for each window; a negative number, another for each, where none is certain."""
     name, left, right = symbols
     place = np.arange(windows)
-    low = np.searchsorted(left, place)  # the first symbol settled at or behind the window's start
-    high = np.searchsorted(right, place + length, side="right") - 1  # the last one settled before its end
+    low = np.cumsum(np.bincount(np.clip(left + 1, 0, windows), minlength=windows + 1))[:windows]  # the first symbol settled at or behind the window's start
+    high = np.cumsum(np.bincount(np.clip(right, 0, windows + length), minlength=windows + length + 1))[length : length + windows] - 1  # the last one settled before its end
     width = high - low + 1
     bits = U(len(name).bit_length())
     least = [mix64(name.astype(U) + U(77)) >> bits << bits | np.arange(len(name), dtype=U)]
@@ -151,18 +150,29 @@ DEFINITIONS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("first"
 DEFINITIONS_SQL = "bucket int, block long, first binary, second binary"
 
 
+def distinct_words(data: np.ndarray, ends: np.ndarray) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
+    """The distinct words of contents that end at these places, which of them each word is, and which word each content begins with.
+
+    Words of a content have one space between them, and no content is empty.
+    """
+    space = np.flatnonzero(data == 0x20)
+    gap = np.sort(np.concatenate([space, ends]))  # behind each word
+    inside = np.searchsorted(space, ends)
+    kept = np.concatenate([[0], gap - np.searchsorted(space, gap)]).astype(np.int32)  # where words begin and end without the spaces
+    words = pa.Array.from_buffers(pa.binary(), len(gap), [None, pa.py_buffer(kept), pa.py_buffer(data[data != 0x20])]).dictionary_encode()
+    known = pa.concat_arrays([words.dictionary])  # its buffers begin with its first word
+    return known, words.indices.to_numpy().astype(np.int64), np.concatenate([[0], inside + np.arange(1, len(ends) + 1)])
+
+
 class Stretches:
     """The open stretches of a block (a row of entries), and the names that answers hold: those of step s under pass -1 - s."""
 
     def __init__(self, row: dict, answers: pa.Table, buckets: int, rounds: int):
         sizes = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
         raw = pa.Codec("zstd").decompress(row["contents"], decompressed_size=int(sizes.sum()), asbytes=True)
-        cuts = [0, *np.cumsum(sizes).tolist()]
-        contents = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
         self.block, self.doc, self.windows = row["block"], np.frombuffer(row["ids"], np.int64), np.frombuffer(row["windows"], np.uint32).astype(np.int64)
-        self.units = np.concatenate([[0], np.cumsum([c.count(b" ") + 1 for c in contents])])
-        self.words = b" ".join(contents).split(b" ")  # no content is empty
-        self.heard = {(-1 - r["pass"], r["bucket"]): r["yes"] for r in answers.to_pylist() if r["pass"] < 0}
+        self.known, self.of, self.units = distinct_words(np.frombuffer(raw, np.uint8), np.cumsum(sizes))
+        self.heard = {(-1 - number, b): yes for number, b, yes in zip(*(answers.column(c).to_pylist() for c in ("pass", "bucket", "yes"))) if number < 0}
         self.buckets, self.rounds = buckets, rounds
 
     def dealt(self, bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -187,15 +197,13 @@ class Stretches:
         return self.go(1 + 2 * self.rounds)[1]
 
     def go(self, upto: int) -> tuple[list[tuple], tuple[np.ndarray, Symbols] | None]:
-        number: dict[bytes, int] = {}
-        of = np.fromiter((number.setdefault(w, len(number)) for w in self.words), np.int64, len(self.words))
-        known = list(number)
-        bucket = np.fromiter((zlib.crc32(w) for w in known), np.int64, len(known)) % self.buckets
+        at = np.frombuffer(self.known.buffers()[1], np.int32)
+        bucket = (Ranges(BYTES[np.frombuffer(self.known.buffers()[2], np.uint8)]).name(at[:-1], at[1:]) % U(self.buckets)).astype(np.int64)
         if upto == 0:
             order, parts = self.dealt(bucket)
-            by = [known[i] for i in order.tolist()]
+            by = self.known.take(pa.array(order)).to_pylist()
             return [(b, self.block, b" ".join(by[x:y]), b"") for b, x, y in parts], None
-        ids = self.names(0, bucket)[of]
+        ids = self.names(0, bucket)[self.of]
         going = recompression(ids, self.units, self.rounds)
         try:
             parts_of = next(going)

@@ -767,3 +767,14 @@ def test_equal_words_get_equal_interior_symbols():
             at = (left >= base) & (right <= base + 40)
             inside.append(list(zip(name[at].tolist(), (left[at] - base).tolist(), (right[at] - base).tolist())))
         assert inside[0] == inside[1] and len(inside[0]) > 4
+
+
+def test_distinct_words_of_stretches():
+    """As split and a dict give them, without a step of Python for each word."""
+    rng = random.Random(6)
+    for n in (1, 2, 40):
+        contents = [b" ".join(bytes(rng.choice(b"ab\xc3") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 9))) for _ in range(n)]
+        known, of, units = substring_dedup.distinct_words(np.frombuffer(b"".join(contents), np.uint8), np.cumsum([len(c) for c in contents]))
+        words = [w for c in contents for w in c.split(b" ")]
+        assert known.to_pylist() == list(dict.fromkeys(words)) and [known[i].as_py() for i in of.tolist()] == words
+        assert units.tolist() == [0, *np.cumsum([c.count(b" ") + 1 for c in contents]).tolist()]
