@@ -21,26 +21,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import id_and_text, saved, table, without_collector
+from quarrystone.llm.common import chunks_of, id_and_text, saved, table, without_collector
 
 CAPACITY, END = 4096, 1
-BLANKS = re.compile(r"[ \t\n\r\x0b\x0c]+")
-#: Blank for Python's split() but not for us, or the other way round: such texts are cut by BLANKS.
-UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+#: Bytes of text whose words are looked up together.
+SLICE = 2 << 20
 #: Marks that part from the letters before them.
 MARKS = "!#$%&*+,-./:;=?@^~"
-
+#: Words of characters below this one, and not longer than that, are left to the faster library.
+COMPARED, LONG = 0x250, 500
+#: What follows each run that the tokenizer parts, for the faster library.
+STOP = "\0"
 
 #: Texts that show whether words can be encoded one by one, in lower case, apart from the marks behind them.
 PROBES = ["", " ", "Two  words.", "ÉTÉ e\u0301te\u0301 Straße İ", "don't stop, it's 12.5%!", "a\tb\nc\u00a0d\u3000e", "漢字 かな", "x_y-z (q) \"r\"", "\U0001f600 end..."]
 
 
 class WordTokenizer:
-    """Ids of a tokenizer that never joins over white space, remembered by word."""
+    """Ids of a tokenizer that never joins over white space, remembered by word.
+
+    Its table is handed to a faster library, which merges by the same ranks: it knows no ends of words, so each run gets a STOP
+    behind it, which joins the last byte before any other merge. Both must encode alike: each character is compared once, in
+    places that tell its class; words of others, and those with a special token, are left to the file's own library.
+    """
 
     def __init__(self, path: str, remembered: int = 300_000):
         import json
@@ -51,9 +59,11 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        mark = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        file = json.loads(self.tokenizer.to_str())
+        mark = file["model"]["end_of_word_suffix"]
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(mark)]] = True
+        self.merge_as(file, mark)
         self.remembered = remembered
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -62,16 +72,65 @@ class WordTokenizer:
         if self.batch(PROBES) != whole:
             raise ValueError("this tokenizer does not lower-case, normalise and part texts at spaces and marks as the memory of words needs it")
 
+    def merge_as(self, file: dict, mark: str) -> None:
+        """Prepares merged() from the tokenizer's table, and the search for what a word must not hold for it."""
+        import tiktoken
+
+        vocab, merges = file["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
+        # a byte that prints stands for itself in the table, the others for the characters from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        self.others = re.compile("")  # all words, unless the table is one of bytes with a merge for each longer piece
+        if not all(c in vocab and c + mark in vocab for c in byte) or not set(byte).issuperset("".join(a + b.removesuffix(mark) for a, b in merges)):
+            return
+        pieces = [*(c + mark for c, b in byte.items() if b), *("".join(m) for m in merges), *byte]
+        spelt = [bytes(map(byte.__getitem__, t.removesuffix(mark))) + b"\0" * t.endswith(mark) for t in pieces]
+        ranks = {t: i for i, t in enumerate(spelt)}
+        if len(ranks) < len(pieces):
+            return
+        self.fast = tiktoken.Encoding("ranks", pat_str=f"[^{STOP}]+{STOP}", mergeable_ranks=ranks, special_tokens={})
+        self.number = np.asarray([vocab[t] for t in pieces], "<u4")
+        self.blank = vocab[next(c for c, b in byte.items() if b == 32) + mark]
+        known = {c for c in map(chr, range(1, COMPARED)) if not c.isspace() and len(c.lower()) == 1 and ord(c.lower()) < COMPARED}
+        self.part_by(known)
+        probes = [(c, f"x{c}x{c}1{c}1{c}.{c}.{c} {c} {c}{c} '{c}s{c}'s{c}") for c in sorted(known)]
+        whole = self.encoded([t for _, t in probes])
+        alike = {c for (c, t), ids in zip(probes, whole) if b"".join(self.merged(t.split(" "))) == ids}
+        alike = {c for c in alike if c.lower() in alike}
+        self.part_by(alike)
+        added = [re.escape(x["content"]) for x in file["added_tokens"]]
+        self.others = re.compile("|".join([f"[^ {''.join(map(re.escape, sorted(alike)))}]", *added]))
+
+    def part_by(self, known: set[str]) -> None:
+        letters, numbers = ("".join(re.escape(c) for c in sorted(known) if unicodedata.category(c)[0] == kind) for kind in "LN")
+        self.parts = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^ {letters}{numbers}]+| ")
+
+    def merged(self, words: list[str]) -> list[bytes]:
+        """Ids of each word by the faster library; a blank, which no word holds, shows where a word ends."""
+        parts = self.parts.findall(" ".join(words).lower())
+        ids = self.number[np.asarray(self.fast.encode_ordinary(STOP.join(parts) + STOP), np.int64)]
+        raw, blanks = ids.tobytes(), (4 * np.flatnonzero(ids == self.blank)).tolist()
+        return [raw[a:b] for a, b in zip([0, *(x + 4 for x in blanks)], [*blanks, len(raw)])]
+
     def encoded(self, words: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def learn(self, missing: list[str]) -> None:
         """Remembers the ids of the words.
 
-        Letters, and the marks behind them, are encoded apart, as the tokenizer itself parts them; letters in lower case, as
-        it makes them; new runs of letters as one text, which is cut at the word ends.
+        Those for the faster library are encoded by it. Of the others, letters, and the marks behind them, are encoded apart, as
+        the tokenizer itself parts them; letters in lower case, as it makes them; new runs of letters as one text, which is cut
+        at the word ends.
         """
         recent, older, tails = self.recent, self.older, self.tails
+        plain = missing
+        if self.others.search(" ".join(missing)) or max(map(len, missing), default=0) > LONG:
+            plain = [w for w in missing if len(w) <= LONG and not self.others.search(w)]
+            missing = list(set(missing).difference(plain))
+        else:
+            missing = []
+        if plain:
+            recent.update(zip(plain, self.merged(plain)))
         new, parted, others = set(), [], []
         for w in missing:
             core = w.rstrip(MARKS)
@@ -104,20 +163,34 @@ class WordTokenizer:
         if len(tails) > 100_000:
             self.tails = {}
 
-    def batch(self, texts: list[str]) -> list[bytes]:
+    def batch(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Ids of each text as unsigned 32-bit numbers, little-endian."""
-        cut = [BLANKS.split(t) if UNUSUAL.search(t) else t.split() for t in texts]
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        cut = pa.compute.ascii_split_whitespace(column.fill_null(""))
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.recent) > self.remembered:
             self.older, self.recent = self.recent, {}
         recent, older = self.recent, self.older
-        missing = set().union(*cut).difference(recent)
-        missing.discard("")
-        for w in [w for w in missing if w in older]:
-            recent[w] = older[w]
-            missing.discard(w)
-        self.learn(list(missing))
-        recent.setdefault("", b"")
-        return [b"".join(map(recent.__getitem__, words)) for words in cut]
+        recent[""] = b""
+        known = list(map(recent.get, words))
+        unknown = [w for w, ids in zip(words, known) if ids is None]
+        if unknown:
+            missing = []
+            for w, ids in zip(unknown, map(older.get, unknown)):
+                if ids is None:
+                    missing.append(w)
+                else:
+                    recent[w] = ids
+            self.learn(missing)
+            found = map(recent.__getitem__, unknown)
+            known = [next(found) if ids is None else ids for ids in known]
+        # what stands for the words, one after another, and where each text begins and ends in it
+        ids = pa.array(known, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        at = ends[cut.offsets.to_numpy()].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [bytes(raw[a:b]) for a, b in zip(at, at[1:])]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -136,20 +209,19 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, block, tail = tokenizer(path), TaskContext.get().partitionId(), np.asarray([end], "<u4").tobytes()
         met = np.zeros(capacity + 1, np.int64)
-        for whole in batches:
-            for batch in (whole.slice(i, 32) for i in range(0, whole.num_rows, 32)):
-                out = []
-                with without_collector():  # the words' memory holds no cycles
-                    encoded = words.batch([t or "" for t in batch.column("text").to_pylist()])
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded):
-                    ids += tail
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        n = len(part) // 4
-                        out.append((doc, k, at // 4, n, zlib.crc32(part), block, met[n]))
-                        met[n] += 1
-                columns = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        for batch in chunks_of(batches, SLICE):
+            out = []
+            with without_collector():  # the words' memory holds no cycles
+                encoded = words.batch(batch.column("text"))
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded):
+                ids += tail
+                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[at : at + 4 * capacity]
+                    n = len(part) // 4
+                    out.append((doc, k, at // 4, n, zlib.crc32(part), block, met[n]))
+                    met[n] += 1
+            columns = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, block int, rank long")
 

@@ -8,6 +8,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,6 +244,47 @@ def test_words_are_tokenised_as_whole_texts():
     assert w.batch(texts) == [np.asarray(x.ids, "<u4").tobytes() for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_plain_words_are_left_to_the_faster_library():
+    """Most words of a corpus are met once: what a new one costs is most of the packing's time."""
+    from tokenizers import Tokenizer
+
+    path, rng = P.path("word_bpe_49k.json"), random.Random(8)
+    t, w = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    parts = ["a", "th", "Ing", "É", "ñez", "ß", "ción", "Ÿ", "'s", "'LL", "'", "0", "12", "½", "º", "-", ",", "...", "(", "_", "\x01", "<|"]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)] + ["", "a" * packing.LONG, " \n"]
+    want = [np.asarray(x.ids, "<u4").tobytes() for x in t.encode_batch(texts, add_special_tokens=False)]
+    w.tokenizer = None  # the file's own library is not asked
+    assert w.batch(texts) == want
+    assert w.batch(pa.array(["a", None, *texts]).slice(1)) == [b"", *want] and w.batch(pa.array(texts).slice(7)) == want[7:] and w.batch(pa.array([], pa.string())) == []
+
+
+def test_every_piece_of_the_table_is_merged_as_by_its_own_library():
+    path = P.path("word_bpe_49k.json")
+    w = packing.WordTokenizer(path)
+    decoder = {c: bytes([b]) for b, c in byte_letters().items()}
+    spelt = (b"".join(map(decoder.__getitem__, x.removesuffix("</w>"))).decode(errors="ignore") for x in w.tokenizer.get_vocab(with_added_tokens=False))
+    words = sorted({x for x in spelt if x and " " not in x and not w.others.search(x)})  # words hold no blanks
+    assert len(words) > 39_000
+    assert w.merged(words) == w.encoded(words)
+
+
+def byte_letters() -> dict[int, str]:
+    """How byte-level tables write a byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+
+
+def test_words_for_the_own_library():
+    from tokenizers import Tokenizer
+
+    path, rng = P.path("word_bpe_49k.json"), random.Random(9)
+    t, w = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    odd = ["\0", "a\0b", "<|endoftext|>", "x<|startoftext|>y", "<|EndOfText|>", "a" * (packing.LONG + 1), "e\u0301", "İ", "ΣΑΣ", "слово", "漢字", "\u1100\u1161\u11a8", "a\u00a0b", "a\x85'S", "\u212a", "Ⱥ", "ŉ", "ǰ", "don’t", "😀!"]
+    texts = [" ".join(rng.choice([*odd, "plain", "Wörter,"]) for _ in range(12)) for _ in range(300)]
+    assert w.batch(texts) == [np.asarray(x.ids, "<u4").tobytes() for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_sentencepiece(spark, corpus):
     import sentencepiece
 
