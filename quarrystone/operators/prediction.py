@@ -38,6 +38,7 @@ def in_parts(both: DataFrame, crowded: DataFrame, kind: str, then: list, buckets
     number = F.unix_micros(F.col("__t").cast("timestamp")) if kind in {"date", "timestamp", "timestamp_ntz"} else F.col("__t")
     theirs = both.join(F.broadcast(crowded.distinct()), "__key")
     cuts = theirs.groupBy("__key").agg(F.array_distinct(F.percentile_approx(number, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(100 * buckets))).alias("__cuts"))
+    cuts = both.sparkSession.createDataFrame(cuts.collect(), cuts.schema)  # a row a crowded key; they depend on the order of rows, and all that follows must have the same
     dealt = both.join(F.broadcast(cuts), "__key", "left").withColumn("__part", F.coalesce(F.size(F.filter(F.coalesce("__cuts", F.array().cast(cuts.schema["__cuts"].dataType)), lambda c: c < number)), F.lit(0)))
     # at most as many rows a crowded key as there are parts
     last = dealt.where("__cuts is not null and __right is not null").groupBy("__key", "__part").agg(F.max_by("__right", F.struct(*then)).alias("__right"))

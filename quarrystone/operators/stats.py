@@ -138,8 +138,12 @@ def value_bucket(cuts: Column, value: Column) -> Column:
 
 
 def cuts_of(df: DataFrame, value: str, name: str, buckets: int) -> DataFrame:
-    """One row with at most ``buckets`` - 1 values that part the column evenly, about."""
-    return df.agg(F.array_distinct(F.percentile_approx(value, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(100 * buckets))).alias(name))
+    """One row with at most ``buckets`` - 1 values that part the column evenly, about.
+
+    They depend on the order in which rows come, so they are found once, here: a plan that reads them twice must not find others the second time.
+    """
+    cuts = df.agg(F.array_distinct(F.percentile_approx(value, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(100 * buckets))).alias(name))
+    return df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
 
 
 def discordant(df: DataFrame, a: str, b: str, buckets: int = 32) -> DataFrame:
@@ -212,7 +216,7 @@ def quantiles(df: DataFrame, groups: list[str], value: str, wanted: dict[str, fl
     """
     rows = df.select(*groups, F.col(value).alias("__v")).where("__v is not null")
     cells = rows.groupBy(*groups, "__v").agg(F.count("*").alias("__ties"))
-    cuts = cuts_of(cells, "__v", "__cuts", buckets)  # of the cells, so that their shuffle serves all that follows
+    cuts = cuts_of(cells, "__v", "__cuts", buckets)
     dealt = cells.crossJoin(F.broadcast(cuts)).withColumn("__bucket", value_bucket(F.col("__cuts"), F.col("__v"))).drop("__cuts")
     totals = dealt.groupBy(*groups, "__bucket").agg(F.sum("__ties").alias("__total"))
     of_group = Window.partitionBy(*(groups or [F.lit(0)]))  # at most 2 * buckets rows of a group
@@ -232,8 +236,9 @@ def quantiles(df: DataFrame, groups: list[str], value: str, wanted: dict[str, fl
     found = hit.groupBy(*groups).agg(F.first("__n").alias("__n"), F.map_from_entries(F.collect_list(F.struct("__hit", F.col("__v").cast("double").alias("v")))).alias("__at"))  # two places a quantile
 
     def between(x: Column) -> Column:
-        low, high = F.col("__at")[F.floor(x).cast("long")], F.col("__at")[F.ceil(x).cast("long")]
-        return F.when(low == high, low).otherwise(low + (high - low) * (x - F.floor(x)))
+        low, high, share = F.col("__at")[F.floor(x).cast("long")], F.col("__at")[F.ceil(x).cast("long")], x - F.floor(x)
+        # weighted as DuckDB does it: 0.7 * 90 is a little below 63, and the value below ``high`` that this gives must be the same
+        return F.when(low == high, low).otherwise(low * (1 - share) + high * share)
 
     return found.select(*groups, F.coalesce("__n", F.lit(0)).alias("n"), *(between(x).alias(name) for name, x in at.items()))
 

@@ -5,10 +5,12 @@ import itertools
 import random
 import time
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quarrystone.operators import linkage, stats
+from quarrystone.operators import linkage, prediction, stats
 
 HOUR = 3_600_000_000
 EVENT = "event_id long, user_id long, ts timestamp, kind string"
@@ -90,6 +92,42 @@ def test_quantiles_sort_few_rows(spark):
     assert "percentile(" not in plan and "CartesianProduct" not in plan
 
 
+@pytest.fixture
+def other_cuts_each_time(spark, monkeypatch):
+    """Approximate quantiles that are others whenever a plan finds them, as they are on several executors, where rows come in any order."""
+
+    def drawn(values):
+        return sorted(random.SystemRandom().sample(values, min(len(values), 6)))
+
+    monkeypatch.setattr(F, "percentile_approx", lambda value, *_: F.udf(drawn, "array<double>")(F.collect_list(F.col(value) if isinstance(value, str) else value.cast("double"))))
+
+
+def test_cuts_are_found_once(spark, other_cuts_each_time):
+    """Ranges are counted and sorted by the same cuts, also over kept rows."""
+    rng = np.random.default_rng(6)
+    a, b = np.round(rng.normal(size=600), 2), rng.normal(size=600)
+    df = spark.createDataFrame([*zip(a.tolist(), b.tolist())], "a double, b double").persist()
+    at = {f"d{i}": i / 10 for i in range(1, 10)}
+    for c, x in (("a", a), ("b", b)):
+        assert list(stats.quantiles(df, [], c, at).first())[1:] == pytest.approx(np.quantile(x, list(at.values())))
+    assert stats.discordant(df, "a", "b").first().n == against(a, b)
+    l = spark.createDataFrame([(i, 1, i * 7 % 300) for i in range(300)], "id int, k int, t int")  # noqa: E741
+    r = spark.createDataFrame([(1, n) for n in range(0, 300, 3)], "k int, at int")
+    met = prediction.as_of(l.persist(), r.persist(), "k", "t", "at", ["at"], most=10).collect()
+    assert len(met) == 300 and all(x["at"] == x.t // 3 * 3 for x in met)
+    for kept in (df, l, r):
+        kept.unpersist()
+
+
+def test_quantiles_on_a_place_that_doubles_miss(spark):
+    """0.7 * 90 is a little below 63: the edge lies below the value there, or on it, as in DuckDB."""
+    for low, high in ((0.651592973, 0.659480207), (0.835765104, 0.840092775), (0.23308445, 0.235393115), (0.5, 0.75)):
+        x = [low - 1 + i / 100 for i in range(62)] + [low, high] + [high + 1 + i for i in range(27)]
+        want = duckdb.sql(f"select quantile_cont(x, 0.7::double) from (select unnest({x}::double[]) as x)").fetchall()[0][0]
+        got = stats.quantiles(spark.createDataFrame([(v,) for v in x], "x double"), [], "x", {"q": 0.7}).first().q
+        assert got == pytest.approx(want, rel=1e-15) and (got < high) == (want < high)
+
+
 def test_winsorised(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_cauchy(5000)
